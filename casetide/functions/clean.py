@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from casetide import schemas as S
 
-_EDGE_BLANKS = r"^\s+|\s+$"
+# The blanks of the files' character set, and a run that needs tidying.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
+_BLANK_RUN = f"[{BLANKS}]{{2,}}|[{BLANKS[1:]}]"
+# A non-letter other than a space in front of a letter, and the mark put between them.
+_WORD_START = r"([^\p{L} ])(?=\p{L})"
+_MARK = "\x02 "
 
 
 def strip(text: Column) -> Column:
-    """Remove every kind of blank at both ends (``trim`` only knows spaces)."""
-    return F.regexp_replace(text, _EDGE_BLANKS, "")
+    """Remove every kind of blank at both ends (plain ``trim`` only knows spaces)."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def lookup(code: Column, labels: Mapping[str, object], default: Column) -> Column:
@@ -106,7 +111,7 @@ def age_group(years: Column) -> Column:
 
 def clean_name(text: Column) -> Column:
     """Drug or ingredient name: upper case, single blanks, empty when missing."""
-    return F.regexp_replace(strip(F.upper(F.coalesce(text, F.lit("")))), r"\s+", " ")
+    return F.regexp_replace(strip(F.upper(F.coalesce(text, F.lit("")))), _BLANK_RUN, " ")
 
 
 def clean_route(text: Column) -> Column:
@@ -124,20 +129,12 @@ def outcome_label(code: Column) -> Column:
 def clean_term(text: Column) -> Column:
     """Medical term with a capital after every non-letter (``Crohn'S``), empty when missing.
 
-    ``initcap`` starts words at blanks only, so the text is cut into runs of
-    letters and runs of anything else instead.
+    ``initcap`` starts words at spaces only, so a marked space goes in front of
+    every other word start and is taken out again.
     """
-    bare = F.lower(strip(F.coalesce(text, F.lit(""))))
-    runs = F.regexp_extract_all(bare, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    return F.array_join(
-        F.transform(
-            runs,
-            lambda run: F.concat(
-                F.upper(F.substring(run, 1, 1)), F.substring(run, F.lit(2), F.length(run))
-            ),
-        ),
-        "",
-    )
+    bare = strip(F.coalesce(text, F.lit("")))
+    marked = F.regexp_replace(bare, _WORD_START, f"$1{_MARK}")
+    return F.replace(F.initcap(marked), F.lit(_MARK), F.lit(""))
 
 
 def nonempty(text: Column) -> Column:

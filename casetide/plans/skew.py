@@ -1,58 +1,70 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-A plain equi-join sends all rows of a key to one task. A ``Grid`` first finds the
-largest keys by a map-side-combined count. A key with more rows than one task should
-take is cut into parts: each row of the big side goes to one part, and the matching
-rows of the other side are copied to every part. With two big sides the parts form a
-grid. All other keys have the single part 0 and cost nothing extra. Every pair of
+A plain equi-join sends all rows of a key to one task. A ``Grid`` first looks for keys
+with more rows than one task should take, by a map-side-combined count over a sample of
+the key column. Such a key is cut into parts: each row of the big side goes to one
+part, and the matching rows of the other side are copied to every part; with two big
+sides the parts form a grid. All other keys have the single part 0. Every pair of
 matching rows meets exactly once, so the result is that of the plain join.
 
-The lists of cut keys are broadcast. Each has at most ``MAX_HOT_KEYS`` rows by its
-limit; further large keys are simply joined uncut, which is slower but just as exact.
+The list of cut keys is fetched when the plan is built. It has at most
+``MAX_HOT_KEYS`` rows by its limit, so it is safe to fetch and to broadcast; being
+fetched, it is the same for every table of the plan and every retried task, whatever
+the sample held. Large keys beyond the list are joined uncut, which is slower but
+just as exact. With no such key, as usual, the plan is the plain join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS_PER_TASK = 500_000
 MAX_HOT_KEYS = 2_000
 MAX_PARTS = 2_000
+SAMPLED_ROWS = 5_000
+SAMPLE_SEED = 7
 
 LEFT_PART, RIGHT_PART = "_left_part", "_right_part"
-_LEFT_PARTS, _RIGHT_PARTS = "_left_parts", "_right_parts"
+_COUNTS = {LEFT_PART: "_left_parts", RIGHT_PART: "_right_parts"}
 
 
 def hot_keys(
-    df: DataFrame, on: Sequence[str], name: str, rows_per_task: int = ROWS_PER_TASK
+    sides: dict[str, DataFrame], on: Sequence[str], rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """The largest keys of ``df`` above the task budget and their number of parts."""
-    parts = F.least(F.ceil(F.col("_rows") / rows_per_task), F.lit(MAX_PARTS)).cast("int")
-    present = df.select(*on).dropna(subset=list(on))
+    """Keys above the task budget in any side, with the number of parts for each side.
+
+    A key at the budget has ``SAMPLED_ROWS`` rows in the sample, enough to tell it
+    from an ordinary one; a smaller budget is counted in full.
+    """
+    fraction = min(1.0, SAMPLED_ROWS / rows_per_task)
+
+    def seen(side: DataFrame, part: str) -> DataFrame:
+        keys = side.select(*on).dropna(subset=list(on))
+        keys = keys.sample(fraction, seed=SAMPLE_SEED) if fraction < 1.0 else keys
+        return keys.withColumn("_side", F.lit(part))
+
+    def parts(part: str) -> Column:
+        share = F.max(F.when(F.col("_side") == part, F.col("_rows"))) / rows_per_task
+        return F.coalesce(F.least(F.ceil(share), F.lit(MAX_PARTS)), F.lit(1)).cast("int")
+
+    keys = reduce(lambda a, b: a.union(b), [seen(df, part) for part, df in sides.items()])
     return (
-        present.groupBy(*on)
-        .agg(F.count("*").alias("_rows"))
+        keys.groupBy(*on, "_side")
+        .agg((F.count("*") / fraction).alias("_rows"))
         .filter(F.col("_rows") > rows_per_task)
+        .groupBy(*on)
+        .agg(*[parts(p).alias(_COUNTS[p]) for p in sides], F.max("_rows").alias("_rows"))
         .orderBy(F.desc("_rows"), *on)
         .limit(MAX_HOT_KEYS)
-        .select(*on, parts.alias(name))
+        .drop("_rows")
     )
 
 
-def _own_part(parts: str, spread_by: Sequence[str]) -> Column:
-    """Part of a row of the side that is being cut."""
-    part = F.pmod(F.xxhash64(*spread_by), F.col(parts)).cast("int")
-    return F.when(F.col(parts).isNull(), F.lit(0)).otherwise(part)
-
-
-def _every_part(parts: str) -> Column:
-    """All parts, for a row that has to be copied to each."""
-    return F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))
-
-
 class Grid:
     """How the keys ``on`` are cut, given the big left side and maybe a big right side.
 
@@ -70,23 +82,29 @@ class Grid:
         rows_per_task: int = ROWS_PER_TASK,
     ):
         self.on = list(on)
-        self._hot = {LEFT_PART: F.broadcast(hot_keys(left, on, _LEFT_PARTS, rows_per_task))}
-        self._names = {LEFT_PART: _LEFT_PARTS}
-        if right is not None:
-            self._hot[RIGHT_PART] = F.broadcast(
-                hot_keys(right, on, _RIGHT_PARTS, rows_per_task)
-            )
-            self._names[RIGHT_PART] = _RIGHT_PARTS
-        self.parts = list(self._hot)
+        sides = {LEFT_PART: left} if right is None else {LEFT_PART: left, RIGHT_PART: right}
+        found = hot_keys(sides, on, rows_per_task)
+        rows = found.collect()
+        self._hot = None
+        self.parts: list[str] = []
+        if rows:
+            self._hot = F.broadcast(left.sparkSession.createDataFrame(rows, _typed(found)))
+            self.parts = list(sides)
         self.keys = [*self.on, *self.parts]
 
     def _place(self, df: DataFrame, cut: str | None, spread_by: Sequence[str]) -> DataFrame:
-        for hot in self._hot.values():
-            df = df.join(hot, self.on, "left")
-        for part, parts in self._names.items():
-            own = _own_part(parts, spread_by) if part == cut else _every_part(parts)
+        if self._hot is None:
+            return df
+        names = df.columns
+        df = df.join(self._hot, self.on, "left")
+        for part in self.parts:
+            count = F.coalesce(F.col(_COUNTS[part]), F.lit(1))
+            if part == cut:
+                own = F.pmod(F.xxhash64(*spread_by), count).cast("int")
+            else:
+                own = F.explode(F.sequence(F.lit(0), count - 1))
             df = df.withColumn(part, own)
-        return df.drop(*self._names.values())
+        return df.select(*names, *self.parts)
 
     def left(self, df: DataFrame, spread_by: Sequence[str]) -> DataFrame:
         return self._place(df, LEFT_PART, spread_by)
@@ -97,6 +115,14 @@ class Grid:
     def copies(self, df: DataFrame) -> DataFrame:
         return self._place(df, None, ())
 
+    def first_copy(self, part: str) -> Column:
+        """True for one of the copies that a row has along ``part``."""
+        return F.col(part) == 0 if part in self.parts else F.lit(True)
+
+
+def _typed(df: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
+
 
 def split_join(
     left: DataFrame,
@@ -111,4 +137,4 @@ def split_join(
         raise ValueError(f"join type {how!r} cannot be split on the left side")
     grid = Grid(on, left, rows_per_task=rows_per_task)
     placed = grid.left(left, list(spread_by or left.columns))
-    return placed.join(grid.copies(right), grid.keys, how).drop(LEFT_PART)
+    return placed.join(grid.copies(right), grid.keys, how).drop(*grid.parts)

@@ -91,11 +91,11 @@ class Pairing:
 
     def count_drugs(self, columns: list[str], name: str) -> DataFrame:
         # A drug row is copied to all parts of the other side and counts in the first.
-        first = F.col(RIGHT_PART) == 0
+        first = self._grid.first_copy(RIGHT_PART)
         return self._distinct(self._drugs).groupBy(*columns).agg(F.count_if(first).alias(name))
 
     def count_others(self, columns: list[str], name: str) -> DataFrame:
-        first = F.col(LEFT_PART) == 0
+        first = self._grid.first_copy(LEFT_PART)
         return self._distinct(self._others).groupBy(*columns).agg(F.count_if(first).alias(name))
 
 

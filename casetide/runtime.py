@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_root: str | None = None
@@ -40,3 +40,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
         root = _local_root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Store an intermediate table in the scratch folder and go on from there.
+
+    For results that a plan needs several times. The table outlives any executor.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
