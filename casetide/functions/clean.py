@@ -24,10 +24,8 @@ def strip(text: Column) -> Column:
 
 def lookup(code: Column, labels: Mapping[str, object], default: Column) -> Column:
     """Value of ``code`` in a fixed list, or ``default`` for unknown and null codes."""
-    found = F.when(F.lit(False), default)
-    for key, value in labels.items():
-        found = found.when(code == key, F.lit(value))
-    return found.otherwise(default)
+    listed = ", ".join(f"{k!r}, {v!r}" + "D" * isinstance(v, float) for k, v in labels.items())
+    return F.coalesce(F.try_element_at(F.expr(f"map({listed})"), code), default)
 
 
 def number(value: Column) -> Column:

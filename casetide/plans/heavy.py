@@ -162,19 +162,40 @@ def drug_pairs_serious(
         .agg(F.sum("rows").alias("total"))
         .filter(F.col("total") * most >= min_co_reports)
     )
-    left, right, keys = _meet(_keep_drugs(rows, frequent, rows_per_task), rows_per_task)
-    pairs = left.join(right, keys).filter(F.col("a_drugname_clean") < F.col("b_drugname_clean"))
     return (
-        pairs.groupBy(
-            F.col("a_drugname_clean").alias("drug_a"), F.col("b_drugname_clean").alias("drug_b")
-        )
-        .agg(F.sum(F.col("a_rows") * F.col("b_rows")).alias("co_report_count"))
+        _count_name_pairs(_keep_drugs(rows, frequent, rows_per_task), rows_per_task)
         .filter(F.col("co_report_count") >= min_co_reports)
         .orderBy(F.desc("co_report_count"), "drug_a", "drug_b")
         .limit(limit)
     )
 
 
+def name_pairs(drug: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Pairs of drug rows within a report, by the names in alphabetical order."""
+    rows = drug.groupBy("report_id", "drugname_clean").agg(F.count("*").alias("rows"))
+    return _count_name_pairs(rows, rows_per_task)
+
+
+def _count_name_pairs(rows: DataFrame, rows_per_task: int) -> DataFrame:
+    left, right, keys = _meet(rows, rows_per_task)
+    pairs = left.join(right, keys).filter(F.col("a_drugname_clean") < F.col("b_drugname_clean"))
+    return pairs.groupBy(
+        F.col("a_drugname_clean").alias("drug_a"), F.col("b_drugname_clean").alias("drug_b")
+    ).agg(F.sum(F.col("a_rows") * F.col("b_rows")).alias("co_report_count"))
+
+
+def _places(drug: DataFrame) -> DataFrame:
+    """First and last place of each drug in each report."""
+    return drug.groupBy("report_id", "drugname_clean").agg(
+        F.min("drug_seq").alias("first"), F.max("drug_seq").alias("last")
+    )
+
+
+def place_pairs(drug: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Reports that list drug 1 somewhere before drug 2, for all drugs."""
+    return _count_ordered_pairs(_places(drug), rows_per_task)
+
+
 def _count_ordered_pairs(rows: DataFrame, rows_per_task: int) -> DataFrame:
     left, right, keys = _meet(rows, rows_per_task)
     pairs = left.join(right, keys).filter(F.col("a_first") < F.col("b_last"))
@@ -193,12 +214,7 @@ def drug_pairs(t: Tables, limit: int = 20, rows_per_task: int = ROWS_PER_TASK) -
     before the pairs of all others are formed.
     """
     named = t["drug"].filter(nonempty(F.col("drugname_clean")))
-    rows = materialize(
-        named.groupBy("report_id", "drugname_clean").agg(
-            F.min("drug_seq").alias("first"), F.max("drug_seq").alias("last")
-        ),
-        "places",
-    )
+    rows = materialize(_places(named), "places")
     support = rows.groupBy("drugname_clean").agg(F.count("*").alias("reports"))
     foremost = support.orderBy(F.desc("reports"), "drugname_clean").limit(BOUND_DRUGS)
     among = rows.join(F.broadcast(foremost.select("drugname_clean")), "drugname_clean")

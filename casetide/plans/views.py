@@ -12,6 +12,7 @@ their own names; a builder then reads them instead of building them again.
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -336,12 +337,12 @@ def refresh_views(
     ``mv_latest_cases`` is stored first; all others read it from there, so the cases
     are resolved once, and a lost executor costs no more than the view in progress.
     """
-    stored = dict(t)
+    stored: dict[str, DataFrame] = {}
     for name in names or list(VIEWS):
         path = f"{root.rstrip('/')}/{name}"
-        VIEWS[name](stored).write.mode("overwrite").parquet(path)
+        VIEWS[name](ChainMap(stored, t)).write.mode("overwrite").parquet(path)
         stored[name] = spark.read.parquet(path)
-    return {n: df for n, df in stored.items() if n in VIEWS}
+    return stored
 
 
 def register_views(views: Mapping[str, DataFrame]) -> None:

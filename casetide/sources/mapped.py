@@ -8,6 +8,8 @@ the partitioning of ``o_orderkey`` is then known for ``report_id``.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,12 +57,43 @@ def _pick(index: Column, values: dict[int, str]) -> Column:
     return chosen
 
 
+class _Planned(Mapping):
+    def __init__(self, bed: Bed):
+        self._bed = bed
+        self._tables: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in TABLES:
+            raise KeyError(name)
+        if name not in self._tables:
+            self._tables[name] = clean_table(self._bed.raw(name), name)
+        return self._tables[name]
+
+    def __iter__(self):
+        return iter(TABLES)
+
+    def __len__(self) -> int:
+        return len(TABLES)
+
+
+_BEDS: dict[tuple[str, str], Bed] = {}
+
+
+def bed(spark: SparkSession, sf_dir: str) -> Bed:
+    """The tables over a folder; planned once for a session."""
+    where = (spark.sparkContext.applicationId, sf_dir)
+    if where not in _BEDS:
+        _BEDS[where] = Bed(spark, sf_dir)
+    return _BEDS[where]
+
+
 class Bed:
     """Raw and cleaned domain tables over one folder of test data."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._tables = _Planned(self)
 
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -220,10 +253,11 @@ class Bed:
     # -- cleaned tables -----------------------------------------------------
 
     def table(self, name: str) -> DataFrame:
-        return clean_table(self.raw(name), name)
+        return self._tables[name]
 
-    def tables(self) -> dict[str, DataFrame]:
-        return {name: self.table(name) for name in TABLES}
+    def tables(self) -> Mapping[str, DataFrame]:
+        """All tables by name; each is planned when it is first asked for."""
+        return self._tables
 
     def mappings(self) -> DataFrame:
         """Brand list: one entry per product name; names starting with 'old' are not listed."""
