@@ -553,8 +553,7 @@ def sum_of_counts(bed: Bed) -> DataFrame:
 
 @query
 def avg(bed: Bed) -> DataFrame:
-    means = A.mean_of(bed.table("demo"), "age_years", "sex", "quarter")
-    return _rounded(means, "avg_age_years")
+    return A.mean_of(bed.table("demo"), "age_years", "sex", "quarter")
 
 
 @query
@@ -650,8 +649,8 @@ _register_view("mv_drug_outcomes")
 _register_view("mv_death_by_drug", "pct_of_all_ps_reports")
 _register_view("mv_reports_by_country")
 _register_view("mv_signal_prr")
-_register_view("mv_age_sex_distribution", "avg_age", "median_age", "avg_weight_kg")
-_register_view("mv_quarterly_trends", "avg_age")
+_register_view("mv_age_sex_distribution", "median_age")
+_register_view("mv_quarterly_trends")
 _register_view("mv_top_drugs")
 _register_view("mv_top_reactions")
 

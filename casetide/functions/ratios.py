@@ -18,6 +18,18 @@ def _over(top: Column, bottom: Column) -> Column:
     return top.cast("double") / F.nullif(bottom.cast("double"), F.lit(0.0))
 
 
+def mean(value: Column, weight: Column | None = None) -> Column:
+    """Mean of values that have two decimals, each counted ``weight`` times.
+
+    The sum runs over whole hundredths, so it does not depend on the order in which
+    tasks deliver their parts.
+    """
+    weight = F.lit(1) if weight is None else weight
+    known = F.when(value.isNotNull(), weight)
+    hundredths = F.round(value * 100).cast("bigint")
+    return F.sum(hundredths * weight) / F.nullif(F.sum(known) * 100, F.lit(0))
+
+
 def raw_prr(a: Column, n_drug: Column, n_reac: Column, total: Column) -> Column:
     return _over(_over(a, n_drug), _over(n_reac, total))
 

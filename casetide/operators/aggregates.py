@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casetide.functions.ratios import mean
+
 
 def count_rows(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -36,7 +38,7 @@ def sum_of(df: DataFrame, column: str, *keys: str) -> DataFrame:
 
 
 def mean_of(df: DataFrame, column: str, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.avg(column).alias(f"avg_{column}"))
+    return df.groupBy(*keys).agg(mean(F.col(column)).alias(f"avg_{column}"))
 
 
 def median_of(df: DataFrame, column: str, *keys: str) -> DataFrame:

@@ -259,13 +259,13 @@ STATEMENTS: dict[str, str] = {
         JOIN (SELECT pt_clean AS reaction, count(DISTINCT report_id) AS reaction_total
               FROM reac GROUP BY 1) USING (reaction)""",
     "scalar_subquery": """SELECT prod_ai_clean, role_cod, count(DISTINCT report_id) AS report_count,
-        round(100e0 * count(DISTINCT report_id) /
-          (SELECT count(DISTINCT report_id) FROM drug WHERE role_cod = 'PS'), 6) AS pct_of_ps
+        round(count(DISTINCT report_id) /
+          (SELECT count(DISTINCT report_id) FROM drug WHERE role_cod = 'PS') * 100, 6) AS pct_of_ps
         FROM drug GROUP BY 1, 2""",
     "correlated_scalar": """
         SELECT drugname_clean, sum(death_reports)::BIGINT AS death_reports,
-               round(100e0 * sum(death_reports) / (SELECT sum(report_count) FROM mv_top_drugs t
-                 WHERE t.drugname_clean = m.drugname_clean), 6) AS death_rate_pct
+               round(sum(death_reports) / (SELECT sum(report_count) FROM mv_top_drugs t
+                 WHERE t.drugname_clean = m.drugname_clean) * 100, 6) AS death_rate_pct
         FROM mv_death_by_drug m GROUP BY drugname_clean""",
     "orphan_children": f"SELECT report_id, drug_seq, drugname_clean FROM drug WHERE NOT {_KEPT_CHILD}",
     "enforce_parent": f"SELECT report_id, drug_seq, drugname_clean FROM drug WHERE {_KEPT_CHILD}",
@@ -281,7 +281,7 @@ STATEMENTS: dict[str, str] = {
         FROM drug GROUP BY 1, 2""",
     "sum_of_counts": """SELECT reaction_term, sum(report_count)::BIGINT AS report_count
         FROM mv_top_reactions GROUP BY 1""",
-    "avg": """SELECT sex, quarter, round(avg(age_years), 6) AS avg_age_years FROM demo
+    "avg": f"""SELECT sex, quarter, {base.mean('age_years')} AS avg_age_years FROM demo
         GROUP BY 1, 2""",
     "median": """SELECT sex, age_group, round(median(age_years), 6) AS median_age_years
         FROM demo GROUP BY 1, 2""",
@@ -314,10 +314,7 @@ STATEMENTS: dict[str, str] = {
     # standing views
     **{name: f"SELECT * FROM {name}" for name in views.PARTS},
     "mv_death_by_drug": _six("pct_of_all_ps_reports", of="mv_death_by_drug"),
-    "mv_age_sex_distribution": _six(
-        "avg_age", "median_age", "avg_weight_kg", of="mv_age_sex_distribution"
-    ),
-    "mv_quarterly_trends": _six("avg_age", of="mv_quarterly_trends"),
+    "mv_age_sex_distribution": _six("median_age", of="mv_age_sex_distribution"),
     # reports
     "top_drugs": """SELECT drugname_clean AS drug, prod_ai_clean AS active_ingredient,
         report_count AS total_reports, ps_count AS primary_suspect_reports, quarter
@@ -432,7 +429,7 @@ STATEMENTS: dict[str, str] = {
         ORDER BY prr DESC NULLS LAST, 1, 2 LIMIT 30""",
     "ex_compare_deaths": """
         SELECT drugname_clean, sum(death_reports)::BIGINT AS total_deaths,
-               round(100e0 * sum(death_reports) / any_value(n), 6) AS death_rate_pct
+               round(sum(death_reports) / any_value(n) * 100, 6) AS death_rate_pct
         FROM mv_death_by_drug LEFT JOIN (SELECT drugname_clean, sum(report_count) AS n
           FROM mv_top_drugs GROUP BY 1) USING (drugname_clean)
         WHERE drugname_clean ILIKE '%cold ring%' OR drugname_clean ILIKE '%gear%' GROUP BY 1""",
@@ -452,7 +449,7 @@ STATEMENTS: dict[str, str] = {
         WITH d AS (SELECT drugname_clean AS drug, sum(death_reports)::BIGINT AS death_reports,
                           {_quarters()} FROM mv_death_by_drug GROUP BY 1
                    ORDER BY 2 DESC, 1 LIMIT 20)
-        SELECT *, round(100e0 * death_reports / (SELECT max(death_reports) FROM d), 6)
+        SELECT *, round(death_reports / (SELECT max(death_reports) FROM d) * 100, 6)
                AS share_of_max FROM d""",
     "country_death_pct": """SELECT reporter_country AS country,
         sum(report_count)::BIGINT AS report_count, sum(death_count)::BIGINT AS death_count,
@@ -460,7 +457,7 @@ STATEMENTS: dict[str, str] = {
         FROM mv_reports_by_country GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50""",
     "quarter_outcome_pct": "SELECT quarter, total_cases, "
     + ", ".join(
-        f"round(100e0 * {c} / total_cases, 6) AS {c}_pct"
+        f"round({c} / total_cases * 100, 6) AS {c}_pct"
         for c in "deaths hospitalizations life_threatening female_cases male_cases".split()
     )
     + " FROM mv_quarterly_trends",

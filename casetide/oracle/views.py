@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from casetide.oracle.base import mean
+
 _LATEST = "report_id IN (SELECT report_id FROM latest)"
 
 PARTS: dict[str, str] = {
@@ -19,7 +21,7 @@ PARTS: dict[str, str] = {
       WHERE g.{_LATEST} AND g.drugname_clean <> '' GROUP BY ALL""",
     "mv_death_by_drug": f"""
       SELECT drugname_clean, prod_ai_clean, quarter, count(DISTINCT report_id) AS death_reports,
-             100e0 * count(DISTINCT report_id) / any_value(n) AS pct_of_all_ps_reports
+             count(DISTINCT report_id) / any_value(n) * 100 AS pct_of_all_ps_reports
       FROM drug, (SELECT nullif(count(DISTINCT report_id), 0) AS n FROM drug
                   WHERE role_cod = 'PS' AND {_LATEST}) whole
       WHERE {_LATEST} AND role_cod IN ('PS', 'SS') AND drugname_clean <> ''
@@ -51,8 +53,8 @@ PARTS: dict[str, str] = {
       (SELECT count(DISTINCT report_id) AS n FROM demo WHERE {_LATEST})""",
     "mv_age_sex_distribution": f"""
       SELECT drugname_clean, g.quarter, sex, age_group,
-             count(DISTINCT g.report_id) AS report_count, avg(age_years) AS avg_age,
-             quantile_cont(age_years, 0.5) AS median_age, avg(weight_kg) AS avg_weight_kg
+             count(DISTINCT g.report_id) AS report_count, {mean('age_years')} AS avg_age,
+             quantile_cont(age_years, 0.5) AS median_age, {mean('weight_kg')} AS avg_weight_kg
       FROM drug g JOIN demo m USING (report_id)
       WHERE role_cod = 'PS' AND drugname_clean <> '' AND g.{_LATEST} GROUP BY 1, 2, 3, 4""",
     "mv_quarterly_trends": f"""
@@ -62,7 +64,7 @@ PARTS: dict[str, str] = {
              count(DISTINCT m.report_id) FILTER (outc_cod = 'LT') AS life_threatening,
              count(DISTINCT m.report_id) FILTER (sex = 'Female') AS female_cases,
              count(DISTINCT m.report_id) FILTER (sex = 'Male') AS male_cases,
-             avg(age_years) AS avg_age, count(DISTINCT reporter_country) AS reporting_countries
+             {mean('age_years')} AS avg_age, count(DISTINCT reporter_country) AS reporting_countries
       FROM demo m LEFT JOIN outc o ON o.report_id = m.report_id
       WHERE m.{_LATEST} GROUP BY 1""",
     "mv_top_drugs": f"""

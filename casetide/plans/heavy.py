@@ -106,22 +106,21 @@ def polypharmacy(t: Tables, min_drug_count: int = 5, limit: int = 1000) -> DataF
     )
 
 
-def _meet(rows: DataFrame, rows_per_task: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """The rows of each report twice, as ``a_`` and ``b_`` columns, ready to join.
+def _grid(rows: DataFrame, rows_per_task: int) -> Grid:
+    """How reports with very many drugs are cut; holds for any part of ``rows`` as well."""
+    return Grid(["report_id"], rows, rows, rows_per_task)
 
-    Reports with very many drugs are cut into a grid of parts.
-    """
-    grid = Grid(["report_id"], rows, rows, rows_per_task)
+
+def _meet(rows: DataFrame, grid: Grid) -> DataFrame:
+    """The rows of each report joined to each other, as ``a_`` and ``b_`` columns."""
+    values = [c for c in rows.columns if c != "report_id"]
 
     def renamed(side: DataFrame, prefix: str) -> DataFrame:
-        keep = grid.keys
-        return side.select(
-            *keep, *[F.col(c).alias(prefix + c) for c in rows.columns if c not in keep]
-        )
+        return side.select(*grid.keys, *[F.col(c).alias(prefix + c) for c in values])
 
     left = renamed(grid.left(rows, ["drugname_clean"]), "a_")
     right = renamed(grid.right(rows, ["drugname_clean"]), "b_")
-    return left, right, grid.keys
+    return left.join(right, grid.keys)
 
 
 def _keep_drugs(rows: DataFrame, drugs: DataFrame, rows_per_task: int) -> DataFrame:
@@ -163,7 +162,7 @@ def drug_pairs_serious(
         .filter(F.col("total") * most >= min_co_reports)
     )
     return (
-        _count_name_pairs(_keep_drugs(rows, frequent, rows_per_task), rows_per_task)
+        _count_name_pairs(_keep_drugs(rows, frequent, rows_per_task), _grid(rows, rows_per_task))
         .filter(F.col("co_report_count") >= min_co_reports)
         .orderBy(F.desc("co_report_count"), "drug_a", "drug_b")
         .limit(limit)
@@ -173,12 +172,11 @@ def drug_pairs_serious(
 def name_pairs(drug: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Pairs of drug rows within a report, by the names in alphabetical order."""
     rows = drug.groupBy("report_id", "drugname_clean").agg(F.count("*").alias("rows"))
-    return _count_name_pairs(rows, rows_per_task)
+    return _count_name_pairs(rows, _grid(rows, rows_per_task))
 
 
-def _count_name_pairs(rows: DataFrame, rows_per_task: int) -> DataFrame:
-    left, right, keys = _meet(rows, rows_per_task)
-    pairs = left.join(right, keys).filter(F.col("a_drugname_clean") < F.col("b_drugname_clean"))
+def _count_name_pairs(rows: DataFrame, grid: Grid) -> DataFrame:
+    pairs = _meet(rows, grid).filter(F.col("a_drugname_clean") < F.col("b_drugname_clean"))
     return pairs.groupBy(
         F.col("a_drugname_clean").alias("drug_a"), F.col("b_drugname_clean").alias("drug_b")
     ).agg(F.sum(F.col("a_rows") * F.col("b_rows")).alias("co_report_count"))
@@ -193,12 +191,12 @@ def _places(drug: DataFrame) -> DataFrame:
 
 def place_pairs(drug: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Reports that list drug 1 somewhere before drug 2, for all drugs."""
-    return _count_ordered_pairs(_places(drug), rows_per_task)
+    rows = _places(drug)
+    return _count_ordered_pairs(rows, _grid(rows, rows_per_task))
 
 
-def _count_ordered_pairs(rows: DataFrame, rows_per_task: int) -> DataFrame:
-    left, right, keys = _meet(rows, rows_per_task)
-    pairs = left.join(right, keys).filter(F.col("a_first") < F.col("b_last"))
+def _count_ordered_pairs(rows: DataFrame, grid: Grid) -> DataFrame:
+    pairs = _meet(rows, grid).filter(F.col("a_first") < F.col("b_last"))
     return pairs.groupBy(
         F.col("a_drugname_clean").alias("drug_1"), F.col("b_drugname_clean").alias("drug_2")
     ).agg(F.count("*").alias("co_occurrence_reports"))
@@ -219,10 +217,11 @@ def drug_pairs(t: Tables, limit: int = 20, rows_per_task: int = ROWS_PER_TASK) -
     foremost = support.orderBy(F.desc("reports"), "drugname_clean").limit(BOUND_DRUGS)
     among = rows.join(F.broadcast(foremost.select("drugname_clean")), "drugname_clean")
     order = [F.desc("co_occurrence_reports"), "drug_1", "drug_2"]
-    best = _count_ordered_pairs(among, rows_per_task).orderBy(*order).limit(limit)
+    grid = _grid(rows, rows_per_task)
+    best = _count_ordered_pairs(among.select(rows.columns), grid).orderBy(*order).limit(limit)
     bound = best.agg(
         F.when(F.count("*") == limit, F.min("co_occurrence_reports")).otherwise(0)
     ).scalar()
     frequent = support.filter(F.col("reports") >= bound)
     kept = _keep_drugs(rows, frequent, rows_per_task)
-    return _count_ordered_pairs(kept, rows_per_task).orderBy(*order).limit(limit)
+    return _count_ordered_pairs(kept, grid).orderBy(*order).limit(limit)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import ChainMap
 from collections.abc import Callable, Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from casetide.functions import ratios as R
 from casetide.functions.clean import nonempty
 from casetide.operators import cases
 from casetide.plans.skew import LEFT_PART, RIGHT_PART, ROWS_PER_TASK, Grid
+from casetide.runtime import together
 
 Tables = Mapping[str, DataFrame]
 
@@ -229,11 +231,6 @@ def mv_signal_prr(t: Tables, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     )
 
 
-def _weighted_mean(value: Column, weight: Column) -> Column:
-    known = F.when(value.isNotNull(), weight)
-    return F.sum(value * weight) / F.nullif(F.sum(known).cast("double"), F.lit(0.0))
-
-
 def mv_age_sex_distribution(t: Tables) -> DataFrame:
     """Patients of each primary suspect drug. Means and median are over drug rows.
 
@@ -251,9 +248,9 @@ def mv_age_sex_distribution(t: Tables) -> DataFrame:
         .groupBy("drugname_clean", "quarter", "sex", "age_group")
         .agg(
             F.count("*").alias("report_count"),
-            _weighted_mean(F.col("age_years"), rows).alias("avg_age"),
+            R.mean(F.col("age_years"), rows).alias("avg_age"),
             F.percentile("age_years", F.lit(0.5), rows).alias("median_age"),
-            _weighted_mean(F.col("weight_kg"), rows).alias("avg_weight_kg"),
+            R.mean(F.col("weight_kg"), rows).alias("avg_weight_kg"),
         )
     )
 
@@ -271,7 +268,7 @@ def mv_quarterly_trends(t: Tables) -> DataFrame:
             F.count_if(F.col("threatened") == 1).alias("life_threatening"),
             F.count_if(F.col("sex") == "Female").alias("female_cases"),
             F.count_if(F.col("sex") == "Male").alias("male_cases"),
-            _weighted_mean(F.col("age_years"), weight).alias("avg_age"),
+            R.mean(F.col("age_years"), weight).alias("avg_age"),
             F.count_distinct("reporter_country").alias("reporting_countries"),
         )
     )
@@ -332,17 +329,23 @@ def build_views(t: Tables) -> dict[str, DataFrame]:
 def refresh_views(
     spark: SparkSession, t: Tables, root: str, names: list[str] | None = None
 ) -> dict[str, DataFrame]:
-    """Rebuild and store the views in order of dependency, and return them as stored.
+    """Rebuild and store the views, and return them as stored.
 
-    ``mv_latest_cases`` is stored first; all others read it from there, so the cases
-    are resolved once, and a lost executor costs no more than the view in progress.
+    ``mv_latest_cases`` is stored first and all others read it from there, so the
+    cases are resolved once, and a lost executor costs no more than the views in
+    progress. The others do not depend on each other and are built side by side.
     """
-    stored: dict[str, DataFrame] = {}
-    for name in names or list(VIEWS):
-        path = f"{root.rstrip('/')}/{name}"
-        VIEWS[name](ChainMap(stored, t)).write.mode("overwrite").parquet(path)
-        stored[name] = spark.read.parquet(path)
-    return stored
+    first = "mv_latest_cases"
+    wanted = [n for n in names or VIEWS if n != first]
+
+    def rebuild(name: str, sources: Tables) -> None:
+        VIEWS[name](sources).write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}")
+
+    rebuild(first, t)
+    stored = {first: spark.read.parquet(f"{root.rstrip('/')}/{first}")}
+    sources = ChainMap(stored, t)
+    together([partial(rebuild, name, sources) for name in wanted])
+    return stored | {n: spark.read.parquet(f"{root.rstrip('/')}/{n}") for n in wanted}
 
 
 def register_views(views: Mapping[str, DataFrame]) -> None:

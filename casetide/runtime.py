@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def together(jobs: Iterable[Callable[[], None]], at_once: int = 4) -> None:
+    """Run independent Spark jobs side by side, so that one's last tasks leave no core idle.
+
+    The first failure is raised after the others have ended.
+    """
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        for future in [pool.submit(job) for job in jobs]:
+            future.result()

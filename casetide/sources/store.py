@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from casetide import schemas as S
 from casetide.operators.cases import dedup_versions, enforce_parent
 from casetide.operators.cleaning import clean_table
+from casetide.runtime import together
 
 MAX_ROWS_PER_FILE = 20_000_000
 METADATA_TABLE = "quarter_metadata"
@@ -93,7 +94,7 @@ def _missing_quarters(df: DataFrame, path: str) -> DataFrame:
 def write_quarter(
     tables: Mapping[str, DataFrame], root: str, force: bool = False
 ) -> dict[str, DataFrame]:
-    """Store cleaned tables, parent first, and return them as stored.
+    """Store cleaned tables, parent first, then the children side by side; return them as stored.
 
     A quarter that a table holds already is skipped, or replaced with ``force``.
     Each table is replaced quarter by quarter in one commit and looks at its own
@@ -101,14 +102,24 @@ def write_quarter(
     are kept only where the stored parent table holds their report.
     """
     spark = tables["demo"].sparkSession
-    for name in [n for n in S.TABLES if n in tables]:
-        path, df = table_path(root, name), tables[name]
+    present = [n for n in S.TABLES if n in tables]
+
+    def write(name: str) -> None:
+        df = tables[name]
         if not force:
-            df = _missing_quarters(df, path)
-        if name != "demo":
-            df = enforce_parent(df, read_table(spark, root, "demo"))
-        _write(df, path)
-    return {n: read_table(spark, root, n) for n in S.TABLES if n in tables}
+            df = _missing_quarters(df, table_path(root, name))
+        write_table(spark, df, root, name)
+
+    write("demo")
+    together([partial(write, name) for name in present if name != "demo"])
+    return {n: read_table(spark, root, n) for n in present}
+
+
+def write_table(spark: SparkSession, df: DataFrame, root: str, table: str) -> None:
+    """Replace the quarters of one table; of children, only rows with a stored report."""
+    if table != "demo":
+        df = enforce_parent(df, read_table(spark, root, "demo"))
+    _write(df, table_path(root, table))
 
 
 def reload_quarter(
