@@ -50,7 +50,7 @@ def hot_keys(
 
     def parts(part: str) -> Column:
         share = F.max(F.when(F.col("_side") == part, F.col("_rows"))) / rows_per_task
-        return F.coalesce(F.least(F.ceil(share), F.lit(MAX_PARTS)), F.lit(1)).cast("int")
+        return F.least(F.ceil(F.coalesce(share, F.lit(1))), F.lit(MAX_PARTS)).cast("int")
 
     keys = reduce(lambda a, b: a.union(b), [seen(df, part) for part, df in sides.items()])
     return (

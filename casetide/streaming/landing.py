@@ -17,6 +17,8 @@ from casetide.schemas import TABLES
 from casetide.sources import raw, store
 
 FILES_PER_BATCH = 1_000
+# Layout of Spark's file source; only the path is read.
+FILE_LAYOUT = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
 def load_touched(spark: SparkSession, raw_root: str, store_root: str, paths: DataFrame) -> None:
@@ -40,6 +42,7 @@ def land(
     """Process all files that have arrived since the last run, then stop."""
     files = (
         spark.readStream.format("binaryFile")
+        .schema(FILE_LAYOUT)
         .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", FILES_PER_BATCH)
         .load(raw_root)
