@@ -28,11 +28,10 @@ def prr_full(
     drugs = role_filter(named, "PS").select("report_id", F.col("drugname_clean").alias("drug"))
     reactions = t["reac"].select("report_id", F.col("pt_clean").alias("reaction"))
     pairing = Pairing(drugs, reactions, None, rows_per_task)
-    pairs = pairing.count(["drug", "reaction"], "drug_reaction_count")
+    pairs = pairing.count(["drug", "reaction"], "drug_reaction_count", min_reports)
     total = t["demo"].agg(F.count_distinct("report_id"))
     counted = (
-        pairs.filter(F.col("drug_reaction_count") >= min_reports)
-        .join(pairing.count_drugs(["drug"], "drug_total"), "drug")
+        pairs.join(pairing.count_drugs(["drug"], "drug_total"), "drug")
         .join(pairing.count_others(["reaction"], "reaction_total"), "reaction")
         .withColumn("grand_total", total.scalar())
         .select(
@@ -49,12 +48,13 @@ def drug_trend(t: Tables, drug: str) -> DataFrame:
     """Reports, deaths, hospitalizations and different reactions of a drug by quarter.
 
     Outcomes and reactions are looked up apart from each other, for the drug's
-    reports only; joining both to the drug rows at once would multiply them.
+    reports only; joining both to the drug rows at once would multiply them. The
+    reports are stored in the scratch folder, so the drug table is searched once.
     """
-    reports = role_filter(drug_search(t["drug"], drug), "PS")
-    reports = reports.select("report_id", "quarter").distinct()
+    rows = role_filter(drug_search(t["drug"], drug), "PS")
+    reports = materialize(rows.select("report_id", "quarter").distinct(), "reports")
     outcomes = split_join(
-        t["outc"].select("report_id", "outc_cod"), reports.select("report_id").distinct(),
+        t["outc"].select("report_id", "outc_cod"), reports.select("report_id"),
         ["report_id"], "left_semi",
     )
     counts = (

@@ -81,6 +81,8 @@ class Grid:
         right: DataFrame | None = None,
         rows_per_task: int = ROWS_PER_TASK,
     ):
+        if LEFT_PART in left.columns:
+            raise ValueError("drop the part columns of one grid before laying out another")
         self.on = list(on)
         sides = {LEFT_PART: left} if right is None else {LEFT_PART: left, RIGHT_PART: right}
         found = hot_keys(sides, on, rows_per_task)

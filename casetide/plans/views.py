@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from casetide.functions import ratios as R
 from casetide.functions.clean import nonempty
 from casetide.operators import cases
-from casetide.plans.skew import LEFT_PART, RIGHT_PART, ROWS_PER_TASK, Grid
+from casetide.plans.skew import LEFT_PART, RIGHT_PART, ROWS_PER_TASK, Grid, split_join
 from casetide.runtime import together
 
 Tables = Mapping[str, DataFrame]
@@ -73,24 +73,53 @@ class Pairing:
         latest: DataFrame | None,
         rows_per_task: int = ROWS_PER_TASK,
     ):
+        self._rows_per_task = rows_per_task
         self._grid = Grid(["report_id"], drugs, others, rows_per_task)
-        self._drugs = self._grid.left(drugs, drugs.columns)
-        self._others = self._grid.right(others, others.columns)
+        self._all_drugs, self._all_others = drugs, others
+        self._drugs, self._others = self._place_drugs(drugs), self._place_others(others)
         self._latest = None
         if latest is not None:
             self._latest = self._grid.copies(latest.select("report_id"))
 
-    def _distinct(self, side: DataFrame, restrict: bool = True) -> DataFrame:
-        if restrict and self._latest is not None:
+    def _place_drugs(self, drugs: DataFrame) -> DataFrame:
+        return self._grid.left(drugs, drugs.columns)
+
+    def _place_others(self, others: DataFrame) -> DataFrame:
+        return self._grid.right(others, others.columns)
+
+    def _distinct(self, side: DataFrame) -> DataFrame:
+        # Restricting either side brings it into the layout of the join, where the
+        # removal of duplicates needs no shuffle of its own.
+        if self._latest is not None:
             side = side.join(self._latest, self._grid.keys, "left_semi")
         return side.dropDuplicates()
 
-    def count(self, columns: list[str], name: str) -> DataFrame:
-        """Reports in which a drug row and another row meet, by their columns."""
-        met = self._distinct(self._drugs).join(
-            self._distinct(self._others, restrict=False), self._grid.keys
-        )
-        return met.groupBy(*columns).agg(F.count("*").alias(name))
+    def count(self, columns: list[str], name: str, least: int = 1) -> DataFrame:
+        """Reports in which a drug row and another row meet, by their columns.
+
+        Groups below ``least`` reports are left out. If there are hot reports, whose
+        rows would all be paired, drugs and reactions that are too rare to reach
+        ``least`` go before anything is paired.
+        """
+        drugs, others = self._drugs, self._others
+        if least > 1 and self._grid.parts:
+            drugs = self._place_drugs(
+                self._frequent(self._all_drugs, self.count_drugs, columns, least)
+            )
+            others = self._place_others(
+                self._frequent(self._all_others, self.count_others, columns, least)
+            )
+        met = self._distinct(drugs).join(self._distinct(others), self._grid.keys)
+        counted = met.groupBy(*columns).agg(F.count("*").alias(name))
+        return counted.filter(F.col(name) >= least) if least > 1 else counted
+
+    def _frequent(
+        self, side: DataFrame, totals: Callable, columns: list[str], least: int
+    ) -> DataFrame:
+        own = [c for c in columns if c in side.columns]
+        enough = totals(own, "_reports").filter(F.col("_reports") >= least).select(*own)
+        by = ["report_id"]
+        return split_join(side, enough, own, "left_semi", by, self._rows_per_task)
 
     def count_drugs(self, columns: list[str], name: str) -> DataFrame:
         # A drug row is copied to all parts of the other side and counts in the first.
@@ -212,8 +241,9 @@ def mv_signal_prr(t: Tables, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     )
     reactions = t["reac"].select("report_id", F.col("pt_clean").alias("reaction_term"))
     pairing = Pairing(drugs, reactions, latest, rows_per_task)
-    pairs = pairing.count(["drugname_clean", "reaction_term", "quarter"], "drug_reaction_count")
-    pairs = pairs.filter(F.col("drug_reaction_count") >= R.SIGNAL_MIN_REPORTS)
+    pairs = pairing.count(
+        ["drugname_clean", "reaction_term", "quarter"], "drug_reaction_count", R.SIGNAL_MIN_REPORTS
+    )
     drug_totals = pairing.count_drugs(["drugname_clean", "quarter"], "drug_total")
     reaction_totals = pairing.count_others(["reaction_term"], "reaction_total")
     total = latest.agg(F.count_distinct("report_id"))

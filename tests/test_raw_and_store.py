@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from casetide.operators import joins
 from casetide.operators.cleaning import clean_table
 from casetide.sources import raw, store
+from casetide.sources.mapped import bed
 from casetide.streaming.landing import land
 
 LINES = [
@@ -127,6 +129,23 @@ def test_stored_quarters_prune(spark, quarters, tmp_path):
     assert "ReadSchema: struct<report_id:bigint,outc_cod:string>" in text
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path, rows):
+    tables = bed(spark, "/root/testdata/sf0.001").tables()
+    chosen = {n: tables[n] for n in ("demo", "drug", "reac")}
+    saved = store.bucket_tables(chosen, str(tmp_path), 4, "bucketed_")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = joins.drug_reac_join(saved)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert "Exchange" in joins.drug_reac_join(chosen)._jdf.queryExecution().executedPlan().toString()
+        assert pairs.count() == joins.drug_reac_join(chosen).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in chosen:
+            spark.sql(f"DROP TABLE IF EXISTS bucketed_{name}")
+
+
 def test_export_is_slim_and_skips(spark, quarters, tmp_path, rows):
     root = str(tmp_path / "export")
     tables = load(spark, quarters)

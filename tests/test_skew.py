@@ -39,7 +39,7 @@ def test_unsupported_join_type(sides):
 
 def test_both_sides_cut(sides, rows):
     left, right = sides
-    many = right.crossJoin(left.sparkSession.range(30).select(F.col("id").alias("copy")))
+    many = right.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(30))))
     renamed = left.withColumnRenamed("k", "report_id"), many.withColumnRenamed("k", "report_id")
     cut = joins.many_to_many(*renamed, rows_per_task=25)
     assert rows(cut) == rows(renamed[0].join(renamed[1], "report_id"))

@@ -89,7 +89,13 @@ def mapped(spark):
     "build", [views.mv_drug_reaction_pairs, views.mv_drug_outcomes, views.mv_signal_prr]
 )
 def test_hot_reports_change_nothing(mapped, rows, build):
-    assert rows(build(mapped, 3)) == rows(build(mapped))
+    assert rows(build(mapped, rows_per_task=3)) == rows(build(mapped))
+
+
+def test_hot_reports_change_no_ratio(mapped, rows):
+    for least in (1, 4):
+        cut = heavy.prr_full(mapped, least, rows_per_task=3)
+        assert rows(cut) == rows(heavy.prr_full(mapped, least))
 
 
 def test_case_in_several_roles_counts_once(spark, rows):
