@@ -16,6 +16,7 @@ just as exact. With no such key, as usual, the plan is the plain join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -29,6 +30,7 @@ MAX_PARTS = 2_000
 SAMPLED_ROWS = 5_000
 SAMPLE_SEED = 7
 
+SIDE, ROWS = "_side", "_rows"
 LEFT_PART, RIGHT_PART = "_left_part", "_right_part"
 _COUNTS = {LEFT_PART: "_left_parts", RIGHT_PART: "_right_parts"}
 
@@ -36,32 +38,25 @@ _COUNTS = {LEFT_PART: "_left_parts", RIGHT_PART: "_right_parts"}
 def hot_keys(
     sides: dict[str, DataFrame], on: Sequence[str], rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Keys above the task budget in any side, with the number of parts for each side.
+    """Keys above the task budget, by side, with their estimated number of rows.
 
     A key at the budget has ``SAMPLED_ROWS`` rows in the sample, enough to tell it
     from an ordinary one; a smaller budget is counted in full.
     """
     fraction = min(1.0, SAMPLED_ROWS / rows_per_task)
 
-    def seen(side: DataFrame, part: str) -> DataFrame:
+    def seen(side: DataFrame, name: str) -> DataFrame:
         keys = side.select(*on).dropna(subset=list(on))
         keys = keys.sample(fraction, seed=SAMPLE_SEED) if fraction < 1.0 else keys
-        return keys.withColumn("_side", F.lit(part))
+        return keys.withColumn(SIDE, F.lit(name))
 
-    def parts(part: str) -> Column:
-        share = F.max(F.when(F.col("_side") == part, F.col("_rows"))) / rows_per_task
-        return F.least(F.ceil(F.coalesce(share, F.lit(1))), F.lit(MAX_PARTS)).cast("int")
-
-    keys = reduce(lambda a, b: a.union(b), [seen(df, part) for part, df in sides.items()])
+    keys = reduce(lambda a, b: a.union(b), [seen(df, name) for name, df in sides.items()])
     return (
-        keys.groupBy(*on, "_side")
-        .agg((F.count("*") / fraction).alias("_rows"))
-        .filter(F.col("_rows") > rows_per_task)
-        .groupBy(*on)
-        .agg(*[parts(p).alias(_COUNTS[p]) for p in sides], F.max("_rows").alias("_rows"))
-        .orderBy(F.desc("_rows"), *on)
+        keys.groupBy(*on, SIDE)
+        .agg((F.count("*") / fraction).alias(ROWS))
+        .filter(F.col(ROWS) > rows_per_task)
+        .orderBy(F.desc(ROWS), SIDE, *on)
         .limit(MAX_HOT_KEYS)
-        .drop("_rows")
     )
 
 
@@ -72,6 +67,9 @@ class Grid:
     prepared join on ``keys``. Rows of one side that agree on ``spread_by`` get the
     same part, so duplicates on those columns can be removed, and groups of them
     counted, within the partitioning of the join.
+
+    ``known`` is a result of ``hot_keys`` for tables that the sides are taken from,
+    with the sides named as here; it spares looking for the keys again.
     """
 
     def __init__(
@@ -80,18 +78,26 @@ class Grid:
         left: DataFrame,
         right: DataFrame | None = None,
         rows_per_task: int = ROWS_PER_TASK,
+        known: DataFrame | None = None,
     ):
         if LEFT_PART in left.columns:
             raise ValueError("drop the part columns of one grid before laying out another")
         self.on = list(on)
         sides = {LEFT_PART: left} if right is None else {LEFT_PART: left, RIGHT_PART: right}
-        found = hot_keys(sides, on, rows_per_task)
-        rows = found.collect()
+        found = (hot_keys(sides, on, rows_per_task) if known is None else known).collect()
+        parts: dict[tuple, dict[str, int]] = {}
+        for row in found:
+            count = min(math.ceil(row[ROWS] / rows_per_task), MAX_PARTS)
+            parts.setdefault(tuple(row[c] for c in on), {})[row[SIDE]] = count
         self._hot = None
         self.parts: list[str] = []
-        if rows:
-            self._hot = F.broadcast(left.sparkSession.createDataFrame(rows, _typed(found)))
+        if parts:
             self.parts = list(sides)
+            rows = [(*k, *[by_side.get(p, 1) for p in sides]) for k, by_side in parts.items()]
+            layout = [T.StructField(c, left.schema[c].dataType) for c in on]
+            layout += [T.StructField(_COUNTS[p], T.IntegerType()) for p in sides]
+            hot = left.sparkSession.createDataFrame(rows, T.StructType(layout))
+            self._hot = F.broadcast(hot)
         self.keys = [*self.on, *self.parts]
 
     def _place(self, df: DataFrame, cut: str | None, spread_by: Sequence[str]) -> DataFrame:
@@ -122,10 +128,6 @@ class Grid:
         return F.col(part) == 0 if part in self.parts else F.lit(True)
 
 
-def _typed(df: DataFrame) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
-
-
 def split_join(
     left: DataFrame,
     right: DataFrame,

@@ -22,16 +22,39 @@ from pyspark.sql import functions as F
 from casetide.functions import ratios as R
 from casetide.functions.clean import nonempty
 from casetide.operators import cases
-from casetide.plans.skew import LEFT_PART, RIGHT_PART, ROWS_PER_TASK, Grid, split_join
+from casetide.plans.skew import (
+    LEFT_PART,
+    RIGHT_PART,
+    ROWS_PER_TASK,
+    SIDE,
+    Grid,
+    hot_keys,
+    split_join,
+)
 from casetide.runtime import together
 
 Tables = Mapping[str, DataFrame]
+HOT_REPORTS = "hot_reports"
 
 
 def _latest(t: Tables) -> DataFrame:
     return t["mv_latest_cases"] if "mv_latest_cases" in t else mv_latest_cases(t)
 
 
+def hot_reports(t: Tables, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Reports with very many drug, reaction or outcome rows, found once for all views."""
+    return hot_keys({n: t[n] for n in ("drug", "reac", "outc")}, ["report_id"], rows_per_task)
+
+
+def _hot(t: Tables, left: str, right: str | None = None) -> DataFrame | None:
+    """The stored hot reports of the tables on either side of a join, if there are any."""
+    if HOT_REPORTS not in t:
+        return None
+    stored = t[HOT_REPORTS].filter(F.col(SIDE).isin([n for n in (left, right) if n]))
+    side = F.when(F.col(SIDE) == left, LEFT_PART).otherwise(RIGHT_PART)
+    return stored.withColumn(SIDE, side)
+
+
 def _named(drug: DataFrame) -> DataFrame:
     return drug.filter(nonempty(F.col("drugname_clean")))
 
@@ -42,6 +65,7 @@ def per_report(
     columns: list[str],
     aggregates: Sequence[Column] = (),
     rows_per_task: int = ROWS_PER_TASK,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """One row for each report and distinct ``columns``, for the given reports only.
 
@@ -49,7 +73,7 @@ def per_report(
     aggregates default to the number of rows. One shuffle on ``report_id`` serves the
     restriction to the reports and the grouping.
     """
-    grid = Grid(["report_id"], rows, rows_per_task=rows_per_task)
+    grid = Grid(["report_id"], rows, rows_per_task=rows_per_task, known=known)
     carried = [c for c in reports.columns if c != "report_id"]
     kept = grid.left(rows, ["report_id", *columns]).join(
         grid.copies(reports), grid.keys, "inner" if carried else "left_semi"
@@ -72,9 +96,10 @@ class Pairing:
         others: DataFrame,
         latest: DataFrame | None,
         rows_per_task: int = ROWS_PER_TASK,
+        known: DataFrame | None = None,
     ):
         self._rows_per_task = rows_per_task
-        self._grid = Grid(["report_id"], drugs, others, rows_per_task)
+        self._grid = Grid(["report_id"], drugs, others, rows_per_task, known)
         self._all_drugs, self._all_others = drugs, others
         self._drugs, self._others = self._place_drugs(drugs), self._place_others(others)
         self._latest = None
@@ -171,7 +196,8 @@ def mv_drug_reaction_pairs(t: Tables, rows_per_task: int = ROWS_PER_TASK) -> Dat
     group = [
         "drugname_clean", "prod_ai_clean", "role_cod", "drug_role", "reaction_term", "quarter"
     ]
-    return Pairing(drugs, reactions, _latest(t), rows_per_task).count(group, "report_count")
+    pairing = Pairing(drugs, reactions, _latest(t), rows_per_task, _hot(t, "drug", "reac"))
+    return pairing.count(group, "report_count")
 
 
 def mv_drug_outcomes(t: Tables, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -180,7 +206,8 @@ def mv_drug_outcomes(t: Tables, rows_per_task: int = ROWS_PER_TASK) -> DataFrame
     )
     outcomes = t["outc"].select("report_id", "outc_cod", "outcome_label")
     group = ["drugname_clean", "prod_ai_clean", "role_cod", "outc_cod", "outcome_label", "quarter"]
-    return Pairing(drugs, outcomes, _latest(t), rows_per_task).count(group, "report_count")
+    pairing = Pairing(drugs, outcomes, _latest(t), rows_per_task, _hot(t, "drug", "outc"))
+    return pairing.count(group, "report_count")
 
 
 def mv_death_by_drug(t: Tables) -> DataFrame:
@@ -194,7 +221,10 @@ def mv_death_by_drug(t: Tables) -> DataFrame:
     suspects = _named(t["drug"]).filter(F.col("role_cod").isin("PS", "SS"))
     group = ["drugname_clean", "prod_ai_clean", "quarter"]
     dead = per_report(
-        suspects.select("report_id", *group), latest.join(deaths, "report_id", "left_semi"), group
+        suspects.select("report_id", *group),
+        latest.join(deaths, "report_id", "left_semi"),
+        group,
+        known=_hot(t, "drug"),
     )
     primary = t["drug"].filter(F.col("role_cod") == "PS").select("report_id").distinct()
     whole = latest.join(primary, "report_id", "left_semi").agg(F.count_distinct("report_id"))
@@ -240,7 +270,7 @@ def mv_signal_prr(t: Tables, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
         .select("report_id", "drugname_clean", "quarter")
     )
     reactions = t["reac"].select("report_id", F.col("pt_clean").alias("reaction_term"))
-    pairing = Pairing(drugs, reactions, latest, rows_per_task)
+    pairing = Pairing(drugs, reactions, latest, rows_per_task, _hot(t, "drug", "reac"))
     pairs = pairing.count(
         ["drugname_clean", "reaction_term", "quarter"], "drug_reaction_count", R.SIGNAL_MIN_REPORTS
     )
@@ -273,8 +303,12 @@ def mv_age_sex_distribution(t: Tables) -> DataFrame:
     people = people.join(_latest(t).select("report_id"), "report_id", "left_semi")
     rows = F.col("rows")
     return (
-        per_report(primary.select("report_id", "drugname_clean", "quarter"), people,
-                   ["drugname_clean", "quarter"])
+        per_report(
+            primary.select("report_id", "drugname_clean", "quarter"),
+            people,
+            ["drugname_clean", "quarter"],
+            known=_hot(t, "drug"),
+        )
         .groupBy("drugname_clean", "quarter", "sex", "age_group")
         .agg(
             F.count("*").alias("report_count"),
@@ -317,7 +351,8 @@ def mv_top_drugs(t: Tables) -> DataFrame:
 
     roles = [has("PS"), has("SS"), has("C")]
     drugs = _named(t["drug"]).select("report_id", *group, "role_cod")
-    flags = per_report(drugs, _latest(t).select("report_id"), group, roles)
+    latest = _latest(t).select("report_id")
+    flags = per_report(drugs, latest, group, roles, known=_hot(t, "drug"))
     return flags.groupBy(*group).agg(
         F.count("*").alias("report_count"),
         F.sum("PS").alias("ps_count"),
@@ -330,7 +365,12 @@ def mv_top_reactions(t: Tables) -> DataFrame:
     reactions = t["reac"].filter(nonempty(F.col("pt_clean")))
     reactions = reactions.select("report_id", F.col("pt_clean").alias("reaction_term"), "quarter")
     return (
-        per_report(reactions, _latest(t).select("report_id"), ["reaction_term", "quarter"])
+        per_report(
+            reactions,
+            _latest(t).select("report_id"),
+            ["reaction_term", "quarter"],
+            known=_hot(t, "reac"),
+        )
         .groupBy("reaction_term", "quarter")
         .agg(F.count("*").alias("report_count"))
     )
@@ -361,21 +401,23 @@ def refresh_views(
 ) -> dict[str, DataFrame]:
     """Rebuild and store the views, and return them as stored.
 
-    ``mv_latest_cases`` is stored first and all others read it from there, so the
-    cases are resolved once, and a lost executor costs no more than the views in
-    progress. The others do not depend on each other and are built side by side.
+    ``mv_latest_cases`` and the list of hot reports are stored first and all others
+    read them from there, so cases are resolved and keys are looked at once, and a
+    lost executor costs no more than the views in progress. The others do not depend
+    on each other and are built side by side.
     """
+    root = root.rstrip("/")
     first = "mv_latest_cases"
     wanted = [n for n in names or VIEWS if n != first]
 
-    def rebuild(name: str, sources: Tables) -> None:
-        VIEWS[name](sources).write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}")
+    def rebuild(name: str, build: Callable[[Tables], DataFrame], sources: Tables) -> None:
+        build(sources).write.mode("overwrite").parquet(f"{root}/{name}")
 
-    rebuild(first, t)
-    stored = {first: spark.read.parquet(f"{root.rstrip('/')}/{first}")}
-    sources = ChainMap(stored, t)
-    together([partial(rebuild, name, sources) for name in wanted])
-    return stored | {n: spark.read.parquet(f"{root.rstrip('/')}/{n}") for n in wanted}
+    together([partial(rebuild, first, VIEWS[first], t), partial(rebuild, HOT_REPORTS, hot_reports, t)])
+    shared = {n: spark.read.parquet(f"{root}/{n}") for n in (first, HOT_REPORTS)}
+    sources = ChainMap(shared, t)
+    together([partial(rebuild, name, VIEWS[name], sources) for name in wanted])
+    return {n: spark.read.parquet(f"{root}/{n}") for n in (first, *wanted)}
 
 
 def register_views(views: Mapping[str, DataFrame]) -> None:

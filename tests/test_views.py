@@ -1,5 +1,7 @@
 """Hand-worked signals, invariants, and hot reports in the standing views."""
 
+from collections import ChainMap
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +150,16 @@ def test_refresh_stores_all_views(spark, mapped, tmp_path, rows):
     assert spark.sql("SELECT count(*) FROM mv_top_reactions").collect()[0][0] > 0
 
 
+def test_known_hot_reports_change_nothing(mapped, rows):
+    hot = views.hot_reports(mapped, 6)
+    assert hot.count() > 0
+    known = ChainMap({"hot_reports": hot}, mapped)
+    for name in ("mv_top_drugs", "mv_top_reactions", "mv_death_by_drug"):
+        assert rows(views.VIEWS[name](known)) == rows(views.VIEWS[name](mapped))
+    for build in (views.mv_signal_prr, views.mv_drug_outcomes):
+        assert rows(build(known, rows_per_task=4)) == rows(build(mapped))
+
+
 def test_no_view_plan_needs_a_cartesian_product(mapped):
     for name, build in views.VIEWS.items():
         plan = build(mapped)._jdf.queryExecution().toString()
