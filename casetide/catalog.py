@@ -222,10 +222,8 @@ def refresh_views(bed: Bed) -> DataFrame:
 
 @query
 def parse_event_date(bed: Bed) -> DataFrame:
-    raw_date = F.col("event_dt")
-    return bed.raw("demo").select(
-        "report_id", "event_dt", C.parse_event_date(raw_date).alias("event_date")
-    )
+    rows = bed.raw("demo").select("report_id", "event_dt")
+    return C.with_event_dates(rows, {"event_date": F.col("event_dt")})
 
 
 @query

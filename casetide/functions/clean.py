@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casetide import schemas as S
@@ -51,6 +51,27 @@ def half_up(value: Column, digits: int) -> Column:
     return F.floor(value * scale + F.lit(0.5)) / F.lit(scale)
 
 
+def _digits(bare: Column) -> Column:
+    # Nearly all dates are digits only; the others go through the pattern.
+    plain = F.translate(bare, "0123456789", "") == ""
+    return F.when(plain, bare).otherwise(F.regexp_replace(bare, "[^0-9]", ""))
+
+
+def _day(bare: Column, digits: Column) -> Column:
+    slashed = F.coalesce(F.try_to_date(bare, "M/d/yyyy"), F.try_to_date(bare, "d/M/yyyy"))
+    # 2024 and 202411 are filled up to the first of the year or month.
+    by_size = F.try_to_date(F.rpad(digits, 8, "0101"), "yyyyMMdd")
+    day = F.coalesce(
+        F.when(bare.contains("/"), slashed), F.when(F.length(digits).isin(4, 6, 8), by_size)
+    )
+    return F.when(~bare.isin(*S.DATE_SENTINELS), day)
+
+
+def _in_range(day: Column) -> Column:
+    first, last = (F.lit(d).cast("date") for d in (S.FIRST_DATE, S.LAST_DATE))
+    return F.when(day.between(first, last), day)
+
+
 def parse_event_date(text: Column) -> Column:
     """Date from the mixed spellings of the raw files.
 
@@ -60,18 +81,24 @@ def parse_event_date(text: Column) -> Column:
     the first of January; going by length gives November, as the format says.
     """
     bare = strip(text)
-    digits = F.regexp_replace(bare, "[^0-9]", "")
-    size = F.length(digits)
-    slashed = F.coalesce(F.try_to_date(bare, "M/d/yyyy"), F.try_to_date(bare, "d/M/yyyy"))
-    by_size = (
-        F.when(size == 8, F.try_to_date(digits, "yyyyMMdd"))
-        .when(size == 6, F.try_to_date(F.concat(digits, F.lit("01")), "yyyyMMdd"))
-        .when(size == 4, F.try_to_date(F.concat(digits, F.lit("0101")), "yyyyMMdd"))
-    )
-    looks_slashed = bare.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$")
-    day = F.when(looks_slashed, slashed).otherwise(by_size)
-    in_range = day.between(F.lit(S.FIRST_DATE).cast("date"), F.lit(S.LAST_DATE).cast("date"))
-    return F.when(~bare.isin(*S.DATE_SENTINELS) & in_range, day)
+    return _in_range(_day(bare, _digits(bare)))
+
+
+def with_event_dates(df: DataFrame, texts: Mapping[str, Column]) -> DataFrame:
+    """``parse_event_date`` for columns of a table, each step computed once per row.
+
+    A value that a later step needs several times is a column of its own here; as one
+    expression it would be computed again at each mention.
+    """
+
+    def step(df: DataFrame, suffix: str, value: Callable[[str], Column]) -> DataFrame:
+        return df.withColumns({f"_{name}{suffix}": value(name) for name in texts})
+
+    df = step(df, "_bare", lambda name: strip(texts[name]))
+    df = step(df, "_digits", lambda name: _digits(F.col(f"_{name}_bare")))
+    df = step(df, "_day", lambda name: _day(F.col(f"_{name}_bare"), F.col(f"_{name}_digits")))
+    df = df.withColumns({name: _in_range(F.col(f"_{name}_day")) for name in texts})
+    return df.drop(*[f"_{n}_{step}" for n in texts for step in ("bare", "digits", "day")])
 
 
 def _unit(code: Column) -> Column:

@@ -44,17 +44,21 @@ def _prepared(df: DataFrame, quarter: str | None) -> DataFrame:
 
 def clean_demo(raw: DataFrame, quarter: str | None = None) -> DataFrame:
     df = _prepared(raw, quarter)
-    years = C.age_to_years(_text(df, "age"), _text(df, "age_cod"))
-    return df.withColumns(
-        {
-            "caseversion": _key(df, "caseversion").cast("int"),
-            "event_dt": C.parse_event_date(_text(df, "event_dt")),
-            "fda_dt": C.parse_event_date(_text(df, "fda_dt")),
-            "age_years": years,
-            "weight_kg": C.weight_to_kg(_text(df, "wt"), _text(df, "wt_cod")),
-            "sex": C.clean_sex(_text(df, "sex")),
-        }
-    ).withColumn("age_group", C.age_group(F.col("age_years")))
+    dates = {"event_dt": _text(df, "event_dt"), "fda_dt": _text(df, "fda_dt")}
+    numbers = {"_age": C.number(_text(df, "age")), "_wt": C.number(_text(df, "wt"))}
+    df = C.with_event_dates(df, dates).withColumns(numbers)
+    return (
+        df.withColumns(
+            {
+                "caseversion": _key(df, "caseversion").cast("int"),
+                "age_years": C.age_to_years(F.col("_age"), _text(df, "age_cod")),
+                "weight_kg": C.weight_to_kg(F.col("_wt"), _text(df, "wt_cod")),
+                "sex": C.clean_sex(_text(df, "sex")),
+            }
+        )
+        .withColumn("age_group", C.age_group(F.col("age_years")))
+        .drop("_age", "_wt")
+    )
 
 
 def clean_drug(raw: DataFrame, quarter: str | None = None) -> DataFrame:
@@ -83,11 +87,10 @@ def clean_outc(raw: DataFrame, quarter: str | None = None) -> DataFrame:
 
 def clean_ther(raw: DataFrame, quarter: str | None = None) -> DataFrame:
     df = _prepared(raw, quarter)
-    return df.withColumns(
+    dates = {"start_dt": _text(df, "start_dt"), "end_dt": _text(df, "end_dt")}
+    return C.with_event_dates(df, dates).withColumns(
         {
             "drug_seq": _key(df, "drug_seq").cast("int"),
-            "start_dt": C.parse_event_date(_text(df, "start_dt")),
-            "end_dt": C.parse_event_date(_text(df, "end_dt")),
             "dur_days": C.duration_to_days(_text(df, "dur"), _text(df, "dur_cod")),
         }
     )

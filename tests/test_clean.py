@@ -29,6 +29,7 @@ DATES = [
     ("1/8/2012", dt.date(2012, 1, 8)),
     ("2024-03-15", dt.date(2024, 3, 15)),
     (" 20240315 ", dt.date(2024, 3, 15)),
+    ("2024/03/15", dt.date(2024, 3, 15)),
     ("20241399", None),
     ("202413", None),
     ("20230229", None),
@@ -50,6 +51,11 @@ def test_event_dates(spark):
     texts = [text for text, _ in DATES]
     found = apply(spark, C.parse_event_date(F.col("s")), texts, "s string")
     assert dict(zip(texts, found)) == dict(DATES)
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    table = C.with_event_dates(df, {"day": F.col("s"), "again": F.col("s")})
+    assert table.columns == ["s", "day", "again"]
+    assert {r.s: r.day for r in table.collect()} == dict(DATES)
+    assert table.filter("day is distinct from again").count() == 0
 
 
 AGES = [

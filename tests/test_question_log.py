@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from casetide.operators import question_log as L
 
@@ -130,4 +129,3 @@ def test_history(spark):
     assert [r.question for r in found] == ["q29", "q28", "q27"]
     assert found[0].timestamp == dt.datetime(2024, 1, 2, 5)
     assert L.log_history(log(spark)).columns[-2:] == ["error", "timestamp"]
-    assert F is not None
