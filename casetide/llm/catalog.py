@@ -6,16 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casetide.llm import simhash_trie
+from casetide.llm import decontaminate, packing, quality_gam, sharding, simhash_trie, url_trees
 from casetide.llm.tables import given
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(given(spark, sf_dir, "documents"), given(spark, sf_dir, "benchmark"))
+
+
+def op2_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trees.judge(given(spark, sf_dir, "pages"))
+
+
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.judge(given(spark, sf_dir, "documents"), given(spark, sf_dir, "labels"))
+
+
+def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(given(spark, sf_dir, "documents"))
+
+
 def op7_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(given(spark, sf_dir, "documents"))
 
 
+def op8_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(given(spark, sf_dir, "documents"), with_ids=False)
+
+
 def queries() -> dict[str, Query]:
     return {name: build for name, build in globals().items() if name.startswith("op") and callable(build)}
 
