@@ -6,8 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casetide.llm import decontaminate, packing, quality_gam, sharding, simhash_trie, url_trees
-from casetide.llm.tables import given
+from casetide.llm import (
+    decontaminate,
+    forest,
+    packing,
+    quality_gam,
+    sharding,
+    simhash_trie,
+    token_files,
+    url_trees,
+    warc,
+    wrapper,
+)
+from casetide.llm.tables import given, shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,10 +31,18 @@ def op2_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trees.judge(given(spark, sf_dir, "pages"))
 
 
+def op3_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(given(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.judge(given(spark, sf_dir, "documents"), given(spark, sf_dir, "labels"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(given(spark, sf_dir, "pages")).drop("url", "payload")
+
+
 def op6_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(given(spark, sf_dir, "documents"))
 
@@ -36,8 +55,19 @@ def op8_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(given(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op9_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_text(given(spark, sf_dir, "pages"))
+
+
+def op10_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.stored(given(spark, sf_dir, "documents"), with_ids=False)
+
+
 def queries() -> dict[str, Query]:
-    return {name: build for name, build in globals().items() if name.startswith("op") and callable(build)}
+    def over(build: Query) -> Query:
+        return lambda spark, sf_dir: build(shipped(spark), sf_dir)
+
+    return {name: over(build) for name, build in globals().items() if name.startswith("op") and callable(build)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """Send this library to the executors, once per session, so that tasks can import it.
+
+    Needed where it is not installed there and was not named in ``--py-files``.
+    """
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    name = f"casetide-{context.applicationId}.zip"
+    if not any(path.endswith(name) for path in context.listFiles):
+        made = os.path.join(tempfile.mkdtemp(prefix="ship-"), name)
+        with zipfile.ZipFile(made, "w") as bundle:
+            for source in sorted((root / "casetide").rglob("*.py")):
+                bundle.write(source, source.relative_to(root))
+        context.addPyFile(made)
+    return spark
+
+
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
