@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from casetide.llm import decontaminate, packing, quality_gam, simhash_trie
-from casetide.llm.tables import given
+from casetide.llm.tables import given, shipped
 from casetide.runtime import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -19,21 +19,23 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from the labelled ones among them."""
-    return quality_gam.accepted(docs, given(spark, sf_dir, "labels"))
+    return quality_gam.accepted(docs, given(shipped(spark), sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
+    shipped(spark)
     return simhash_trie.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    return decontaminate.clean(docs, given(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(docs, given(shipped(spark), sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the documents with their place in the sequences."""
+    shipped(spark)
     return packing.packed_documents(docs)
 
 
