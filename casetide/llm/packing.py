@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -152,13 +153,15 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIE
     """Rows with a ``length`` of 1 to ``capacity``, plus ``sequence_id`` and ``offset``.
 
     Every row keeps its other columns, repeated rows included. Rows share a sequence without
-    gaps. ``items`` needs no key: rows are numbered when they are first written. No rows
-    give no sequences. Columns named item, part, given, sequence_id or offset are refused.
+    gaps. ``items`` needs no key: rows are numbered when they are first written. Only numbers
+    and lengths are packed; the other columns, ids for instance, join the result by number.
+    No rows give no sequences. Columns named item, sequence_id or offset are refused.
     """
-    if clash := {"item", "part", "given", "sequence_id", "offset"} & set(items.columns):
+    if clash := {"item", "sequence_id", "offset"} & set(items.columns):
         raise ValueError(f"rename {sorted(clash)}")
-    left = materialize(items.withColumn("item", F.monotonically_increasing_id()), "pieces")
-    schema = f"{', '.join(f'`{n}` {t}' for n, t in left.dtypes)}, sequence_id long, offset long, given boolean"
+    numbered = materialize(items.withColumn("item", F.monotonically_increasing_id()), "pieces")
+    left = numbered.select("item", F.col("length").cast("long").alias("length"))
+    schema = "item long, length long, sequence_id long, offset long, given boolean"
     done, before = [], None
     rows = left.count()
     for turn in range(rounds):
@@ -166,7 +169,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIE
         last = parts == 1 or turn == rounds - 1
         dealt = left.withColumn("part", F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(parts)))
         packed = materialize(dealt.groupBy("part").applyInPandas(_packed(turn, capacity, last), schema), "packed")
-        counted = packed.agg(F.count_if("given"), F.count_if(F.col("offset") == 0), F.count_if(F.col("given") & (F.col("offset") == 0)))
+        first = F.col("offset") == 0
+        counted = packed.agg(F.count_if("given"), F.count_if(first), F.count_if(F.col("given") & first))
         rows, bins, given_bins = counted.first()
         if before is not None and bins >= before[1]:
             done.append(before[0])  # no sequence saved: what was given up stays as it was
@@ -175,11 +179,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_pieces: int = PART_PIE
         if last or not rows:
             break
         before = (packed.where("given"), given_bins)
-        left = before[0].drop("sequence_id", "offset", "given")
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    return out.drop("item", "given")
+        left = before[0].select("item", "length")
+    placed = reduce(DataFrame.union, done).select("item", "sequence_id", "offset")
+    return numbered.join(placed, "item").drop("item")
 
 
 def packed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", with_ids: bool = True, **limits: int) -> DataFrame:
