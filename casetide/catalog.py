@@ -18,6 +18,7 @@ from casetide.plans import answers, heavy, reports, shares, views
 from casetide.runtime import scratch_path
 from casetide.sources import raw, store
 from casetide.sources.mapped import Bed, bed as planned_bed
+from casetide.streaming import landing
 
 # Parameters of the registered queries; the reference statements use the same.
 DRUG = "ring"
@@ -53,33 +54,43 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-def _counts(tables: dict[str, DataFrame]) -> DataFrame:
-    counted = [
-        df.groupBy("quarter").agg(F.count("*").alias("n")).withColumn("table", F.lit(name))
+def _keys(tables: dict[str, DataFrame]) -> DataFrame:
+    """The reports of each table and quarter with their number of rows."""
+    found = [
+        df.groupBy("quarter", "report_id").agg(F.count("*").alias("n")).withColumn("table", F.lit(name))
         for name, df in tables.items()
     ]
-    return reduce(lambda a, b: a.unionByName(b), counted).select("table", "quarter", "n")
+    return reduce(lambda a, b: a.unionByName(b), found).select("table", "quarter", "report_id", "n")
 
 
 # -- sources and sinks ------------------------------------------------------
 
 
-def _raw_copy(bed: Bed, *tables: str) -> str:
-    root = scratch_path(bed.spark, "raw")
+def _raw_copy(bed: Bed, *tables: str, root: str | None = None, where: str = "true", label: str = "ALL") -> str:
+    root = root or scratch_path(bed.spark, "raw")
     for name in tables:
-        raw.write_raw(bed.raw(name), f"{root}/{name.upper()}_ALL.txt")
+        raw.write_raw(bed.raw(name).filter(where), f"{root}/{name.upper()}_{label}.txt")
     return root
 
 
 def _ragged_copy(bed: Bed) -> str:
-    """Raw reaction lines with an untidy header; some too long, some too short."""
+    """Raw reaction lines with an untidy header.
+
+    Some are too short, some hold doubled quotes and a delimiter, and some have one to
+    eight surplus fields, part of them empty.
+    """
     number = F.col("report_id")
+    text = F.when(number % 10 == 5, F.concat(F.lit('"'), F.col("pt"), F.lit(' ""q"" $"'))).otherwise(F.col("pt"))
+    surplus = F.transform(
+        F.sequence(F.lit(1), (F.floor(number / 10) % 8 + 1).cast("int")),
+        lambda j: F.when((number + j) % 3 == 0, "").otherwise(F.concat(F.lit("s"), j.cast("string"))),
+    )
     line = F.concat_ws(
         "$",
         number.cast("string"),
         F.col("caseid").cast("string"),
-        F.when(number % 10 != 4, F.col("pt")),
-        F.when(number % 10 == 3, F.lit("one$too many")),
+        F.when(number % 10 != 4, text),
+        F.when(number % 10 == 3, F.array_join(surplus, "$")),
     )
     folder = f"{scratch_path(bed.spark, 'ragged')}/REAC.txt"
     lines = bed.raw("reac").select(line.alias(" PRIMARYID$CaseID $PT"))
@@ -97,13 +108,17 @@ def _ragged_copy(bed: Bed) -> str:
 
 @query
 def discover_tables(bed: Bed) -> DataFrame:
-    found = raw.discover_tables(bed.spark, _raw_copy(bed, "outc", "rpsr"))
+    found = raw.discover_tables(bed.spark, _raw_copy(bed, *S.TABLES))
     return found.filter(F.col("length") > 0).select("table", "quarter").distinct()
 
 
 @query
 def read_raw(bed: Bed) -> DataFrame:
-    root = _raw_copy(bed, "demo")
+    """Two files with their columns in opposite order, under one glob."""
+    root = scratch_path(bed.spark, "raw")
+    for rest in (0, 1):
+        rows = bed.raw("demo").filter(F.col("report_id") % 2 == rest)
+        raw.write_raw(rows.select(rows.columns[:: 1 - 2 * rest]), f"{root}/DEMO{rest}.txt")
     rows = raw.read_raw(bed.spark, f"{root}/{raw.file_glob('demo')}")
     rows = raw.with_quarter(raw.skip_bad_lines(rows))
     return rows.select(
@@ -120,7 +135,7 @@ def skip_bad_lines(bed: Bed) -> DataFrame:
 @query
 def quarantine_rows(bed: Bed) -> DataFrame:
     rows = raw.quarantine_rows(raw.read_raw(bed.spark, _ragged_copy(bed)))
-    return rows.select("report_id", "caseid", "pt", F.col(raw.SURPLUS[0]).alias("surplus"))
+    return rows.select("report_id", "caseid", "pt", F.array_join(raw.SURPLUS, "|").alias("surplus"))
 
 
 @query
@@ -146,13 +161,13 @@ def capture_drift(bed: Bed) -> DataFrame:
     return cleaning.clean_table(extra, "reac").select("report_id", "pt", S.DRIFT_COLUMN)
 
 
-def _some_tables(bed: Bed) -> dict[str, DataFrame]:
-    return store.clean_all({name: bed.raw(name) for name in ("demo", "outc", "rpsr")})
+def _all_tables(bed: Bed) -> dict[str, DataFrame]:
+    return store.clean_all({name: bed.raw(name) for name in S.TABLES})
 
 
 @query
 def write_quarter(bed: Bed) -> DataFrame:
-    return _counts(store.write_quarter(_some_tables(bed), scratch_path(bed.spark, "store")))
+    return _keys(store.write_quarter(_all_tables(bed), scratch_path(bed.spark, "store")))
 
 
 @query
@@ -164,37 +179,48 @@ def skip_loaded_quarters(bed: Bed) -> DataFrame:
 
 @query
 def reload_quarter(bed: Bed) -> DataFrame:
+    """A correction of a quarter with fewer reports and no report sources at all."""
     root = scratch_path(bed.spark, "store")
-    tables = _some_tables(bed)
-    store.write_quarter(tables, root)
-    corrected = {n: df.filter(F.col("report_id") % 3 != 0) for n, df in tables.items()}
-    return _counts(store.reload_quarter(corrected, root, QUARTER))
+    tables = _all_tables(bed)
+    stored = store.write_quarter(tables, root)
+    corrected = {n: df.filter(F.col("report_id") % 3 != 0) for n, df in tables.items() if n != "rpsr"}
+    store.reload_quarter(corrected, root, QUARTER)
+    return _keys({n: store.read_table(bed.spark, root, n) for n in stored})
 
 
 @query
 def load_all_quarters(bed: Bed) -> DataFrame:
-    root = _raw_copy(bed, "demo", "reac")
-    files = {n: raw.read_table(bed.spark, f"{root}/{raw.file_glob(n)}") for n in ("demo", "reac")}
-    stored = store.write_quarter(store.clean_all(files), scratch_path(bed.spark, "store"))
-    return _counts(stored)
+    root = scratch_path(bed.spark, "store")
+    store.load_quarters(bed.spark, _raw_copy(bed, *S.TABLES), root)
+    return _keys({n: store.read_table(bed.spark, root, n) for n in S.TABLES})
+
+
+@query
+def land_quarters(bed: Bed) -> DataFrame:
+    """Two arrivals: all children and the reports of early quarters, then the other reports."""
+    early = f"quarter < '{CUT_QUARTER}'"
+    source = _raw_copy(bed, *store.CHILDREN)
+    root, marks = (scratch_path(bed.spark, n) for n in ("store", "marks"))
+    for label, arrival in (("EARLY", early), ("LATE", f"NOT {early}")):
+        _raw_copy(bed, "demo", root=source, where=arrival, label=label)
+        landing.land(bed.spark, source, root, marks).awaitTermination()
+    return _keys({n: store.read_table(bed.spark, root, n) for n in S.TABLES})
 
 
 @query
 def export_parquet(bed: Bed) -> DataFrame:
     root = scratch_path(bed.spark, "export")
-    store.export_parquet({"reac": bed.table("reac")}, root)
-    return bed.spark.read.parquet(f"{root}/reac").select(*S.EXPORT_COLUMNS["reac"])
+    written = store.export_parquet(bed.tables(), root)
+    return _keys({n: bed.spark.read.parquet(f"{root}/{n}").select(*S.EXPORT_COLUMNS[n]) for n in written})
 
 
 @query
 def read_parquet_views(bed: Bed) -> DataFrame:
     root = scratch_path(bed.spark, "export")
-    store.export_parquet({n: bed.table(n) for n in ("outc", "indi")}, root)
-    store.read_parquet_views(bed.spark, root, "kept_")
-    return bed.spark.sql(
-        "SELECT quarter, outc_cod, count(*) AS n FROM kept_outc "
-        "WHERE quarter >= '1997q1' GROUP BY quarter, outc_cod"
-    )
+    store.export_parquet(bed.tables(), root)
+    names = store.read_parquet_views(bed.spark, root, "kept_")
+    counts = [f"SELECT '{n}' AS view, quarter, count(*) AS n FROM {n} GROUP BY quarter" for n in names]
+    return bed.spark.sql(" UNION ALL ".join(counts))
 
 
 @query
@@ -353,8 +379,7 @@ def clean_rpsr(bed: Bed) -> DataFrame:
 
 @query
 def parse_quarter(bed: Bed) -> DataFrame:
-    cleaned = store.clean_all({name: bed.raw(name) for name in S.TABLES})
-    return _counts(cleaned)
+    return _keys(_all_tables(bed))
 
 
 @query
@@ -551,7 +576,13 @@ def sum_of_counts(bed: Bed) -> DataFrame:
 
 @query
 def avg(bed: Bed) -> DataFrame:
-    return A.mean_of(bed.table("demo"), "age_years", "sex", "quarter")
+    return _rounded(A.mean_of(bed.table("demo"), "age_years", "sex", "quarter"), "avg_age_years")
+
+
+@query
+def avg_duration(bed: Bed) -> DataFrame:
+    """Durations have any number of decimals."""
+    return _rounded(A.mean_of(bed.table("ther"), "dur_days", "quarter"), "avg_dur_days")
 
 
 @query
@@ -647,8 +678,8 @@ _register_view("mv_drug_outcomes")
 _register_view("mv_death_by_drug", "pct_of_all_ps_reports")
 _register_view("mv_reports_by_country")
 _register_view("mv_signal_prr")
-_register_view("mv_age_sex_distribution", "median_age")
-_register_view("mv_quarterly_trends")
+_register_view("mv_age_sex_distribution", "median_age", "avg_age", "avg_weight_kg")
+_register_view("mv_quarterly_trends", "avg_age")
 _register_view("mv_top_drugs")
 _register_view("mv_top_reactions")
 

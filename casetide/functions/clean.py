@@ -12,6 +12,7 @@ from casetide import schemas as S
 # The blanks of the files' character set, and a run that needs tidying.
 BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
 _BLANK_RUN = f"[{BLANKS}]{{2,}}|[{BLANKS[1:]}]"
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,3})?\s*$"
 # A non-letter other than a space in front of a letter, and the mark put between them.
 _WORD_START = r"([^\p{L} ])(?=\p{L})"
 _MARK = "\x02 "
@@ -29,8 +30,13 @@ def lookup(code: Column, labels: Mapping[str, object], default: Column) -> Colum
 
 
 def number(value: Column) -> Column:
-    """Double, or null where the text is not a number."""
-    return value.try_cast("double")
+    """Double, or null where the text is not a plain decimal number.
+
+    Spark also reads ``NaN``, ``Infinity``, ``5d`` and hexadecimal; one such value would
+    spoil every mean. Numbers pass as they are, if they are finite.
+    """
+    plain = F.regexp_like(value.cast("string"), F.lit(_NUMBER))
+    return F.when(plain, value.try_cast("double"))
 
 
 def key(value: Column, is_integral: bool = False) -> Column:

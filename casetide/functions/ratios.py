@@ -18,7 +18,7 @@ def _over(top: Column, bottom: Column) -> Column:
     return top.cast("double") / F.nullif(bottom.cast("double"), F.lit(0.0))
 
 
-def mean(value: Column, weight: Column | None = None) -> Column:
+def mean_of_hundredths(value: Column, weight: Column | None = None) -> Column:
     """Mean of values that have two decimals, each counted ``weight`` times.
 
     The sum runs over whole hundredths, so it does not depend on the order in which

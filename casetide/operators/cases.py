@@ -31,6 +31,13 @@ def dedup_versions(demo: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataF
     return one.select("quarter", "report_id", "_row.*").select(*columns)
 
 
+def newest_quarter(demo: DataFrame) -> DataFrame:
+    """One row per report: that of its newest quarter."""
+    rest = [c for c in demo.columns if c not in ("report_id", "quarter")]
+    newest = demo.groupBy("report_id").agg(F.max(F.struct("quarter", *rest)).alias("_row"))
+    return newest.select("report_id", "_row.*").select(*demo.columns)
+
+
 def latest_cases(demo: DataFrame) -> DataFrame:
     """The newest report of every case over all quarters."""
     return demo.groupBy("caseid").agg(F.max("report_id").alias("report_id"))

@@ -26,9 +26,10 @@ def _quarters(alias: str = "quarters") -> str:
     return f"string_agg(DISTINCT quarter, ', ' ORDER BY quarter) AS {alias}"
 
 
-def _per_quarter(*sources: tuple[str, str]) -> str:
+def _keys(*sources: tuple[str, str]) -> str:
     return " UNION ALL ".join(
-        f"SELECT '{name}' AS \"table\", quarter, count(*) AS n FROM {source} GROUP BY quarter"
+        f"SELECT '{name}' AS \"table\", quarter, report_id, count(*) AS n FROM {source} "
+        "GROUP BY quarter, report_id"
         for name, source in sources
     )
 
@@ -119,19 +120,28 @@ def _clean(table: str) -> str:
     return f"SELECT *, {_DRIFT} FROM {table}"
 
 
+_CHILDREN = ("drug", "reac", "outc", "ther", "indi", "rpsr")
+_STORED = (("demo", "kept"), *((t, f"(SELECT * FROM {t} WHERE {_KEPT_CHILD})") for t in _CHILDREN))
+_EXPORTED = ("demo", "drug", "reac", "outc", "indi")
+# Surplus fields of the ragged lines.
+_EXTRA = """list_transform(range(1, report_id // 10 % 8 + 2),
+    lambda j: CASE WHEN (report_id + j) % 3 = 0 THEN '' ELSE 's' || j END)"""
+_OVERLONG = f"(report_id % 10 = 3 AND len(list_filter({_EXTRA}, lambda x: x <> '')) > 0)"
+_RAGGED_PT = """CASE WHEN report_id % 10 = 5 THEN pt || ' "q" $'
+    WHEN report_id % 10 <> 4 THEN pt END AS pt"""
 _SERIOUS = "report_id IN (SELECT report_id FROM outc WHERE outc_cod IN ('DE', 'LT', 'HO'))"
 _RAGGED = "report_id::VARCHAR AS report_id, caseid::VARCHAR AS caseid"
 
 STATEMENTS: dict[str, str] = {
     # sources and sinks
-    "discover_tables": """SELECT DISTINCT 'outc' AS "table", quarter FROM raw_outc
-        UNION ALL SELECT DISTINCT 'rpsr', quarter FROM raw_rpsr""",
+    "discover_tables": " UNION ALL ".join(
+        f"SELECT DISTINCT '{t}' AS \"table\", quarter FROM raw_{t}" for t in ("demo", *_CHILDREN)
+    ),
     "read_raw": """SELECT report_id::VARCHAR AS report_id, caseid::VARCHAR AS caseid, event_dt,
         age, age_cod, sex, reporter_country, quarter FROM raw_demo""",
-    "skip_bad_lines": f"""SELECT {_RAGGED}, CASE WHEN report_id % 10 <> 4 THEN pt END AS pt
-        FROM raw_reac WHERE report_id % 10 <> 3""",
-    "quarantine_rows": f"""SELECT {_RAGGED}, pt, 'one' AS surplus FROM raw_reac
-        WHERE report_id % 10 = 3""",
+    "skip_bad_lines": f"SELECT {_RAGGED}, {_RAGGED_PT} FROM raw_reac WHERE NOT {_OVERLONG}",
+    "quarantine_rows": f"""SELECT {_RAGGED}, pt, array_to_string({_EXTRA}, '|') AS surplus
+        FROM raw_reac WHERE {_OVERLONG}""",
     "normalize_header": "SELECT report_id, caseid, pt, quarter FROM raw_reac",
     "conform_schema": """SELECT report_id, caseid, drug_seq, quarter, start_dt,
         NULL::DATE AS end_dt, NULL::DOUBLE AS dur_days, NULL::VARCHAR AS extended_attributes
@@ -140,29 +150,23 @@ STATEMENTS: dict[str, str] = {
           CASE WHEN report_id % 3 = 0 THEN '"drug_rec_act":"stopped"' END,
           CASE WHEN report_id % 2 = 0 THEN '"site_note":"n' || caseid || '"' END) || '}'
           AS extended_attributes FROM raw_reac""",
-    "write_quarter": _per_quarter(
-        ("demo", "kept"),
-        ("outc", f"(SELECT * FROM outc WHERE {_KEPT_CHILD})"),
-        ("rpsr", f"(SELECT * FROM rpsr WHERE {_KEPT_CHILD})"),
-    ),
+    "write_quarter": _keys(*_STORED),
     "skip_loaded_quarters": f"""SELECT report_id, quarter FROM demo
         WHERE quarter >= '{CUT_QUARTER}'""",
-    "reload_quarter": _per_quarter(
+    "reload_quarter": _keys(
         *[
-            (
-                table,
-                f"(SELECT * FROM {source} WHERE {_KEPT_CHILD} "
-                f"AND (quarter <> '{QUARTER}' OR report_id % 3 <> 0))",
-            )
-            for table, source in (("demo", "kept"), ("outc", "outc"), ("rpsr", "rpsr"))
+            (t, f"(SELECT * FROM {source} WHERE quarter <> '{QUARTER}' OR {left})")
+            for t, source in _STORED
+            for left in ["false" if t == "rpsr" else "report_id % 3 <> 0"]
         ]
     ),
-    "load_all_quarters": _per_quarter(
-        ("demo", "kept"), ("reac", f"(SELECT * FROM reac WHERE {_KEPT_CHILD})")
+    "load_all_quarters": _keys(*_STORED),
+    "land_quarters": _keys(*_STORED),
+    "export_parquet": _keys(*((t, t) for t in _EXPORTED)),
+    "read_parquet_views": " UNION ALL ".join(
+        f"SELECT 'kept_{t}' AS \"view\", quarter, count(*) AS n FROM {t} GROUP BY quarter"
+        for t in _EXPORTED
     ),
-    "export_parquet": "SELECT report_id, caseid, quarter, pt_clean FROM reac",
-    "read_parquet_views": """SELECT quarter, outc_cod, count(*) AS n FROM outc
-        WHERE quarter >= '1997q1' GROUP BY 1, 2""",
     "loaded_quarters": "SELECT DISTINCT quarter FROM demo ORDER BY 1",
     "load_metadata": """
         SELECT quarter, sum(demo)::BIGINT AS demo_rows, sum(drug)::BIGINT AS drug_rows,
@@ -203,9 +207,7 @@ STATEMENTS: dict[str, str] = {
     "clean_ther": _six("dur_days", of="ther"),
     "clean_indi": _clean("indi"),
     "clean_rpsr": _clean("rpsr"),
-    "parse_quarter": _per_quarter(
-        ("demo", "kept"), *[(t, f"raw_{t}") for t in "drug reac outc ther indi rpsr".split()]
-    ),
+    "parse_quarter": _keys(("demo", "kept"), *((t, f"raw_{t}") for t in _CHILDREN)),
     "resolve_generic": """SELECT report_id, drug_seq, drugname_clean, generic_name, atc_code
         FROM drug LEFT JOIN mappings ON brand = drugname_clean""",
     # filters
@@ -281,8 +283,9 @@ STATEMENTS: dict[str, str] = {
         FROM drug GROUP BY 1, 2""",
     "sum_of_counts": """SELECT reaction_term, sum(report_count)::BIGINT AS report_count
         FROM mv_top_reactions GROUP BY 1""",
-    "avg": f"""SELECT sex, quarter, {base.mean('age_years')} AS avg_age_years FROM demo
+    "avg": """SELECT sex, quarter, round(avg(age_years), 6) AS avg_age_years FROM demo
         GROUP BY 1, 2""",
+    "avg_duration": "SELECT quarter, round(avg(dur_days), 6) AS avg_dur_days FROM ther GROUP BY 1",
     "median": """SELECT sex, age_group, round(median(age_years), 6) AS median_age_years
         FROM demo GROUP BY 1, 2""",
     "max_bool_or": """SELECT reaction_term, max(prr) AS prr, bool_or(is_signal) AS is_signal
@@ -314,7 +317,8 @@ STATEMENTS: dict[str, str] = {
     # standing views
     **{name: f"SELECT * FROM {name}" for name in views.PARTS},
     "mv_death_by_drug": _six("pct_of_all_ps_reports", of="mv_death_by_drug"),
-    "mv_age_sex_distribution": _six("median_age", of="mv_age_sex_distribution"),
+    "mv_age_sex_distribution": _six("median_age", "avg_age", "avg_weight_kg", of="mv_age_sex_distribution"),
+    "mv_quarterly_trends": _six("avg_age", of="mv_quarterly_trends"),
     # reports
     "top_drugs": """SELECT drugname_clean AS drug, prod_ai_clean AS active_ingredient,
         report_count AS total_reports, ps_count AS primary_suspect_reports, quarter

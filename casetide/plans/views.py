@@ -312,9 +312,9 @@ def mv_age_sex_distribution(t: Tables) -> DataFrame:
         .groupBy("drugname_clean", "quarter", "sex", "age_group")
         .agg(
             F.count("*").alias("report_count"),
-            R.mean(F.col("age_years"), rows).alias("avg_age"),
+            R.mean_of_hundredths(F.col("age_years"), rows).alias("avg_age"),
             F.percentile("age_years", F.lit(0.5), rows).alias("median_age"),
-            R.mean(F.col("weight_kg"), rows).alias("avg_weight_kg"),
+            R.mean_of_hundredths(F.col("weight_kg"), rows).alias("avg_weight_kg"),
         )
     )
 
@@ -332,7 +332,7 @@ def mv_quarterly_trends(t: Tables) -> DataFrame:
             F.count_if(F.col("threatened") == 1).alias("life_threatening"),
             F.count_if(F.col("sex") == "Female").alias("female_cases"),
             F.count_if(F.col("sex") == "Male").alias("male_cases"),
-            R.mean(F.col("age_years"), weight).alias("avg_age"),
+            R.mean_of_hundredths(F.col("age_years"), weight).alias("avg_age"),
             F.count_distinct("reporter_country").alias("reporting_countries"),
         )
     )

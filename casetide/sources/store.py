@@ -1,38 +1,46 @@
-"""The cleaned tables at rest: Parquet, one folder per table, partitioned by quarter."""
+"""The cleaned tables at rest: Parquet, one folder per table, partitioned by quarter.
+
+A quarter is loaded as a whole: all seven tables, reports first. Children are partitioned
+by whether their report is stored as well, so those without one wait beside the table
+instead of being lost, and reading a table prunes them. They are looked at again when
+reports of another quarter arrive.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import time
+from collections import defaultdict
+from collections.abc import Iterable, Mapping
 from functools import partial, reduce
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casetide import schemas as S
-from casetide.operators.cases import dedup_versions, enforce_parent
+from casetide.operators.cases import dedup_versions, newest_quarter
 from casetide.operators.cleaning import clean_table
-from casetide.runtime import together
+from casetide.runtime import materialize, together
+from casetide.sources import raw
 
 MAX_ROWS_PER_FILE = 20_000_000
 METADATA_TABLE = "quarter_metadata"
+# Partition of a child table: 1 if the report of its rows is stored, 0 if they wait for it.
+HAS_PARENT = "has_parent"
+CHILDREN = tuple(name for name in S.TABLES if name != "demo")
 
 
-def clean_all(raw: Mapping[str, DataFrame], quarter: str | None = None) -> dict[str, DataFrame]:
+def clean_all(raw_tables: Mapping[str, DataFrame], quarter: str | None = None) -> dict[str, DataFrame]:
     """Clean every raw table that is present and keep one version of each case."""
-    tables = {name: clean_table(df, name, quarter) for name, df in raw.items()}
+    tables = {name: clean_table(df, name, quarter) for name, df in raw_tables.items()}
     if "demo" in tables:
         tables["demo"] = dedup_versions(tables["demo"])
     return tables
 
 
-def with_parents(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Leave out child rows whose report was superseded."""
-    demo = tables["demo"]
-    return {n: df if n == "demo" else enforce_parent(df, demo) for n, df in tables.items()}
-
-
-def _write(df: DataFrame, path: str) -> None:
-    """Overwrite only the quarters that ``df`` contains.
+def _write(df: DataFrame, path: str, *further: str) -> None:
+    """Overwrite only the quarters (and ``further`` partitions) that ``df`` contains.
 
     The rebalance brings a quarter's rows together and lets the adaptive planner cut
     a large quarter into several files and merge small ones, by their real size.
@@ -43,7 +51,7 @@ def _write(df: DataFrame, path: str) -> None:
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
         .option("compression", "snappy")
-        .partitionBy("quarter")
+        .partitionBy("quarter", *further)
         .parquet(path)
     )
 
@@ -53,20 +61,36 @@ def table_path(root: str, table: str) -> str:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """True if Spark can list something below ``path``."""
-    from pyspark.errors import AnalysisException
-
+    """True if there is something at ``path``; any other failure to look is an error."""
     try:
         spark.read.format("binaryFile").load(path)
-    except AnalysisException:
-        return False
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
     return True
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A stored table under its fixed layout; the layout spares a look into the files."""
-    layout = S.CLEAN[table]
-    return spark.read.schema(layout).parquet(table_path(root, table)).select(*layout.names)
+    """A stored table under its fixed layout; empty if nothing was stored yet."""
+    return _stored(spark, root, table, 1)
+
+
+def waiting_rows(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """Rows of a child table whose report is not stored."""
+    return _stored(spark, root, table, 0)
+
+
+def _stored(spark: SparkSession, root: str, table: str, has_parent: int) -> DataFrame:
+    layout, path = S.CLEAN[table], table_path(root, table)
+    if not exists(spark, path):
+        return spark.createDataFrame([], layout)
+    # The layout spares a look into the files.
+    if table == "demo":
+        return spark.read.schema(layout).parquet(path).select(*layout.names)
+    wider = T.StructType([*layout.fields, T.StructField(HAS_PARENT, T.IntegerType())])
+    rows = spark.read.schema(wider).parquet(path)
+    return rows.filter(F.col(HAS_PARENT) == has_parent).select(*layout.names)
 
 
 def skip_loaded_quarters(incoming: DataFrame, stored_demo: DataFrame) -> DataFrame:
@@ -78,56 +102,184 @@ def skip_loaded_quarters(incoming: DataFrame, stored_demo: DataFrame) -> DataFra
     return incoming.join(stored_demo.select("quarter").distinct(), "quarter", "left_anti")
 
 
-def _missing_quarters(df: DataFrame, path: str) -> DataFrame:
-    """Rows of quarters that the table at ``path`` lacks.
+def _partition_files(spark: SparkSession, path: str, quarters: Iterable[str]) -> dict[str, set[str]]:
+    """Data files of the given quarters by partition folder; names only."""
+    found = defaultdict(set)
+    if exists(spark, path):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+        wanted = F.regexp_extract("path", r"/quarter=([^/]+)/", 1).isin(*quarters)
+        for row in files.filter(wanted).collect():
+            folder, _, name = row.path.rpartition("/")
+            found[folder].add(name)
+    return found
 
-    The list is fixed before the write, which would change what it is read from.
-    It is a handful of partition values, never rows.
+
+def _replace(df: DataFrame, root: str, table: str, quarters: list[str]) -> None:
+    """Replace whole quarters of a stored table by ``df``.
+
+    Dynamic overwrite replaces the partitions that have rows. A partition that has none any
+    more is replaced by an empty one: it is told by the files that are still there after
+    the write. Each partition changes at once; a run that breaks off between two of them is
+    completed by running it again.
     """
-    spark = df.sparkSession
-    if not exists(spark, path):
-        return df
-    done = [r.quarter for r in loaded_quarters(spark.read.parquet(path)).collect()]
-    return df.filter(~F.col("quarter").isin(done)) if done else df
+    spark, path = df.sparkSession, table_path(root, table)
+    before = _partition_files(spark, path, quarters)
+    _write(df, path, *([HAS_PARENT] if table != "demo" else []))
+    for folder, names in _partition_files(spark, path, quarters).items():
+        if names & before.get(folder, set()):
+            empty = df.drop("quarter", HAS_PARENT).limit(0)
+            empty.write.mode("overwrite").parquet(folder)
+
+
+def _flag_parents(child: DataFrame, demo: DataFrame) -> DataFrame:
+    """``child`` with ``has_parent``. One-sided, so the adaptive planner cuts a large report."""
+    known = demo.select("report_id").distinct().withColumn(HAS_PARENT, F.lit(1))
+    return child.join(known, "report_id", "left").select(
+        *child.columns, F.coalesce(HAS_PARENT, F.lit(0)).alias(HAS_PARENT)
+    )
 
 
 def write_quarter(
     tables: Mapping[str, DataFrame], root: str, force: bool = False
 ) -> dict[str, DataFrame]:
-    """Store cleaned tables, parent first, then the children side by side; return them as stored.
+    """Store cleaned tables by quarters, reports first, then the children side by side.
 
-    A quarter that a table holds already is skipped, or replaced with ``force``.
-    Each table is replaced quarter by quarter in one commit and looks at its own
-    quarters only, so a rerun after a failure completes what is missing. Children
-    are kept only where the stored parent table holds their report.
+    Quarters whose reports are stored already are skipped, or replaced with ``force``. A
+    replaced quarter loses, in all seven tables, what the given tables do not have for it.
+    A report that is in several quarters stays in the newest one. Gives the stored tables.
     """
     spark = tables["demo"].sparkSession
-    present = [n for n in S.TABLES if n in tables]
+    quarters = sorted(r.quarter for r in loaded_quarters(reduce(DataFrame.union, [df.select("quarter") for df in tables.values()])).collect())
+    if not force:
+        stored = _complete_quarters(spark, root)
+        quarters = [q for q in quarters if q not in stored]
+        tables = {n: df.filter(F.col("quarter").isin(quarters)) for n, df in tables.items()}
+    if quarters:
+        _store(spark, tables, root, quarters)
+    return {n: read_table(spark, root, n) for n in S.TABLES if n in tables}
 
-    def write(name: str) -> None:
-        df = tables[name]
-        if not force:
-            df = _missing_quarters(df, table_path(root, name))
-        write_table(spark, df, root, name)
 
-    write("demo")
-    together([partial(write, name) for name in present if name != "demo"])
-    return {n: read_table(spark, root, n) for n in present}
+def _complete_quarters(spark: SparkSession, root: str) -> set[str]:
+    """Quarters whose load was completed: their line of metadata is written last."""
+    path = table_path(root, METADATA_TABLE)
+    return {r.quarter for r in spark.read.parquet(path).select("quarter").collect()} if exists(spark, path) else set()
+
 
+def _store(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, quarters: list[str], source: str | None = None) -> None:
+    began = time.time()
+    _store_reports(spark, tables.get("demo"), root, quarters)
+    demo = read_table(spark, root, "demo")
 
-def write_table(spark: SparkSession, df: DataFrame, root: str, table: str) -> None:
-    """Replace the quarters of one table; of children, only rows with a stored report."""
-    if table != "demo":
-        df = enforce_parent(df, read_table(spark, root, "demo"))
-    _write(df, table_path(root, table))
+    def write(name: str) -> None:
+        rows = tables[name] if name in tables else spark.createDataFrame([], S.CLEAN[name])
+        _replace(_flag_parents(rows, demo), root, name, quarters)
+
+    together([partial(write, name) for name in CHILDREN])
+    _settle(spark, root, quarters)
+    stored = {n: read_table(spark, root, n).filter(F.col("quarter").isin(quarters)) for n in S.TABLES}
+    lines = load_metadata(stored, F.lit(round(time.time() - began, 3)), F.lit(source).cast("string"))
+    # A quarter without any stored row has a line as well.
+    every = spark.createDataFrame([(q,) for q in quarters], "quarter string").join(lines, "quarter", "left")
+    counts = [c for c in lines.columns if c.endswith("_rows")]
+    _write(every.fillna(0, counts).fillna({"load_seconds": round(time.time() - began, 3)}), table_path(root, METADATA_TABLE))
+
+
+def _store_reports(spark: SparkSession, demo: DataFrame | None, root: str, quarters: list[str]) -> None:
+    if demo is None:
+        demo = spark.createDataFrame([], S.CLEAN["demo"])
+    new = materialize(newest_quarter(demo), "reports")
+    others = read_table(spark, root, "demo").filter(~F.col("quarter").isin(quarters))
+    clash = materialize(
+        others.select("report_id", F.col("quarter").alias("other")).join(new.select("report_id", "quarter"), "report_id"), "clash"
+    )
+    later = clash.filter("other > quarter").select("report_id").distinct()
+    _replace(new.join(later, "report_id", "left_anti"), root, "demo", quarters)
+    earlier = clash.filter("other < quarter")
+    moved = sorted(r.other for r in earlier.select("other").distinct().collect())
+    if moved:
+        gone = earlier.select("report_id").distinct()
+        kept = read_table(spark, root, "demo").filter(F.col("quarter").isin(moved)).join(gone, "report_id", "left_anti")
+        _replace(materialize(kept, "reports"), root, "demo", moved)
+
+
+def _settle(spark: SparkSession, root: str, quarters: list[str]) -> None:
+    """Look again at the children of other quarters whose report was stored or removed just now."""
+    demo = read_table(spark, root, "demo")
+
+    def settle(name: str) -> None:
+        if not exists(spark, table_path(root, name)):
+            return
+        wait = waiting_rows(spark, root, name).join(demo.select("report_id"), "report_id", "left_semi")
+        have = read_table(spark, root, name).join(demo.select("report_id"), "report_id", "left_anti")
+        changed = wait.select("quarter").union(have.select("quarter")).filter(~F.col("quarter").isin(quarters))
+        again = sorted(r.quarter for r in changed.distinct().collect())
+        if again:
+            both = waiting_rows(spark, root, name).union(read_table(spark, root, name))
+            rows = materialize(_flag_parents(both.filter(F.col("quarter").isin(again)), demo), "settled")
+            _replace(rows, root, name, again)
+
+    together([partial(settle, name) for name in CHILDREN])
+
+
+def load_quarters(
+    spark: SparkSession,
+    raw_root: str,
+    store_root: str,
+    quarters: Iterable[str] | None = None,
+    force: bool = False,
+) -> DataFrame:
+    """Load quarters from the raw files below a folder: all seven tables, reports first.
+
+    Quarters that were loaded already are skipped, or replaced with ``force``. All are read
+    together, each file once; if that fails, they are loaded one by one, so that a damaged
+    quarter does not stop the rest. A report in several quarters stays in the newest.
+
+    Returns a row per quarter: ``quarter``, ``status`` (loaded, skipped or failed) and
+    ``error``.
+    """
+    files = raw.discover_tables(spark, raw_root).filter("length > 0 AND quarter <> ''")
+    paths = defaultdict(lambda: defaultdict(list))
+    for row in files.select("table", "quarter", "path").collect():
+        paths[row.quarter][row.table].append(row.path)
+    wanted = sorted(set(paths) if quarters is None else {q.lower() for q in quarters})
+    done = set() if force else _complete_quarters(spark, store_root)
+    todo = [q for q in wanted if q not in done]
+
+    def load(some: list[str]) -> None:
+        tables = {}
+        for name in S.TABLES:
+            found = [p for q in some for p in paths[q][name]]
+            if found:
+                tables[name] = clean_table(raw.read_table(spark, *found), name)
+        if "demo" in tables:
+            # Stored first: picking the newest versions reads it more than once.
+            tables["demo"] = dedup_versions(materialize(tables["demo"], "cleaned"))
+        _store(spark, tables, store_root, some, raw_root)
+
+    failed: dict[str, str] = {}
+    try:
+        if todo:
+            load(todo)
+    except PySparkException as whole:
+        for quarter in todo:
+            try:
+                if len(todo) == 1:
+                    raise whole
+                load([quarter])
+            except PySparkException as error:
+                failed[quarter] = str(error).strip().splitlines()[0][:500]
+    rows = [(q, "failed" if q in failed else "skipped" if q in done else "loaded", failed.get(q)) for q in wanted]
+    return spark.createDataFrame(rows, "quarter string, status string, error string")
 
 
 def reload_quarter(
     tables: Mapping[str, DataFrame], root: str, quarter: str
 ) -> dict[str, DataFrame]:
-    """Replace one quarter in all tables."""
+    """Replace one quarter in all seven tables; a table that is not given has no rows for it."""
+    spark = tables["demo"].sparkSession
     only = {n: df.filter(F.col("quarter") == quarter) for n, df in tables.items()}
-    return write_quarter(only, root, force=True)
+    _store(spark, only, root, [quarter])
+    return {n: read_table(spark, root, n) for n in S.TABLES if n in tables}
 
 
 def export_parquet(
@@ -139,7 +291,9 @@ def export_parquet(
         if name not in tables:
             continue
         path, df = table_path(root, name), tables[name].select(*columns)
-        _write(df if overwrite else _missing_quarters(df, path), path)
+        if not overwrite and exists(df.sparkSession, path):
+            df = skip_loaded_quarters(df, materialize(loaded_quarters(df.sparkSession.read.parquet(path)), "exported"))
+        _write(df, path)
         written.append(name)
     return written
 
@@ -174,7 +328,10 @@ def read_parquet_views(spark: SparkSession, root: str, prefix: str = "") -> list
     for table in S.TABLES:
         path = table_path(root, table)
         if exists(spark, path):
-            spark.read.parquet(path).createOrReplaceTempView(f"{prefix}{table}")
+            rows = spark.read.parquet(path)
+            if HAS_PARENT in rows.columns:
+                rows = rows.filter(F.col(HAS_PARENT) == 1).drop(HAS_PARENT)
+            rows.createOrReplaceTempView(f"{prefix}{table}")
             names.append(f"{prefix}{table}")
     return names
 

@@ -1,8 +1,9 @@
 """Landing newly arrived raw files in the cleaned tables.
 
-The stream carries file names only. A batch finds out which tables and quarters have
-new files and loads those quarters again from all of their files, parent table first.
-Every quarter is replaced as a whole, so a repeated batch changes nothing.
+The stream carries file names only. A batch finds out which quarters have new files and
+loads those quarters again, in all tables, from all of their files. A quarter is replaced
+as a whole, so neither a repeated batch nor the way files fall into batches changes the
+result; children that come before their reports wait for them in the store.
 """
 
 from __future__ import annotations
@@ -11,29 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from casetide.operators.cases import dedup_versions
-from casetide.operators.cleaning import clean_table
-from casetide.schemas import TABLES
 from casetide.sources import raw, store
 
-FILES_PER_BATCH = 1_000
 # Layout of Spark's file source; only the path is read.
 FILE_LAYOUT = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
 def load_touched(spark: SparkSession, raw_root: str, store_root: str, paths: DataFrame) -> None:
-    """Load again every quarter of a table that one of ``paths`` belongs to."""
-    touched = raw.classify(paths).select("table", "quarter").distinct()
-    files = raw.discover_tables(spark, raw_root).join(touched, ["table", "quarter"], "left_semi")
-    # File names of the touched quarters, at most a few for each table and quarter.
-    names = [(r.table, r.path) for r in files.select("table", "path").collect()]
-    for table in TABLES:
-        found = sorted(path for t, path in names if t == table)
-        if found:
-            cleaned = clean_table(raw.read_table(spark, *found), table)
-            if table == "demo":
-                cleaned = dedup_versions(cleaned)
-            store.write_table(spark, cleaned, store_root, table)
+    """Load again every quarter that one of ``paths`` belongs to; a failed one is an error."""
+    touched = [r.quarter for r in raw.classify(paths).select("quarter").distinct().collect()]
+    report = store.load_quarters(spark, raw_root, store_root, [q for q in touched if q], force=True)
+    failed = report.filter("status = 'failed'").collect()
+    if failed:
+        raise RuntimeError("; ".join(f"{r.quarter}: {r.error}" for r in failed))
 
 
 def land(
@@ -44,7 +35,6 @@ def land(
         spark.readStream.format("binaryFile")
         .schema(FILE_LAYOUT)
         .option("recursiveFileLookup", True)
-        .option("maxFilesPerTrigger", FILES_PER_BATCH)
         .load(raw_root)
         .select(F.col("path"))
     )
