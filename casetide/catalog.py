@@ -50,8 +50,8 @@ def _view(bed: Bed, *names: str) -> dict[str, DataFrame]:
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
-    """Six decimals, so that the order of summation does not show in comparisons."""
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    """So many decimals that the order of summation does not show, but no mean is a tie."""
+    return df.withColumns({c: F.round(c, 9 if c.startswith("avg_") else 6) for c in columns})
 
 
 def _keys(tables: dict[str, DataFrame]) -> DataFrame:
@@ -486,12 +486,12 @@ def serious_semi(bed: Bed) -> DataFrame:
 
 @query
 def pair_self_join_name(bed: Bed) -> DataFrame:
-    return heavy.name_pairs(bed.table("drug").select("report_id", "drugname_clean"))
+    return heavy.name_pairs(bed.table("drug").select("report_id", "drugname_clean"), 2, 20_000)
 
 
 @query
 def pair_self_join_seq(bed: Bed) -> DataFrame:
-    return heavy.place_pairs(bed.table("drug").select("report_id", "drugname_clean", "drug_seq"))
+    return heavy.place_pairs(bed.table("drug").select("report_id", "drugname_clean", "drug_seq"), 2, 20_000)
 
 
 @query
@@ -504,7 +504,7 @@ def totals_cross_join(bed: Bed) -> DataFrame:
 
 @query
 def stat_joins(bed: Bed) -> DataFrame:
-    return heavy.prr_full(bed.tables(), 1).select(
+    return heavy.prr_full(bed.tables(), 2).select(
         "drug", "reaction", "drug_reaction_count", "drug_total", "reaction_total", "grand_total"
     )
 
@@ -630,21 +630,15 @@ def top_k(bed: Bed) -> DataFrame:
 
 @query
 def disproportionality(bed: Bed) -> DataFrame:
-    """The ratios over counts of ingredients and reactions, zero denominators included."""
+    """The ratios over counts of ingredients and reactions that meet in three reports."""
     t = bed.tables()
-    pairs = A.count_distinct_reports(
-        joins.many_to_many(
-            t["drug"].select("report_id", "prod_ai_clean"), t["reac"].select("report_id", "pt_clean")
-        ),
-        "prod_ai_clean", "pt_clean",
-    ).withColumnRenamed("report_count", "a")
-    drugs = A.count_distinct_reports(t["drug"], "prod_ai_clean").withColumnRenamed(
-        "report_count", "n_drug"
+    drugs = t["drug"].select("report_id", F.col("prod_ai_clean"))
+    pairing = views.Pairing(drugs, t["reac"].select("report_id", "pt_clean"), None)
+    counted = (
+        pairing.count(["prod_ai_clean", "pt_clean"], "a", 3)
+        .join(pairing.count_drugs(["prod_ai_clean"], "n_drug"), "prod_ai_clean")
+        .join(pairing.count_others(["pt_clean"], "n_reac"), "pt_clean")
     )
-    terms = A.count_distinct_reports(t["reac"], "pt_clean").withColumnRenamed(
-        "report_count", "n_reac"
-    )
-    counted = pairs.join(drugs, "prod_ai_clean").join(terms, "pt_clean")
     total = t["demo"].agg(F.count_distinct("report_id"))
     return views.with_ratios(joins.with_total(counted, total, "total"), "a", "n_drug", "n_reac", "total")
 

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casetide.plans.skew import ROWS_PER_TASK, split_join
 
-
-def dedup_versions(demo: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def dedup_versions(demo: DataFrame) -> DataFrame:
     """Rows at the highest version of their case within a quarter, one per report.
 
     A missing version is version 0. Different reports that share the highest
@@ -23,9 +21,7 @@ def dedup_versions(demo: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataF
         "caseversion", F.coalesce(F.col("caseversion"), F.lit(0))
     )
     newest = versioned.groupBy(*case).agg(F.max("caseversion").alias("caseversion"))
-    kept = split_join(
-        versioned, newest, [*case, "caseversion"], "left_semi", ["report_id"], rows_per_task
-    )
+    kept = versioned.join(newest, [*case, "caseversion"], "left_semi")
     rest = [c for c in columns if c not in ("quarter", "report_id")]
     one = kept.groupBy("quarter", "report_id").agg(F.min(F.struct(*rest)).alias("_row"))
     return one.select("quarter", "report_id", "_row.*").select(*columns)
@@ -43,20 +39,16 @@ def latest_cases(demo: DataFrame) -> DataFrame:
     return demo.groupBy("caseid").agg(F.max("report_id").alias("report_id"))
 
 
-def latest_only(
-    df: DataFrame, latest: DataFrame, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def latest_only(df: DataFrame, latest: DataFrame) -> DataFrame:
     """Rows that belong to the newest report of their case."""
-    return split_join(
-        df, latest.select("report_id"), ["report_id"], "left_semi", rows_per_task=rows_per_task
-    )
+    return df.join(latest.select("report_id"), "report_id", "left_semi")
 
 
 def enforce_parent(child: DataFrame, demo: DataFrame) -> DataFrame:
     """Child rows whose report is known."""
-    return split_join(child, demo.select("report_id"), ["report_id"], "left_semi")
+    return child.join(demo.select("report_id"), "report_id", "left_semi")
 
 
 def orphan_children(child: DataFrame, demo: DataFrame) -> DataFrame:
     """Child rows whose report is not known."""
-    return split_join(child, demo.select("report_id"), ["report_id"], "left_anti")
+    return child.join(demo.select("report_id"), "report_id", "left_anti")

@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from casetide import schemas as S
 from casetide.functions import clean as C
-from casetide.plans.skew import split_join
 
 _INTEGRAL = (T.LongType, T.IntegerType, T.ShortType)
 
@@ -156,5 +155,4 @@ def resolve_generic(drug: DataFrame, mappings: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("generic_name", "atc_code")).alias("_entry"))
         .select("drugname_clean", "_entry.generic_name", "_entry.atc_code")
     )
-    by = [c for c in drug.columns if c != "drugname_clean"]
-    return split_join(drug, brands, ["drugname_clean"], "left", by)
+    return drug.join(brands, "drugname_clean", "left")

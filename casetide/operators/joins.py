@@ -1,4 +1,8 @@
-"""Joins of the report tables. Large keys are cut; see ``casetide.plans.skew``."""
+"""Joins of the report tables.
+
+The adaptive planner splits a large key of the one big side; where both sides are large at
+a report, the report is cut, see ``casetide.plans.skew``.
+"""
 
 from __future__ import annotations
 
@@ -8,17 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casetide.operators.predicates import serious_filter
-from casetide.plans.skew import ROWS_PER_TASK, Grid, split_join
+from casetide.plans.skew import ROWS_PER_TASK, Grid, stored_keys
 
 Tables = Mapping[str, DataFrame]
 KEY = ["report_id"]
 
 
 def many_to_many(
-    left: DataFrame, right: DataFrame, rows_per_task: int = ROWS_PER_TASK
+    left: DataFrame,
+    right: DataFrame,
+    rows_per_task: int = ROWS_PER_TASK,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """All rows of both sides that share a report, with hot reports cut on either side."""
-    grid = Grid(KEY, left, right, rows_per_task)
+    grid = Grid(KEY, left, right, rows_per_task, known)
     placed = grid.left(left, left.columns), grid.right(right, right.columns)
     return placed[0].join(placed[1], grid.keys).drop(*grid.parts)
 
@@ -27,6 +34,7 @@ def drug_reac_join(t: Tables) -> DataFrame:
     return many_to_many(
         t["drug"].select("report_id", "drugname_clean", "role_cod", "quarter"),
         t["reac"].select("report_id", "pt_clean"),
+        known=stored_keys(t, "drug", "reac"),
     )
 
 
@@ -34,28 +42,20 @@ def drug_outc_join(t: Tables) -> DataFrame:
     return many_to_many(
         t["drug"].select("report_id", "drugname_clean", "role_cod", "quarter"),
         t["outc"].select("report_id", "outc_cod"),
+        known=stored_keys(t, "drug", "outc"),
     )
 
 
 def drug_demo_join(t: Tables) -> DataFrame:
-    return split_join(
-        t["drug"].select("report_id", "drugname_clean", "role_cod"),
-        t["demo"].select("report_id", "sex", "age_group", "age_years", "occp_cod"),
-        KEY,
-    )
+    drugs = t["drug"].select("report_id", "drugname_clean", "role_cod")
+    people = t["demo"].select("report_id", "sex", "age_group", "age_years", "occp_cod")
+    return drugs.join(people, KEY)
 
 
 def demo_outc_left(t: Tables) -> DataFrame:
     """Every report with its outcomes, a null one where it has none."""
     demo = t["demo"].select("report_id", "quarter", "sex", "reporter_country")
-    outcomes = t["outc"].select("report_id", "outc_cod")
-    grid = Grid(KEY, outcomes)
-    # The big side of this join is the right one: cut it, and keep each report once
-    # where no outcome meets it.
-    met = grid.left(outcomes, outcomes.columns).join(grid.copies(demo), grid.keys)
-    met = met.select(*demo.columns, "outc_cod")
-    alone = demo.join(outcomes.select("report_id").distinct(), KEY, "left_anti")
-    return met.unionByName(alone.withColumn("outc_cod", F.lit(None).cast("string")))
+    return demo.join(t["outc"].select("report_id", "outc_cod"), KEY, "left")
 
 
 def drug_outc_reac_left(t: Tables) -> DataFrame:
@@ -67,13 +67,13 @@ def drug_outc_reac_left(t: Tables) -> DataFrame:
         F.count_distinct("pt_clean").alias("reactions")
     )
     facts = deaths.join(reactions, KEY, "full_outer")
-    return split_join(drugs, facts, KEY, "left")
+    return drugs.join(facts, KEY, "left")
 
 
 def serious_semi(t: Tables) -> DataFrame:
     """Drug rows of reports with a serious outcome."""
     serious = serious_filter(t["outc"]).select("report_id").distinct()
-    return split_join(t["drug"], serious, KEY, "left_semi")
+    return t["drug"].join(serious, KEY, "left_semi")
 
 
 def with_total(df: DataFrame, total: DataFrame, name: str) -> DataFrame:

@@ -43,13 +43,19 @@ DEATH_WORDS = ("death", "fatal")
 # Limits and blocked names of logged statements.
 MAX_SQL, MAX_LIMIT, MAX_SELECTS = 5000, 10000, 8
 BLOCKED_WORDS = (
-    "DROP DELETE UPDATE INSERT TRUNCATE ALTER CREATE REPLACE GRANT REVOKE EXEC EXECUTE "
-    "CALL DO COPY VACUUM ANALYZE CLUSTER REINDEX REFRESH NOTIFY LISTEN UNLISTEN SET RESET "
-    "SHOW dblink"
-).split()
-BLOCKED_PARTS = "pg_read_file pg_ls_dir pg_stat_file lo_import lo_export pg_exec pg_sleep".split()
-BLOCKED_SCHEMAS = "pg_catalog information_schema pg_toast pg_temp public.pg_ pg_stat".split()
-BLOCKED_FUNCTIONS = "pg_sleep pg_cancel_backend pg_terminate_backend system copy_from".split()
+    "DROP", "DELETE", "UPDATE", "INSERT", "TRUNCATE", "ALTER", "CREATE", "REPLACE", "GRANT",
+    "REVOKE", "EXEC", "EXECUTE", "CALL", "DO", "COPY", "VACUUM", "ANALYZE", "CLUSTER", "REINDEX",
+    "REFRESH", "NOTIFY", "LISTEN", "UNLISTEN", "SET", "RESET", "SHOW", "dblink",
+)
+BLOCKED_PARTS = (
+    "pg_read_file", "pg_ls_dir", "pg_stat_file", "lo_import", "lo_export", "pg_exec", "pg_sleep",
+)
+BLOCKED_SCHEMAS = (
+    "pg_catalog", "information_schema", "pg_toast", "pg_temp", "public.pg_", "pg_stat",
+)
+BLOCKED_FUNCTIONS = (
+    "pg_sleep", "pg_cancel_backend", "pg_terminate_backend", "system", "copy_from",
+)
 READABLE_VIEWS = (
     "mv_drug_reaction_pairs",
     "mv_drug_outcomes",
@@ -86,16 +92,22 @@ def log_history(log: DataFrame, limit: int = 20) -> DataFrame:
     )
 
 
-def sanitized(question: Column) -> Column:
-    """Question without SQL comments, statement breaks and destructive words."""
-    text = F.substring(F.coalesce(question, F.lit("")), 1, MAX_QUESTION)
+def sanitized(question: Column, longest: int = MAX_QUESTION) -> Column:
+    """Question without SQL comments, statement breaks and destructive words, cut at ``longest``."""
+    text = F.substring(F.coalesce(question, F.lit("")), 1, longest)
     for pattern in REMOVED_FROM_QUESTIONS:
         text = F.regexp_replace(text, f"(?imUd){pattern}", "")
     return strip(text)
 
 
-def log_sanitize(log: DataFrame) -> DataFrame:
-    return log.select("query_text", sanitized(F.col("query_text")).alias("sanitized"))
+def log_sanitize(log: DataFrame, longest: int = MAX_QUESTION) -> DataFrame:
+    """Tidied questions, and whether one was longer than ``longest`` characters and was cut."""
+    question = F.col("query_text")
+    return log.select(
+        "query_text",
+        sanitized(question, longest).alias("sanitized"),
+        (F.length(F.coalesce(question, F.lit(""))) > longest).alias("was_cut"),
+    )
 
 
 def route(question: Column) -> Column:
@@ -146,8 +158,9 @@ def log_sql_audit(log: DataFrame, prefix: str = "") -> DataFrame:
     given = F.coalesce(F.col("generated_sql"), F.lit(""))
     sql = F.regexp_replace(strip(given), r";+\z", "")
     upper = F.upper(sql)
-    # Quoted text and comments cannot end a statement.
-    bare = F.regexp_replace(sql, r"(?s)'(?:[^']|'')*'|\"[^\"]*\"|--[^\n]*|/\*.*?\*/", " ")
+    # Quoted text and comments cannot end a statement. A doubled quote parts two quoted texts,
+    # which is as good here; a group repeated per character would exhaust the stack.
+    bare = F.regexp_replace(sql, r"(?s)'[^']*'|\"[^\"]*\"|--[^\n]*|/\*.*?\*/", " ")
     words = "|".join(BLOCKED_WORDS).upper()
     functions = "|".join(BLOCKED_FUNCTIONS).upper()
 

@@ -35,8 +35,8 @@ def _keys(*sources: tuple[str, str]) -> str:
 
 
 def _six(*columns: str, of: str) -> str:
-    """Averages and shares are compared to six decimals."""
-    rounded = ", ".join(f"round({c}, 6) AS {c}" for c in columns)
+    """Shares are compared to six decimals, averages to nine."""
+    rounded = ", ".join(f"round({c}, {9 if c.startswith('avg_') else 6}) AS {c}" for c in columns)
     return f"SELECT * REPLACE ({rounded}) FROM {of}"
 
 
@@ -244,10 +244,12 @@ STATEMENTS: dict[str, str] = {
     "serious_semi": f"SELECT report_id, drug_seq, drugname_clean, role_cod FROM drug WHERE {_SERIOUS}",
     "pair_self_join_name": """SELECT a.drugname_clean AS drug_a, b.drugname_clean AS drug_b,
         count(*) AS co_report_count FROM drug a JOIN drug b ON a.report_id = b.report_id
-        AND a.drugname_clean < b.drugname_clean GROUP BY 1, 2""",
+        AND a.drugname_clean < b.drugname_clean GROUP BY 1, 2 HAVING count(*) >= 2
+        ORDER BY 3 DESC, 1, 2 LIMIT 20000""",
     "pair_self_join_seq": """SELECT a.drugname_clean AS drug_1, b.drugname_clean AS drug_2,
         count(DISTINCT a.report_id) AS co_occurrence_reports FROM drug a JOIN drug b
-        ON a.report_id = b.report_id AND a.drug_seq < b.drug_seq GROUP BY 1, 2""",
+        ON a.report_id = b.report_id AND a.drug_seq < b.drug_seq GROUP BY 1, 2
+        HAVING count(DISTINCT a.report_id) >= 2 ORDER BY 3 DESC, 1, 2 LIMIT 20000""",
     "totals_cross_join": """SELECT drugname_clean, count(DISTINCT report_id) AS report_count,
         (SELECT count(DISTINCT report_id) FROM demo) AS grand_total FROM drug GROUP BY 1""",
     "stat_joins": """
@@ -255,7 +257,8 @@ STATEMENTS: dict[str, str] = {
                (SELECT count(DISTINCT report_id) FROM demo) AS grand_total
         FROM (SELECT drugname_clean AS drug, pt_clean AS reaction,
                      count(DISTINCT report_id) AS drug_reaction_count
-              FROM drug JOIN reac USING (report_id) WHERE role_cod = 'PS' GROUP BY 1, 2)
+              FROM drug JOIN reac USING (report_id) WHERE role_cod = 'PS' GROUP BY 1, 2
+              HAVING count(DISTINCT report_id) >= 2)
         JOIN (SELECT drugname_clean AS drug, count(DISTINCT report_id) AS drug_total
               FROM drug WHERE role_cod = 'PS' GROUP BY 1) USING (drug)
         JOIN (SELECT pt_clean AS reaction, count(DISTINCT report_id) AS reaction_total
@@ -283,9 +286,9 @@ STATEMENTS: dict[str, str] = {
         FROM drug GROUP BY 1, 2""",
     "sum_of_counts": """SELECT reaction_term, sum(report_count)::BIGINT AS report_count
         FROM mv_top_reactions GROUP BY 1""",
-    "avg": """SELECT sex, quarter, round(avg(age_years), 6) AS avg_age_years FROM demo
+    "avg": """SELECT sex, quarter, round(avg(age_years), 9) AS avg_age_years FROM demo
         GROUP BY 1, 2""",
-    "avg_duration": "SELECT quarter, round(avg(dur_days), 6) AS avg_dur_days FROM ther GROUP BY 1",
+    "avg_duration": "SELECT quarter, round(avg(dur_days), 9) AS avg_dur_days FROM ther GROUP BY 1",
     "median": """SELECT sex, age_group, round(median(age_years), 6) AS median_age_years
         FROM demo GROUP BY 1, 2""",
     "max_bool_or": """SELECT reaction_term, max(prr) AS prr, bool_or(is_signal) AS is_signal
@@ -306,7 +309,7 @@ STATEMENTS: dict[str, str] = {
                      / nullif((n_drug - a)::DOUBLE * (n_reac - a), 0), 3) AS ror,
                a >= 3 AND (a / n_drug) / (n_reac / total) >= 2 AS is_signal
         FROM (SELECT prod_ai_clean, pt_clean, count(DISTINCT report_id) AS a
-              FROM drug JOIN reac USING (report_id) GROUP BY 1, 2)
+              FROM drug JOIN reac USING (report_id) GROUP BY 1, 2 HAVING a >= 3)
         JOIN (SELECT prod_ai_clean, count(DISTINCT report_id) AS n_drug FROM drug GROUP BY 1)
           USING (prod_ai_clean)
         JOIN (SELECT pt_clean, count(DISTINCT report_id) AS n_reac FROM reac GROUP BY 1)
@@ -471,7 +474,8 @@ STATEMENTS: dict[str, str] = {
     "log_history": """SELECT query_text AS question, generated_sql, response_time_ms,
         rows_returned, from_cache, error_message AS error, created_at AS "timestamp"
         FROM log ORDER BY created_at DESC NULLS LAST, 1, 2 LIMIT 20""",
-    "log_sanitize": f"SELECT query_text, {_sanitized()} AS sanitized FROM log",
+    "log_sanitize": f"""SELECT query_text, {_sanitized()} AS sanitized,
+        length(query_text) > 1000 AS was_cut FROM log""",
     "log_route": f"SELECT query_text, {_route()} AS route FROM log",
     "log_route_counts": f"SELECT {_route()} AS route, count(*) AS questions FROM log GROUP BY 1",
     "log_warning": f"""SELECT query_text, CASE WHEN {_mentions(L.CAUSATION_WORDS)} THEN 'causation'

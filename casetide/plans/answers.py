@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casetide.functions.clean import nonempty
+from casetide.operators.cases import newest_quarter
 from casetide.operators.predicates import (
     drug_search,
     ilike_any,
@@ -16,6 +17,7 @@ from casetide.operators.predicates import (
     role_filter,
     signal_filter,
 )
+from casetide.plans.skew import stored_keys
 from casetide.plans.views import per_report
 
 Views = Mapping[str, DataFrame]
@@ -141,9 +143,13 @@ def reporter_type(
 ) -> DataFrame:
     """Primary suspect drugs by who reported them, physicians or consumers."""
     drugs = role_filter(t["drug"], "PS").filter(nonempty(F.col("drugname_clean")))
-    reporters = t["demo"].select("report_id", "occp_cod")
+    # A report may be stored in several quarters; it counts once, by its newest.
+    reporters = newest_quarter(t["demo"].select("report_id", "quarter", "occp_cod"))
     reported = per_report(
-        drugs.select("report_id", "drugname_clean"), reporters, ["drugname_clean"]
+        drugs.select("report_id", "drugname_clean"),
+        reporters.select("report_id", "occp_cod"),
+        ["drugname_clean"],
+        known=stored_keys(t, "drug"),
     )
     return (
         reported.groupBy("drugname_clean")

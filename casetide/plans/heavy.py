@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from casetide.functions import ratios as R
 from casetide.functions.clean import nonempty
 from casetide.operators.predicates import drug_search, role_filter, serious_filter
-from casetide.plans.skew import ROWS_PER_TASK, Grid, split_join
+from casetide.plans.skew import ROWS_PER_TASK, Grid, stored_keys
 from casetide.plans.views import Pairing, _outcome_flags, per_report, with_ratios
 from casetide.runtime import materialize
 
@@ -27,7 +27,7 @@ def prr_full(
     named = t["drug"].filter(nonempty(F.col("drugname_clean")))
     drugs = role_filter(named, "PS").select("report_id", F.col("drugname_clean").alias("drug"))
     reactions = t["reac"].select("report_id", F.col("pt_clean").alias("reaction"))
-    pairing = Pairing(drugs, reactions, None, rows_per_task)
+    pairing = Pairing(drugs, reactions, None, rows_per_task, stored_keys(t, "drug", "reac"))
     pairs = pairing.count(["drug", "reaction"], "drug_reaction_count", min_reports)
     total = t["demo"].agg(F.count_distinct("report_id"))
     counted = (
@@ -53,9 +53,8 @@ def drug_trend(t: Tables, drug: str) -> DataFrame:
     """
     rows = role_filter(drug_search(t["drug"], drug), "PS")
     reports = materialize(rows.select("report_id", "quarter").distinct(), "reports")
-    outcomes = split_join(
-        t["outc"].select("report_id", "outc_cod"), reports.select("report_id"),
-        ["report_id"], "left_semi",
+    outcomes = t["outc"].select("report_id", "outc_cod").join(
+        reports.select("report_id"), "report_id", "left_semi"
     )
     counts = (
         reports.join(_outcome_flags(outcomes), "report_id", "left")
@@ -67,7 +66,8 @@ def drug_trend(t: Tables, drug: str) -> DataFrame:
         )
     )
     reactions = (
-        split_join(t["reac"].select("report_id", "pt_clean"), reports, ["report_id"])
+        t["reac"].select("report_id", "pt_clean")
+        .join(reports, "report_id")
         .groupBy("quarter")
         .agg(F.count_distinct("pt_clean").alias("unique_reactions_reported"))
     )
@@ -83,8 +83,7 @@ def polypharmacy(t: Tables, min_drug_count: int = 5, limit: int = 1000) -> DataF
     """Reports with the most drug rows, with their drugs in order.
 
     The rows are counted first, with a map-side combine; lists are put together only
-    for the ``limit`` reports of the result, whose numbers are small enough to
-    broadcast. A list belongs to one line of the result, so it is one value.
+    for the ``limit`` reports of the result. A list belongs to one line of the result, so it is one value.
     """
     drug = t["drug"].select("report_id", "drug_seq", "drugname_clean")
     top = (
@@ -99,16 +98,17 @@ def polypharmacy(t: Tables, min_drug_count: int = 5, limit: int = 1000) -> DataF
         "within group (order by drug_seq asc nulls last, drugname_clean)"
     )
     return (
-        drug.join(F.broadcast(top), "report_id")
+        drug.join(top, "report_id")
         .groupBy("report_id", "drug_count")
         .agg(names.alias("drug_list"))
         .orderBy(F.desc("drug_count"), "report_id")
     )
 
 
-def _grid(rows: DataFrame, rows_per_task: int) -> Grid:
+def _grid(rows: DataFrame, rows_per_task: int, t: Tables | None = None) -> Grid:
     """How reports with very many drugs are cut; holds for any part of ``rows`` as well."""
-    return Grid(["report_id"], rows, rows, rows_per_task)
+    known = None if t is None else stored_keys(t, "drug", "drug")
+    return Grid(["report_id"], rows, rows, rows_per_task, known)
 
 
 def _meet(rows: DataFrame, grid: Grid) -> DataFrame:
@@ -123,11 +123,31 @@ def _meet(rows: DataFrame, grid: Grid) -> DataFrame:
     return left.join(right, grid.keys)
 
 
-def _keep_drugs(rows: DataFrame, drugs: DataFrame, rows_per_task: int) -> DataFrame:
-    return split_join(
-        rows, drugs.select("drugname_clean"), ["drugname_clean"], "left_semi", ["report_id"],
-        rows_per_task,
+def _keep_drugs(rows: DataFrame, drugs: DataFrame) -> DataFrame:
+    return rows.join(drugs.select("drugname_clean"), "drugname_clean", "left_semi")
+
+
+def _frequent_pairs(rows: DataFrame, grid: Grid, least: int) -> DataFrame:
+    """Name pairs that count at least ``least``, from the ``rows`` of each report and drug.
+
+    In each report a pair counts the product of both drugs' rows, so a drug's pairs count at
+    most its rows times the largest rows of any other drug there, summed over its reports.
+    Drugs that cannot reach ``least`` go before any pair is formed.
+    """
+    size = F.struct("rows", "drugname_clean")
+    first = rows.groupBy("report_id").agg(F.max(size).alias("_top"))
+    beside = rows.join(first, "report_id")
+    is_top = F.col("drugname_clean") == F.col("_top.drugname_clean")
+    second = beside.filter(~is_top).groupBy("report_id").agg(F.max("rows").alias("_second"))
+    most = F.when(is_top, F.col("_second")).otherwise(F.col("_top.rows"))
+    frequent = (
+        beside.join(second, "report_id")
+        .groupBy("drugname_clean")
+        .agg(F.sum(F.col("rows") * most).alias("bound"))
+        .filter(F.col("bound") >= least)
     )
+    pairs = _count_name_pairs(_keep_drugs(rows, frequent), grid)
+    return pairs.filter(F.col("co_report_count") >= least)
 
 
 def drug_pairs_serious(
@@ -138,11 +158,8 @@ def drug_pairs_serious(
 ) -> DataFrame:
     """Suspect drugs named together in serious reports, by pairs of drug rows.
 
-    A pair counts the product of both drugs' rows in each report, so it is at most
-    one drug's rows times the largest number of rows any drug has in a report. Drugs
-    that cannot reach ``min_co_reports`` by that bound are left out before any pair is
-    formed; none of the result is lost. The counted rows are stored in the scratch
-    folder, as bound and pairs both start from them.
+    A pair counts the product of both drugs' rows in each report. The counted rows are
+    stored in the scratch folder, as bound and pairs both start from them.
     """
     suspects = t["drug"].filter(
         F.col("role_cod").isin("PS", "SS") & nonempty(F.col("drugname_clean"))
@@ -151,28 +168,25 @@ def drug_pairs_serious(
     rows = materialize(
         per_report(
             suspects.select("report_id", "drugname_clean"), serious, ["drugname_clean"],
-            rows_per_task=rows_per_task,
+            rows_per_task=rows_per_task, known=stored_keys(t, "drug"),
         ),
         "suspects",
     )
-    most = rows.agg(F.max("rows")).scalar()
-    frequent = (
-        rows.groupBy("drugname_clean")
-        .agg(F.sum("rows").alias("total"))
-        .filter(F.col("total") * most >= min_co_reports)
-    )
     return (
-        _count_name_pairs(_keep_drugs(rows, frequent, rows_per_task), _grid(rows, rows_per_task))
-        .filter(F.col("co_report_count") >= min_co_reports)
+        _frequent_pairs(rows, _grid(rows, rows_per_task, t), min_co_reports)
         .orderBy(F.desc("co_report_count"), "drug_a", "drug_b")
         .limit(limit)
     )
 
 
-def name_pairs(drug: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def name_pairs(
+    drug: DataFrame, least: int = 10, limit: int | None = None, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """Pairs of drug rows within a report, by the names in alphabetical order."""
     rows = drug.groupBy("report_id", "drugname_clean").agg(F.count("*").alias("rows"))
-    return _count_name_pairs(rows, _grid(rows, rows_per_task))
+    rows = materialize(rows, "drug-rows")
+    pairs = _frequent_pairs(rows, _grid(rows, rows_per_task), least)
+    return pairs if limit is None else pairs.orderBy(F.desc("co_report_count"), "drug_a", "drug_b").limit(limit)
 
 
 def _count_name_pairs(rows: DataFrame, grid: Grid) -> DataFrame:
@@ -189,10 +203,16 @@ def _places(drug: DataFrame) -> DataFrame:
     )
 
 
-def place_pairs(drug: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Reports that list drug 1 somewhere before drug 2, for all drugs."""
-    rows = _places(drug)
-    return _count_ordered_pairs(rows, _grid(rows, rows_per_task))
+def place_pairs(
+    drug: DataFrame, least: int = 10, limit: int | None = None, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Reports that list drug 1 somewhere before drug 2, of drugs in enough reports."""
+    rows = materialize(_places(drug), "places")
+    frequent = rows.groupBy("drugname_clean").count().filter(F.col("count") >= least)
+    pairs = _count_ordered_pairs(_keep_drugs(rows, frequent), _grid(rows, rows_per_task))
+    pairs = pairs.filter(F.col("co_occurrence_reports") >= least)
+    order = [F.desc("co_occurrence_reports"), "drug_1", "drug_2"]
+    return pairs if limit is None else pairs.orderBy(*order).limit(limit)
 
 
 def _count_ordered_pairs(rows: DataFrame, grid: Grid) -> DataFrame:
@@ -217,11 +237,11 @@ def drug_pairs(t: Tables, limit: int = 20, rows_per_task: int = ROWS_PER_TASK) -
     foremost = support.orderBy(F.desc("reports"), "drugname_clean").limit(BOUND_DRUGS)
     among = rows.join(F.broadcast(foremost.select("drugname_clean")), "drugname_clean")
     order = [F.desc("co_occurrence_reports"), "drug_1", "drug_2"]
-    grid = _grid(rows, rows_per_task)
+    grid = _grid(rows, rows_per_task, t)
     best = _count_ordered_pairs(among.select(rows.columns), grid).orderBy(*order).limit(limit)
     bound = best.agg(
         F.when(F.count("*") == limit, F.min("co_occurrence_reports")).otherwise(0)
     ).scalar()
     frequent = support.filter(F.col("reports") >= bound)
-    kept = _keep_drugs(rows, frequent, rows_per_task)
+    kept = _keep_drugs(rows, frequent)
     return _count_ordered_pairs(kept, grid).orderBy(*order).limit(limit)

@@ -166,19 +166,26 @@ def top_reactions(v: Views, quarter: Quarters = None, limit: int = 30) -> DataFr
 
 def db_summary(t: Mapping[str, DataFrame]) -> DataFrame:
     """One row about the stored tables, superseded reports included."""
-    demo, drug, reac = t["demo"], t["drug"], t["reac"]
-    quarters = demo.select("quarter").distinct().agg(joined_quarters())
-    return demo.agg(
-        F.count("*").alias("total_cases"),
-        F.count_distinct("reporter_country").alias("total_countries"),
-    ).select(
+    def counted(name: str, column: str, records: str, different: str) -> DataFrame:
+        both = F.struct(F.count("*").alias(records), F.count_distinct(column).alias(different))
+        return t[name].agg(both)
+
+    quarters = t["demo"].groupBy("quarter").agg(F.count("*").alias("n"), F.collect_set("reporter_country").alias("c"))
+    summary = quarters.agg(
+        F.sum("n").alias("total_cases"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("c")))).cast("long").alias("total_countries"),
+        joined_quarters(),
+    )
+    drug = counted("drug", "drugname_clean", "records", "names").scalar()
+    reac = counted("reac", "pt_clean", "records", "names").scalar()
+    return summary.withColumns({"_drug": drug, "_reac": reac}).select(
         "total_cases",
-        drug.agg(F.count("*")).scalar().alias("total_drug_records"),
-        reac.agg(F.count("*")).scalar().alias("total_reaction_records"),
+        F.col("_drug.records").alias("total_drug_records"),
+        F.col("_reac.records").alias("total_reaction_records"),
         "total_countries",
-        drug.agg(F.count_distinct("drugname_clean")).scalar().alias("unique_drugs"),
-        reac.agg(F.count_distinct("pt_clean")).scalar().alias("unique_reactions"),
-        quarters.scalar().alias("loaded_quarters"),
+        F.col("_drug.names").alias("unique_drugs"),
+        F.col("_reac.names").alias("unique_reactions"),
+        F.col(summary.columns[2]).alias("loaded_quarters"),
     )
 
 

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TREND_COUNTS = ("deaths", "hospitalizations", "life_threatening", "female_cases", "male_cases")
 
 
 def share_of_max(df: DataFrame, column: str) -> DataFrame:
-    """Each count as a percentage of the largest one of the result."""
-    largest = df.agg(F.max(column)).scalar()
+    """Each count as a percentage of the largest one of a limited result, read once."""
+    largest = F.max(column).over(Window.partitionBy())
     share = F.when(largest > 0, F.col(column) / largest * 100).otherwise(0.0)
     return df.withColumn("share_of_max", share)
 

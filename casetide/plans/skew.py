@@ -1,36 +1,37 @@
-"""Joins that stay balanced when one key holds a large share of the rows.
-
-A plain equi-join sends all rows of a key to one task. A ``Grid`` first looks for keys
-with more rows than one task should take, by a map-side-combined count over a sample of
-the key column. Such a key is cut into parts: each row of the big side goes to one
-part, and the matching rows of the other side are copied to every part; with two big
-sides the parts form a grid. All other keys have the single part 0. Every pair of
-matching rows meets exactly once, so the result is that of the plain join.
-
-The list of cut keys is fetched when the plan is built. It has at most
-``MAX_HOT_KEYS`` rows by its limit, so it is safe to fetch and to broadcast; being
-fetched, it is the same for every table of the plan and every retried task, whatever
-the sample held. Large keys beyond the list are joined uncut, which is slower but
-just as exact. With no such key, as usual, the plan is the plain join.
+"""Joins whose result is grouped by the key, balanced when a key holds a large share of rows.
+
+A plain one-sided join needs none of this: the adaptive planner splits a large partition of
+its big side. It cannot where both sides are large at the key, or where the rows are grouped
+within the layout of the join. For those a ``Grid`` cuts keys with more rows than one task
+should take into parts: each row of the big side goes to one part, and the matching rows of
+the other side are copied to every part; with two big sides the parts form a grid. All other
+keys have the single part 0. Every pair of matching rows meets exactly once, so the result
+is that of the plain join.
+
+The large keys are a table: the one stored when tables are loaded (``known``), or one that is
+written when the plan is built, from a map-side-combined count over a sample of the key
+column. It is fixed before it is used, so every table of the plan and every retried task
+sees the same. It is joined like any table, as the planner decides by its size. With no
+large key, as usual, the plan is the plain join.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from casetide.runtime import materialize
 
 ROWS_PER_TASK = 500_000
-MAX_HOT_KEYS = 2_000
-MAX_PARTS = 2_000
 SAMPLED_ROWS = 5_000
 SAMPLE_SEED = 7
 
 SIDE, ROWS = "_side", "_rows"
+#: Name under which the large reports of loaded tables are stored beside them.
+HOT_REPORTS = "hot_reports"
 LEFT_PART, RIGHT_PART = "_left_part", "_right_part"
 _COUNTS = {LEFT_PART: "_left_parts", RIGHT_PART: "_right_parts"}
 
@@ -55,11 +56,21 @@ def hot_keys(
         keys.groupBy(*on, SIDE)
         .agg((F.count("*") / fraction).alias(ROWS))
         .filter(F.col(ROWS) > rows_per_task)
-        .orderBy(F.desc(ROWS), SIDE, *on)
-        .limit(MAX_HOT_KEYS)
     )
 
 
+def stored_keys(t: Mapping[str, DataFrame], left: str, right: str | None = None) -> DataFrame | None:
+    """The large reports of the tables on either side of a join, if they were stored."""
+    if HOT_REPORTS not in t:
+        return None
+    stored = t[HOT_REPORTS].filter(F.col(SIDE).isin([n for n in (left, right) if n]))
+    if left == right:
+        both = F.explode(F.array(F.lit(LEFT_PART), F.lit(RIGHT_PART)))
+        return stored.withColumn(SIDE, both)
+    side = F.when(F.col(SIDE) == left, LEFT_PART).otherwise(RIGHT_PART)
+    return stored.withColumn(SIDE, side)
+
+
 class Grid:
     """How the keys ``on`` are cut, given the big left side and maybe a big right side.
 
@@ -84,20 +95,17 @@ class Grid:
             raise ValueError("drop the part columns of one grid before laying out another")
         self.on = list(on)
         sides = {LEFT_PART: left} if right is None else {LEFT_PART: left, RIGHT_PART: right}
-        found = (hot_keys(sides, on, rows_per_task) if known is None else known).collect()
-        parts: dict[tuple, dict[str, int]] = {}
-        for row in found:
-            count = min(math.ceil(row[ROWS] / rows_per_task), MAX_PARTS)
-            parts.setdefault(tuple(row[c] for c in on), {})[row[SIDE]] = count
+        found = materialize(hot_keys(sides, on, rows_per_task), "large-keys") if known is None else known
         self._hot = None
         self.parts: list[str] = []
-        if parts:
+        if not found.isEmpty():
             self.parts = list(sides)
-            rows = [(*k, *[by_side.get(p, 1) for p in sides]) for k, by_side in parts.items()]
-            layout = [T.StructField(c, left.schema[c].dataType) for c in on]
-            layout += [T.StructField(_COUNTS[p], T.IntegerType()) for p in sides]
-            hot = left.sparkSession.createDataFrame(rows, T.StructType(layout))
-            self._hot = F.broadcast(hot)
+
+            def count(part: str) -> Column:
+                rows = F.max(F.when(F.col(SIDE) == part, F.ceil(F.col(ROWS) / rows_per_task)))
+                return F.coalesce(rows, F.lit(1)).cast("int").alias(_COUNTS[part])
+
+            self._hot = found.groupBy(*self.on).agg(*[count(p) for p in sides])
         self.keys = [*self.on, *self.parts]
 
     def _place(self, df: DataFrame, cut: str | None, spread_by: Sequence[str]) -> DataFrame:
@@ -126,19 +134,3 @@ class Grid:
     def first_copy(self, part: str) -> Column:
         """True for one of the copies that a row has along ``part``."""
         return F.col(part) == 0 if part in self.parts else F.lit(True)
-
-
-def split_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    spread_by: Sequence[str] | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
-    """Equi-join (inner, left, left_semi or left_anti) with the left side's hot keys cut."""
-    if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"join type {how!r} cannot be split on the left side")
-    grid = Grid(on, left, rows_per_task=rows_per_task)
-    placed = grid.left(left, list(spread_by or left.columns))
-    return placed.join(grid.copies(right), grid.keys, how).drop(*grid.parts)

@@ -1,6 +1,7 @@
 """The ten standing views over the cleaned tables.
 
-Each builder takes the tables by name and returns a lazy DataFrame. Reports are
+Each builder takes the tables by name and returns a DataFrame. With the large reports stored
+beside the tables no base table is read to build a plan; without, their keys are. Reports are
 counted once per case (``mv_latest_cases``). Distinct counts are written as a removal
 of duplicates followed by a plain count: duplicates go within the partitioning the
 join on ``report_id`` needs anyway, and the final count combines on the map side, so a
@@ -20,21 +21,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casetide.functions import ratios as R
-from casetide.functions.clean import nonempty
+from casetide.functions.clean import drug_role_label, nonempty, outcome_label
 from casetide.operators import cases
 from casetide.plans.skew import (
+    HOT_REPORTS,
     LEFT_PART,
     RIGHT_PART,
     ROWS_PER_TASK,
-    SIDE,
     Grid,
     hot_keys,
-    split_join,
+    stored_keys,
 )
 from casetide.runtime import together
 
 Tables = Mapping[str, DataFrame]
-HOT_REPORTS = "hot_reports"
 
 
 def _latest(t: Tables) -> DataFrame:
@@ -46,15 +46,6 @@ def hot_reports(t: Tables, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     return hot_keys({n: t[n] for n in ("drug", "reac", "outc")}, ["report_id"], rows_per_task)
 
 
-def _hot(t: Tables, left: str, right: str | None = None) -> DataFrame | None:
-    """The stored hot reports of the tables on either side of a join, if there are any."""
-    if HOT_REPORTS not in t:
-        return None
-    stored = t[HOT_REPORTS].filter(F.col(SIDE).isin([n for n in (left, right) if n]))
-    side = F.when(F.col(SIDE) == left, LEFT_PART).otherwise(RIGHT_PART)
-    return stored.withColumn(SIDE, side)
-
-
 def _named(drug: DataFrame) -> DataFrame:
     return drug.filter(nonempty(F.col("drugname_clean")))
 
@@ -63,22 +54,26 @@ def per_report(
     rows: DataFrame,
     reports: DataFrame,
     columns: list[str],
-    aggregates: Sequence[Column] = (),
+    flags: Sequence[Column] = (),
     rows_per_task: int = ROWS_PER_TASK,
     known: DataFrame | None = None,
 ) -> DataFrame:
     """One row for each report and distinct ``columns``, for the given reports only.
 
-    ``reports`` has a row per report; its further columns are carried along. The
-    aggregates default to the number of rows. One shuffle on ``report_id`` serves the
-    restriction to the reports and the grouping.
+    ``reports`` has a row per report; its further columns are carried along. What is
+    measured is the number of ``rows``, or ``flags`` that are maxima. One shuffle on
+    ``report_id`` serves the restriction to the reports and the grouping. If there are
+    large reports, equal rows are put together before the reports are cut.
     """
     grid = Grid(["report_id"], rows, rows_per_task=rows_per_task, known=known)
+    by = ["report_id", *columns]
     carried = [c for c in reports.columns if c != "report_id"]
-    kept = grid.left(rows, ["report_id", *columns]).join(
-        grid.copies(reports), grid.keys, "inner" if carried else "left_semi"
-    )
-    measures = list(aggregates) or [F.count("*").alias("rows")]
+    measures = list(flags) or [F.count("*").alias("rows")]
+    if grid.parts:
+        rows = rows.groupBy(*by).agg(*measures)
+        names = [c for c in rows.columns if c not in by]
+        measures = [(F.max(n) if flags else F.sum(n)).alias(n) for n in names]
+    kept = grid.left(rows, by).join(grid.copies(reports), grid.keys, "inner" if carried else "left_semi")
     return kept.groupBy(*grid.keys, *columns, *carried).agg(*measures).drop(*grid.parts)
 
 
@@ -100,6 +95,10 @@ class Pairing:
     ):
         self._rows_per_task = rows_per_task
         self._grid = Grid(["report_id"], drugs, others, rows_per_task, known)
+        if self._grid.parts:
+            # Equal rows of a large report would all go to one of its parts.
+            drugs, others = drugs.dropDuplicates(), others.dropDuplicates()
+        self._restricted = latest is not None
         self._all_drugs, self._all_others = drugs, others
         self._drugs, self._others = self._place_drugs(drugs), self._place_others(others)
         self._latest = None
@@ -115,8 +114,10 @@ class Pairing:
     def _distinct(self, side: DataFrame) -> DataFrame:
         # Restricting either side brings it into the layout of the join, where the
         # removal of duplicates needs no shuffle of its own.
-        if self._latest is not None:
+        if self._restricted:
             side = side.join(self._latest, self._grid.keys, "left_semi")
+        else:
+            side = side.repartition(*self._grid.keys)
         return side.dropDuplicates()
 
     def count(self, columns: list[str], name: str, least: int = 1) -> DataFrame:
@@ -124,7 +125,7 @@ class Pairing:
 
         Groups below ``least`` reports are left out. If there are hot reports, whose
         rows would all be paired, drugs and reactions that are too rare to reach
-        ``least`` go before anything is paired.
+        ``least`` go before anything is paired; the result is the same without.
         """
         drugs, others = self._drugs, self._others
         if least > 1 and self._grid.parts:
@@ -143,8 +144,7 @@ class Pairing:
     ) -> DataFrame:
         own = [c for c in columns if c in side.columns]
         enough = totals(own, "_reports").filter(F.col("_reports") >= least).select(*own)
-        by = ["report_id"]
-        return split_join(side, enough, own, "left_semi", by, self._rows_per_task)
+        return side.join(enough, own, "left_semi")
 
     def count_drugs(self, columns: list[str], name: str) -> DataFrame:
         # A drug row is copied to all parts of the other side and counts in the first.
@@ -186,28 +186,31 @@ def mv_latest_cases(t: Tables) -> DataFrame:
 
 def mv_drug_reaction_pairs(t: Tables, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     drugs = _named(t["drug"]).select(
-        "report_id", "drugname_clean", "prod_ai_clean", "role_cod", "drug_role", "quarter"
+        "report_id", "drugname_clean", "prod_ai_clean", "role_cod", "quarter"
     )
     reactions = (
         t["reac"]
         .filter(nonempty(F.col("pt_clean")))
         .select("report_id", F.col("pt_clean").alias("reaction_term"))
     )
-    group = [
-        "drugname_clean", "prod_ai_clean", "role_cod", "drug_role", "reaction_term", "quarter"
-    ]
-    pairing = Pairing(drugs, reactions, _latest(t), rows_per_task, _hot(t, "drug", "reac"))
-    return pairing.count(group, "report_count")
+    group = ["drugname_clean", "prod_ai_clean", "role_cod", "reaction_term", "quarter"]
+    pairing = Pairing(drugs, reactions, _latest(t), rows_per_task, stored_keys(t, "drug", "reac"))
+    # Labels follow from codes; they are added to the counts.
+    return pairing.count(group, "report_count").withColumn(
+        "drug_role", drug_role_label(F.col("role_cod"))
+    )
 
 
 def mv_drug_outcomes(t: Tables, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     drugs = _named(t["drug"]).select(
         "report_id", "drugname_clean", "prod_ai_clean", "role_cod", "quarter"
     )
-    outcomes = t["outc"].select("report_id", "outc_cod", "outcome_label")
-    group = ["drugname_clean", "prod_ai_clean", "role_cod", "outc_cod", "outcome_label", "quarter"]
-    pairing = Pairing(drugs, outcomes, _latest(t), rows_per_task, _hot(t, "drug", "outc"))
-    return pairing.count(group, "report_count")
+    outcomes = t["outc"].select("report_id", "outc_cod")
+    group = ["drugname_clean", "prod_ai_clean", "role_cod", "outc_cod", "quarter"]
+    pairing = Pairing(drugs, outcomes, _latest(t), rows_per_task, stored_keys(t, "drug", "outc"))
+    return pairing.count(group, "report_count").withColumn(
+        "outcome_label", outcome_label(F.col("outc_cod"))
+    )
 
 
 def mv_death_by_drug(t: Tables) -> DataFrame:
@@ -224,7 +227,7 @@ def mv_death_by_drug(t: Tables) -> DataFrame:
         suspects.select("report_id", *group),
         latest.join(deaths, "report_id", "left_semi"),
         group,
-        known=_hot(t, "drug"),
+        known=stored_keys(t, "drug"),
     )
     primary = t["drug"].filter(F.col("role_cod") == "PS").select("report_id").distinct()
     whole = latest.join(primary, "report_id", "left_semi").agg(F.count_distinct("report_id"))
@@ -270,7 +273,7 @@ def mv_signal_prr(t: Tables, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
         .select("report_id", "drugname_clean", "quarter")
     )
     reactions = t["reac"].select("report_id", F.col("pt_clean").alias("reaction_term"))
-    pairing = Pairing(drugs, reactions, latest, rows_per_task, _hot(t, "drug", "reac"))
+    pairing = Pairing(drugs, reactions, latest, rows_per_task, stored_keys(t, "drug", "reac"))
     pairs = pairing.count(
         ["drugname_clean", "reaction_term", "quarter"], "drug_reaction_count", R.SIGNAL_MIN_REPORTS
     )
@@ -307,7 +310,7 @@ def mv_age_sex_distribution(t: Tables) -> DataFrame:
             primary.select("report_id", "drugname_clean", "quarter"),
             people,
             ["drugname_clean", "quarter"],
-            known=_hot(t, "drug"),
+            known=stored_keys(t, "drug"),
         )
         .groupBy("drugname_clean", "quarter", "sex", "age_group")
         .agg(
@@ -352,7 +355,7 @@ def mv_top_drugs(t: Tables) -> DataFrame:
     roles = [has("PS"), has("SS"), has("C")]
     drugs = _named(t["drug"]).select("report_id", *group, "role_cod")
     latest = _latest(t).select("report_id")
-    flags = per_report(drugs, latest, group, roles, known=_hot(t, "drug"))
+    flags = per_report(drugs, latest, group, roles, known=stored_keys(t, "drug"))
     return flags.groupBy(*group).agg(
         F.count("*").alias("report_count"),
         F.sum("PS").alias("ps_count"),
@@ -369,7 +372,7 @@ def mv_top_reactions(t: Tables) -> DataFrame:
             reactions,
             _latest(t).select("report_id"),
             ["reaction_term", "quarter"],
-            known=_hot(t, "reac"),
+            known=stored_keys(t, "reac"),
         )
         .groupBy("reaction_term", "quarter")
         .agg(F.count("*").alias("report_count"))

@@ -9,20 +9,31 @@ TABLES = ("demo", "drug", "reac", "outc", "ther", "indi", "rpsr")
 # Columns of the raw files, in file order, after header clean-up.
 RAW_COLUMNS = {
     "demo": (
-        "report_id caseid caseversion i_f_code event_dt mfr_dt init_fda_dt fda_dt "
-        "rept_cod auth_num mfr_num mfr_sndr lit_ref age age_cod age_grp sex e_sub wt "
-        "wt_cod rept_dt to_mfr occp_cod reporter_country occr_country"
-    ).split(),
+        "report_id", "caseid", "caseversion", "i_f_code", "event_dt", "mfr_dt", "init_fda_dt",
+        "fda_dt", "rept_cod", "auth_num", "mfr_num", "mfr_sndr", "lit_ref", "age", "age_cod",
+        "age_grp", "sex", "e_sub", "wt", "wt_cod", "rept_dt", "to_mfr", "occp_cod",
+        "reporter_country", "occr_country",
+    ),
     "drug": (
-        "report_id caseid drug_seq role_cod drugname prod_ai val_vbm route dose_vbm "
-        "cum_dose_chr cum_dose_unit dechal rechal lot_num exp_dt nda_num dose_amt "
-        "dose_unit dose_form dose_freq"
-    ).split(),
-    "reac": "report_id caseid pt drug_rec_act".split(),
-    "outc": "report_id caseid outc_cod".split(),
-    "rpsr": "report_id caseid rpsr_cod".split(),
-    "ther": "report_id caseid drug_seq start_dt end_dt dur dur_cod".split(),
-    "indi": "report_id caseid drug_seq indi_pt".split(),
+        "report_id", "caseid", "drug_seq", "role_cod", "drugname", "prod_ai", "val_vbm", "route",
+        "dose_vbm", "cum_dose_chr", "cum_dose_unit", "dechal", "rechal", "lot_num", "exp_dt",
+        "nda_num", "dose_amt", "dose_unit", "dose_form", "dose_freq",
+    ),
+    "reac": (
+        "report_id", "caseid", "pt", "drug_rec_act",
+    ),
+    "outc": (
+        "report_id", "caseid", "outc_cod",
+    ),
+    "rpsr": (
+        "report_id", "caseid", "rpsr_cod",
+    ),
+    "ther": (
+        "report_id", "caseid", "drug_seq", "start_dt", "end_dt", "dur", "dur_cod",
+    ),
+    "indi": (
+        "report_id", "caseid", "drug_seq", "indi_pt",
+    ),
 }
 
 DRIFT_COLUMN = "extended_attributes"
@@ -74,16 +85,23 @@ CLEAN = {
 # Columns of the slim Parquet export.
 EXPORT_COLUMNS = {
     "demo": (
-        "report_id caseid caseversion quarter i_f_code event_dt fda_dt rept_cod age_years "
-        "age_group sex weight_kg reporter_country occr_country occp_cod"
-    ).split(),
+        "report_id", "caseid", "caseversion", "quarter", "i_f_code", "event_dt", "fda_dt",
+        "rept_cod", "age_years", "age_group", "sex", "weight_kg", "reporter_country",
+        "occr_country", "occp_cod",
+    ),
     "drug": (
-        "report_id caseid drug_seq quarter role_cod drug_role drugname_clean prod_ai_clean "
-        "route_clean dose_amt dose_unit nda_num"
-    ).split(),
-    "reac": "report_id caseid quarter pt_clean".split(),
-    "outc": "report_id caseid quarter outc_cod outcome_label".split(),
-    "indi": "report_id caseid drug_seq quarter indi_pt_clean".split(),
+        "report_id", "caseid", "drug_seq", "quarter", "role_cod", "drug_role", "drugname_clean",
+        "prod_ai_clean", "route_clean", "dose_amt", "dose_unit", "nda_num",
+    ),
+    "reac": (
+        "report_id", "caseid", "quarter", "pt_clean",
+    ),
+    "outc": (
+        "report_id", "caseid", "quarter", "outc_cod", "outcome_label",
+    ),
+    "indi": (
+        "report_id", "caseid", "drug_seq", "quarter", "indi_pt_clean",
+    ),
 }
 
 # Code lists.

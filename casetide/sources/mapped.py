@@ -34,19 +34,22 @@ QUESTIONS = (
     "Where does this report come from /* hidden */ exactly?",
 )
 
-# Statements of the log, by conversation number.
+# Statements of the log, by conversation number. What stands in braces comes from the data:
+# a number, a word and the text of the turn, and a chain of partial queries.
 STATEMENTS = (
-    "SELECT drugname_clean, report_count FROM mv_top_drugs LIMIT 10",
-    "WITH t AS (SELECT quarter, total_cases FROM mv_quarterly_trends) SELECT quarter FROM t",
-    "SELECT quarter FROM demo; DROP TABLE demo;",
-    "SELECT name FROM private_patients LIMIT 10",
-    "SELECT reaction_term FROM mv_top_reactions LIMIT 99999",
-    "SELECT 'CANNOT_ANSWER: no such column' AS error;",
+    "SELECT drugname_clean, ps_count FROM mv_top_drugs WHERE ps_count < {number} LIMIT {number}",
+    "WITH t AS (SELECT quarter FROM mv_quarterly_trends WHERE deaths > {number}) SELECT quarter FROM t",
+    "SELECT quarter FROM demo WHERE age_years < {number}; DROP TABLE demo;",
+    "SELECT name FROM {word}_patients LIMIT {number}",
+    "SELECT report_count FROM mv_top_reactions WHERE reaction_term = '{word}' LIMIT {number}",
+    "SELECT 'CANNOT_ANSWER: no column {word}' AS error;",
     "   ",
-    "UPDATE demo SET age_years = 0",
-    "SELECT relname FROM pg_catalog.pg_class",
-    "SELECT system('ls') FROM demo",
-    "SELECT a.quarter FROM drug a JOIN reac b ON a.report_id = b.report_id LIMIT 20;",
+    "UPDATE demo SET age_years = {number}",
+    "SELECT relname FROM pg_catalog.pg_class LIMIT {number}",
+    "SELECT system('{word}') FROM demo",
+    "SELECT a.quarter FROM drug a JOIN reac b ON a.report_id = b.report_id LIMIT {number};",
+    "SELECT quarter FROM demo WHERE reporter_country IN ('{text}')",
+    "{chain}SELECT quarter FROM outc WHERE outc_cod = '{word}'",
 )
 
 
@@ -271,7 +274,17 @@ class Bed:
     def query_log(self) -> DataFrame:
         turns = self.source("conversations").filter(F.col("role") == "user")
         events = self.source("events").select("event_id", "ts", "event_type", "value")
-        conv = F.col("conv_id")
+        conv, text = F.col("conv_id"), F.col("text")
+        chars = F.length(text)
+        filled = {
+            "number": (chars * (conv % 97 + 1)).cast("string"),
+            "word": F.regexp_extract(F.lower(text), "[a-z]+", 0),
+            "text": F.repeat(F.replace(text, F.lit("'"), F.lit("")), F.lit(20)),
+            "chain": F.repeat(F.lit("SELECT 1 UNION ALL "), (chars % 12).cast("int")),
+        }
+        statement = _pick(conv % len(STATEMENTS), dict(enumerate(STATEMENTS)))
+        for name, value in filled.items():
+            statement = F.replace(statement, F.lit(f"{{{name}}}"), value)
         log = turns.withColumn("event_id", conv * 8 + F.col("turn")).join(
             events, "event_id", "left"
         )
@@ -279,7 +292,7 @@ class Bed:
             F.concat(
                 _pick(conv % len(QUESTIONS), dict(enumerate(QUESTIONS))), F.lit(" "), F.col("text")
             ).alias("query_text"),
-            _pick(conv % len(STATEMENTS), dict(enumerate(STATEMENTS))).alias("generated_sql"),
+            statement.alias("generated_sql"),
             F.floor(F.col("value") * 100 + 0.5).cast("int").alias("response_time_ms"),
             F.col("turn").cast("int").alias("rows_returned"),
             (F.col("event_type") == "view").alias("from_cache"),
