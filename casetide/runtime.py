@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_root: str | None = None
+_folder: ContextVar[str | None] = ContextVar("scratch folder", default=None)
 
 
 def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
@@ -35,11 +38,12 @@ def local_session(cpus: int | str = 8, memory: str = "8g") -> SparkSession:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """Fresh folder for a table that one job writes and reads again.
 
-    It lies in the shared folder the cluster names in ``spark.checkpoint.dir``.
-    Only a local session that names none gets a folder of this machine.
+    It lies in the shared folder the cluster names in ``spark.checkpoint.dir``, or in the
+    caller's own folder within ``scratch_folder``. Only a local session that names none
+    gets a folder of this machine.
     """
     global _local_root
-    root = spark.conf.get(CHECKPOINT_KEY, None) or _local_root
+    root = _folder.get() or spark.conf.get(CHECKPOINT_KEY, None) or _local_root
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
@@ -47,6 +51,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def scratch_folder(path: str) -> Iterator[str]:
+    """Within it all scratch tables lie in ``path``, for the caller to remove with ``remove``."""
+    before = _folder.set(path)
+    try:
+        yield path
+    finally:
+        _folder.reset(before)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder on whatever file system it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Store an intermediate table in the scratch folder and go on from there.
 
@@ -63,5 +83,5 @@ def together(jobs: Iterable[Callable[[], None]], at_once: int = 4) -> None:
     The first failure is raised after the others have ended.
     """
     with ThreadPoolExecutor(max_workers=at_once) as pool:
-        for future in [pool.submit(job) for job in jobs]:
+        for future in [pool.submit(copy_context().run, job) for job in jobs]:
             future.result()

@@ -13,6 +13,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Mapping
 from functools import partial, reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,14 @@ from pyspark.sql import types as T
 from casetide import schemas as S
 from casetide.operators.cases import dedup_versions, newest_quarter
 from casetide.operators.cleaning import clean_table
+from casetide.plans.skew import HOT_REPORTS, hot_keys
 from casetide.runtime import materialize, together
 from casetide.sources import raw
 
 MAX_ROWS_PER_FILE = 20_000_000
 METADATA_TABLE = "quarter_metadata"
+# What a Spark job can fail with; anything else is a fault of the program.
+_FAILURES = (PySparkException, Py4JJavaError)
 # Partition of a child table: 1 if the report of its rows is stored, 0 if they wait for it.
 HAS_PARENT = "has_parent"
 CHILDREN = tuple(name for name in S.TABLES if name != "demo")
@@ -93,6 +97,14 @@ def _stored(spark: SparkSession, root: str, table: str, has_parent: int) -> Data
     return rows.filter(F.col(HAS_PARENT) == has_parent).select(*layout.names)
 
 
+def stored_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """All stored tables by name, with the list of large reports that joins go by."""
+    tables = {n: read_table(spark, root, n) for n in S.TABLES}
+    if exists(spark, table_path(root, HOT_REPORTS)):
+        tables[HOT_REPORTS] = spark.read.parquet(table_path(root, HOT_REPORTS))
+    return tables
+
+
 def skip_loaded_quarters(incoming: DataFrame, stored_demo: DataFrame) -> DataFrame:
     """Rows of quarters that are not stored yet.
 
@@ -102,13 +114,18 @@ def skip_loaded_quarters(incoming: DataFrame, stored_demo: DataFrame) -> DataFra
     return incoming.join(stored_demo.select("quarter").distinct(), "quarter", "left_anti")
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """Paths of the data files of a table partitioned by quarter; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    return files.filter(F.contains("path", F.lit("/quarter=")))
+
+
 def _partition_files(spark: SparkSession, path: str, quarters: Iterable[str]) -> dict[str, set[str]]:
     """Data files of the given quarters by partition folder; names only."""
     found = defaultdict(set)
     if exists(spark, path):
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
         wanted = F.regexp_extract("path", r"/quarter=([^/]+)/", 1).isin(*quarters)
-        for row in files.filter(wanted).collect():
+        for row in _files(spark, path).filter(wanted).collect():
             folder, _, name = row.path.rpartition("/")
             found[folder].add(name)
     return found
@@ -179,6 +196,9 @@ def _store(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, quar
     stored = {n: read_table(spark, root, n).filter(F.col("quarter").isin(quarters)) for n in S.TABLES}
     lines = load_metadata(stored, F.lit(round(time.time() - began, 3)), F.lit(source).cast("string"))
     # A quarter without any stored row has a line as well.
+    # Large reports are looked for once, in the key columns of what was just stored.
+    keyed = {n: read_table(spark, root, n) for n in ("drug", "reac", "outc")}
+    hot_keys(keyed, ["report_id"]).coalesce(1).write.mode("overwrite").parquet(table_path(root, HOT_REPORTS))
     every = spark.createDataFrame([(q,) for q in quarters], "quarter string").join(lines, "quarter", "left")
     counts = [c for c in lines.columns if c.endswith("_rows")]
     _write(every.fillna(0, counts).fillna({"load_seconds": round(time.time() - began, 3)}), table_path(root, METADATA_TABLE))
@@ -260,14 +280,15 @@ def load_quarters(
     try:
         if todo:
             load(todo)
-    except PySparkException as whole:
+    except _FAILURES as whole:
         for quarter in todo:
             try:
                 if len(todo) == 1:
                     raise whole
                 load([quarter])
-            except PySparkException as error:
-                failed[quarter] = str(error).strip().splitlines()[0][:500]
+            except _FAILURES as error:
+                said = error.java_exception.getMessage() if isinstance(error, Py4JJavaError) else str(error)
+                failed[quarter] = " ".join(str(said).split())[:500]
     rows = [(q, "failed" if q in failed else "skipped" if q in done else "loaded", failed.get(q)) for q in wanted]
     return spark.createDataFrame(rows, "quarter string, status string, error string")
 
@@ -323,11 +344,14 @@ def bucket_tables(
 
 
 def read_parquet_views(spark: SparkSession, root: str, prefix: str = "") -> list[str]:
-    """Register every stored table below ``root`` as a temporary view; absent ones are left out."""
+    """Register every stored table below ``root`` as a temporary view.
+
+    Tables that are absent, or were never given a row, are left out.
+    """
     names = []
     for table in S.TABLES:
         path = table_path(root, table)
-        if exists(spark, path):
+        if exists(spark, path) and not _files(spark, path).isEmpty():
             rows = spark.read.parquet(path)
             if HAS_PARENT in rows.columns:
                 rows = rows.filter(F.col(HAS_PARENT) == 1).drop(HAS_PARENT)

@@ -1,10 +1,14 @@
 """Raw files with real-life flaws, and the stored tables."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from casetide.operators import joins
 from casetide.operators.cleaning import clean_table
+from casetide.plans import heavy, views
+from casetide.plans.answers import reporter_type
 from casetide.sources import raw, store
 from casetide.sources.mapped import bed
 from casetide.streaming.landing import land
@@ -42,6 +46,40 @@ def test_flawed_lines(spark, tmp_path, rows):
     assert "Caf\xe9 Au Lait Spots" in [r.pt_clean for r in cleaned.collect()]
 
 
+def test_surplus_fields_and_quotes(spark, tmp_path, rows):
+    lines = ["primaryid$caseid$pt", *[f"{n}$1$x" + "$" * n + "lost" for n in range(1, 9)], "20$1$x$$$$$", '21$1$"a ""b"" c"', '22$"x\\"$oral', '23$1$"q $ r"$"s ""t"" $"$u']
+    path = write(tmp_path / "2024q1", "REAC24Q1.txt", lines)
+    read = raw.read_raw(spark, path)
+    assert rows(raw.skip_bad_lines(read), "report_id", "caseid", "pt") == [
+        ("20", "1", "x"), ("21", "1", 'a "b" c'), ("22", "x\\", "oral"),
+    ]
+    bad = {r.report_id: r[raw.SURPLUS] for r in raw.quarantine_rows(read).collect()}
+    assert set(bad) == {str(n) for n in range(1, 9)} | {"23"}
+    assert bad["5"] == ["", "", "", "", "lost"] and bad["23"] == ['"s ""t"" $"', "u"]
+    assert raw.skip_bad_lines(read).count() == 3  # without a look at the columns
+
+
+def test_each_file_goes_by_its_own_header(spark, tmp_path, rows):
+    write(tmp_path / "2024q1", "REAC24Q1.txt", ["primaryid$caseid$pt", "1$10$Rash"])
+    write(tmp_path / "2024q2", "REAC24Q2.txt", ["primaryid$pt$caseid", "2$Rash$20"])
+    write(tmp_path / "2024q3", "REAC24Q3.txt", [])
+    read = raw.read_table(spark, f"{tmp_path}/*/{raw.file_glob('reac')}")
+    assert rows(read, "report_id", "caseid", "pt") == [("1", "10", "Rash"), ("2", "20", "Rash")]
+
+
+def test_parts_of_a_folder_are_held_to_their_header(spark, tmp_path):
+    write(tmp_path / "2024q1" / "REAC.txt", "part-0", ["primaryid$caseid$pt", "1$10$Rash"])
+    write(tmp_path / "2024q1" / "REAC.txt", "part-1", ["primaryid$pt$caseid", "2$Rash$20"])
+    with pytest.raises(Exception, match="(?i)header"):
+        raw.read_table(spark, f"{tmp_path}/2024q1/REAC.txt").collect()
+
+
+def test_path_without_a_quarter_is_an_error(spark, tmp_path):
+    path = write(tmp_path / "someday", "REAC.txt", ["primaryid$caseid$pt", "1$10$Rash"])
+    with pytest.raises(Exception, match="no quarter in the path"):
+        raw.read_table(spark, path).collect()
+
+
 def test_files_are_found_in_either_case(spark, tmp_path, rows):
     write(tmp_path / "2024q1" / "ascii", "DEMO24Q1.txt", ["primaryid$caseid"])
     write(tmp_path / "2024q2" / "ascii", "demo24q2.txt", ["primaryid$caseid"])
@@ -114,17 +152,105 @@ def test_store_skip_and_reload(spark, quarters, tmp_path, rows):
 def test_an_interrupted_load_is_completed(spark, quarters, tmp_path, rows):
     root = str(tmp_path / "store")
     tables = load(spark, quarters)
-    store.write_quarter({"demo": tables["demo"]}, root)
+    store._store_reports(spark, tables["demo"], root, ["2024q1", "2024q2"])  # and then it broke off
     stored = store.write_quarter(tables, root)
     assert rows(stored["outc"], "report_id", "outc_cod") == [(11, "HO"), (20, "DE"), (20, "LT")]
 
 
+def test_reload_removes_what_the_correction_lacks(spark, quarters, tmp_path, rows):
+    root = str(tmp_path / "store")
+    tables = load(spark, quarters)
+    store.write_quarter(tables, root)
+    no_outcomes = {"demo": tables["demo"], "outc": tables["outc"].filter("report_id = 11")}
+    assert rows(store.reload_quarter(no_outcomes, root, "2024q2")["outc"], "report_id") == [(11,)]
+    # Reports alone: the quarter has no children any more.
+    store.reload_quarter({"demo": tables["demo"].filter("report_id <> 11")}, root, "2024q1")
+    assert rows(store.read_table(spark, root, "demo"), "report_id") == [(20,)]
+    assert store.read_table(spark, root, "outc").count() == 0
+    assert store.waiting_rows(spark, root, "outc").count() == 0
+
+
+def test_load_of_all_quarters(spark, quarters, tmp_path, rows):
+    root = str(tmp_path / "store")
+    write(quarters / "2024q3", "DEMO24Q3.txt", DEMO + [demo_line(30, 3, 1)])
+    write(quarters / "2024q3", "OUTC24Q3.txt", ["primaryid$caseid$outc_cod", "30$3$CA"])
+    assert rows(store.load_quarters(spark, str(quarters), root, ["2024Q1"]), "quarter", "status") == [("2024q1", "loaded")]
+    report = store.load_quarters(spark, str(quarters), root)
+    assert rows(report, "quarter", "status") == [("2024q1", "skipped"), ("2024q2", "loaded"), ("2024q3", "loaded")]
+    assert rows(store.read_table(spark, root, "outc"), "report_id", "outc_cod") == [(11, "HO"), (20, "DE"), (20, "LT"), (30, "CA")]
+    lines = spark.read.parquet(f"{root}/{store.METADATA_TABLE}")
+    assert rows(lines, "quarter", "demo_rows", "outc_rows", "total_rows", "data_source_url") == [
+        ("2024q1", 1, 1, 2, str(quarters)), ("2024q2", 1, 2, 3, str(quarters)), ("2024q3", 1, 1, 2, str(quarters)),
+    ]
+
+
+def test_a_damaged_quarter_does_not_stop_the_rest(spark, quarters, tmp_path, rows):
+    root = str(tmp_path / "store")
+    write(quarters / "2024q3" / "DEMO.txt", "part-0", DEMO + [demo_line(30, 3, 1)])
+    write(quarters / "2024q3" / "DEMO.txt", "part-1", ["caseid$primaryid", "1$31"])
+    report = {r.quarter: r for r in store.load_quarters(spark, str(quarters), root).collect()}
+    assert {q: r.status for q, r in report.items()} == {"2024q1": "loaded", "2024q2": "loaded", "2024q3": "failed"}
+    assert report["2024q3"].error
+    assert rows(store.read_table(spark, root, "demo"), "report_id") == [(11,), (20,)]
+
+
+def test_a_report_in_two_quarters_stays_in_the_newest(spark, quarters, tmp_path, rows):
+    root = str(tmp_path / "store")
+    write(quarters / "2024q3", "DEMO24Q3.txt", DEMO + [demo_line(11, 1, 3), demo_line(30, 3, 1)])
+    wanted = [(11, "2024q3"), (20, "2024q2"), (30, "2024q3")]
+    store.load_quarters(spark, str(quarters), root)
+    assert rows(store.read_table(spark, root, "demo"), "report_id", "quarter") == wanted
+    for turn, order in enumerate((["2024q1", "2024q2", "2024q3"], ["2024q3", "2024q1", "2024q2"])):
+        root = str(tmp_path / f"store{turn}")
+        for quarter in order:
+            store.load_quarters(spark, str(quarters), root, [quarter])
+        assert rows(store.read_table(spark, root, "demo"), "report_id", "quarter") == wanted
+        assert (11, "HO") in rows(store.read_table(spark, root, "outc"), "report_id", "outc_cod")
+
+
+def test_each_text_is_read_once_in_a_load(spark, quarters, tmp_path, monkeypatch):
+    read = []
+    whole = raw.read_table
+
+    def counted(session, *paths, **how):
+        df = whole(session, *paths, **how)
+        seen = session.sparkContext.accumulator(0)
+        read.append((seen, df))
+        return df.filter(F.udf(lambda _: seen.add(1) or True, "boolean")("report_id"))
+
+    monkeypatch.setattr(raw, "read_table", counted)
+    store.load_quarters(spark, str(quarters), str(tmp_path / "store"))
+    assert [seen.value for seen, _ in read] == [df.count() for _, df in read]
+
+
+def test_no_base_table_is_read_to_plan_on_stored_tables(spark, quarters, tmp_path):
+    root = str(tmp_path / "store")
+    store.load_quarters(spark, str(quarters), root)
+    t = store.stored_tables(spark, root)
+    assert "hot_reports" in t
+    spark.sparkContext.setJobGroup("planning", "planning")
+    try:
+        for build in (heavy.prr_full, joins.drug_reac_join, joins.drug_outc_join, reporter_type, views.mv_signal_prr, views.mv_top_drugs):
+            build(t)
+        found = spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+        stages = [spark.sparkContext.statusTracker().getJobInfo(j).stageIds for j in found]
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    # Looking whether there are large reports reads their list of one file, nothing else.
+    assert all(len(s) == 1 for s in stages)
+
+
 def test_stored_quarters_prune(spark, quarters, tmp_path):
     root = str(tmp_path / "store")
     stored = store.write_quarter(load(spark, quarters), root)
     plan = stored["outc"].filter(F.col("quarter") == "2024q2").filter(F.col("outc_cod") == "DE")
-    text = plan.select("report_id")._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(quarter" in text
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        text = plan.select("report_id")._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    filters = re.search(r"PartitionFilters: \[([^]]*)\]", text)[1]
+    assert "= 2024q2" in filters and "has_parent" in filters
     assert "EqualTo(outc_cod,DE)" in text
     assert "ReadSchema: struct<report_id:bigint,outc_cod:string>" in text
 
@@ -170,3 +296,22 @@ def test_landing_of_new_files(spark, quarters, tmp_path, rows):
     spark.catalog.clearCache()
     assert (30, "CA") in rows(run(), "report_id", "outc_cod")
     assert rows(run(), "report_id", "outc_cod")[-1] == (30, "CA")
+
+
+def test_landing_of_children_before_their_reports(spark, tmp_path, rows):
+    folder, root, marks = tmp_path / "raw", str(tmp_path / "landed"), str(tmp_path / "marks")
+
+    def run():
+        land(spark, str(folder), root, marks).awaitTermination()
+        spark.catalog.clearCache()
+        return rows(store.read_table(spark, root, "outc"), "report_id", "outc_cod")
+
+    write(folder / "2024q1", "OUTC24Q1.txt", ["primaryid$caseid$outc_cod", "10$1$DE", "99$9$HO"])
+    assert run() == []
+    assert rows(store.waiting_rows(spark, root, "outc"), "report_id") == [(10,), (99,)]
+    write(folder / "2024q1", "DEMO24Q1.txt", DEMO + [demo_line(10, 1, 1)])
+    assert run() == [(10, "DE")]
+    # The report of the other child arrives with another quarter.
+    write(folder / "2024q2", "DEMO24Q2.txt", DEMO + [demo_line(99, 9, 1)])
+    assert run() == [(10, "DE"), (99, "HO")]
+    assert store.waiting_rows(spark, root, "outc").count() == 0

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from casetide.operators import joins
-from casetide.plans.skew import LEFT_PART, RIGHT_PART, Grid, split_join
+from casetide.plans.skew import LEFT_PART, RIGHT_PART, Grid
+from casetide.plans.views import Pairing, per_report
 
 
 @pytest.fixture(scope="module")
@@ -22,21 +23,6 @@ def sides(spark):
     )
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("rows_per_task", [15, 100, 500_000])
-def test_split_join_equals_plain_join(sides, rows, how, rows_per_task):
-    left, right = sides
-    cut = split_join(left, right, ["k"], how, rows_per_task=rows_per_task)
-    plain = left.join(right, "k", how)
-    assert cut.columns == plain.columns
-    assert rows(cut) == rows(plain)
-
-
-def test_unsupported_join_type(sides):
-    with pytest.raises(ValueError, match="full_outer"):
-        split_join(*sides, ["k"], "full_outer")
-
-
 def test_both_sides_cut(sides, rows):
     left, right = sides
     many = right.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(30))))
@@ -63,3 +49,26 @@ def test_plain_plan_without_hot_keys(sides):
     assert grid.keys == ["k"]
     assert grid.left(left, left.columns) is left
     assert grid.copies(right) is right
+
+
+def test_equal_rows_of_a_hot_report_are_spread(spark):
+    rows = spark.range(4000).select(F.lit(1).alias("report_id"), F.lit("a").alias("name"))
+    rows = rows.union(spark.range(300).select(F.lit(1), F.concat(F.lit("b"), F.col("id")))).repartition(8)
+    reports = spark.createDataFrame([(1,)], "report_id int")
+    out = per_report(rows, reports, ["name"], rows_per_task=100)
+    counts = {r["name"]: r["rows"] for r in out.collect()}
+    assert counts["a"] == 4000 and len(counts) == 301
+    pairing = Pairing(rows, rows.select("report_id", F.col("name").alias("other")), None, 100)
+    for side, part in ((pairing._drugs, LEFT_PART), (pairing._others, RIGHT_PART)):
+        assert side.groupBy(part).count().agg(F.max("count")).first()[0] <= 100 * 300
+        assert side.filter(F.col(side.columns[1]) == "a").select(*side.columns[:2], part).distinct().count() == 1
+    assert pairing.count(["name", "other"], "n").count() == 301 * 301
+
+
+def test_no_cap_on_hot_keys_or_parts(spark):
+    rows = spark.range(9000).select((F.col("id") % 3000).alias("k"), F.col("id").alias("v"))
+    grid = Grid(["k"], rows, rows_per_task=2)
+    parts = grid.left(rows, ["v"])
+    assert parts.filter(F.col(LEFT_PART) > 0).select("k").distinct().count() > 2000
+    one = rows.withColumn("k", F.lit(1))
+    assert Grid(["k"], one, rows_per_task=2).left(one, ["v"]).agg(F.max(LEFT_PART)).first()[0] > 2000
