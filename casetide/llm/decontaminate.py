@@ -165,7 +165,7 @@ class Index:
             for size, places in spots.items():
                 self._slide(size, places, hashes, best)
         self._short(words, best)
-        return sorted(best.values())
+        return [best[i] for i in sorted(best)]
 
     def _short(self, words: list[str], best: dict) -> None:
         """Windows of items with fewer words than a shingle: equal words, by their one hash."""

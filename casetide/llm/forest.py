@@ -16,6 +16,8 @@ leaves pass on a spanning forest.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -25,8 +27,8 @@ from casetide.llm.components import connected
 from casetide.runtime import materialize
 
 COSINE = 0.95
-TREES = 10
-#: Splits of a cell per round: it falls into 2 ** LEVELS cells.
+TREES = 6
+#: Splits of a cell per round, at most: it falls into 2 ** LEVELS cells.
 LEVELS = 6
 ROUNDS = 5
 #: Vectors that a cell's splits are fitted on.
@@ -44,7 +46,7 @@ def classes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding")
     Vectors that are null, empty, all zero or hold null or non-finite components, and rows
     without an id, are not among them. A direct comparison of arrays decides what is equal.
     """
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = finite & F.exists("v", lambda x: x != 0) & F.col("v").isNotNull() & F.col("id").isNotNull()
     return rows.where(usable).groupBy("v").agg(F.min("id").alias("cls"), F.count("*").alias("copies"))
@@ -83,9 +85,11 @@ def _leaves(x: np.ndarray, cell: int, levels: int, splits: dict[int, tuple[float
     return splits, at
 
 
-def _fit(levels: int):
+def _fit(leaf_rows: int, most: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cell = int(pdf["cell"].iloc[0])
+        # As many halvings, with some room for spill, as bring the cell down to a leaf.
+        levels = min(most, max(1, math.ceil(math.log2(1.5 * pdf["size"].iloc[0] / leaf_rows))))
         # Ties of the sampling order must not matter.
         splits, _ = _leaves(_unit(pdf.sort_values("cls")["v"]), cell, levels)
         return pd.DataFrame({"cell": [cell], "splits": [[y for n in range(1, 1 << levels) for y in splits[n]]]})
@@ -93,12 +97,13 @@ def _fit(levels: int):
     return run
 
 
-def _assign(levels: int):
+def _assign():
     def run(batches):
         for pdf in batches:
             out = []
             for cell, rows in pdf.groupby("cell", sort=False):
                 flat = rows["splits"].iloc[0]
+                levels = (len(flat) // 2).bit_length()
                 splits = {n: (flat[2 * n - 2], flat[2 * n - 1]) for n in range(1, 1 << levels)}
                 ids = rows["cls"].to_numpy()
                 for leaf, at in _leaves(_unit(rows["v"]), int(cell), levels, splits)[1]:
@@ -120,11 +125,11 @@ def leaves(distinct: DataFrame, trees: int = TREES, leaf_rows: int = LEAF_ROWS,
         done = small if done is None else done.union(small)
         if large.isEmpty():
             return done
-        split = cells.join(large, "cell", "left_semi").join(distinct.select("cls", "v"), "cls")
+        split = cells.join(large, "cell").join(distinct.select("cls", "v"), "cls")
         nth = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("cls", "cell"), "cls"))
-        chosen = split.withColumn("nth", nth).where(F.col("nth") <= sample).select("cell", "cls", "v")
-        model = materialize(chosen.groupBy("cell").applyInPandas(_fit(levels), "cell long, splits array<double>"), "splits")
-        below = split.join(model, "cell").mapInPandas(_assign(levels), "cls long, parent long, leaf long")
+        chosen = split.withColumn("nth", nth).where(F.col("nth") <= sample).select("cell", "size", "cls", "v")
+        model = materialize(chosen.groupBy("cell").applyInPandas(_fit(leaf_rows, levels), "cell long, splits array<double>"), "splits")
+        below = split.join(model, "cell").mapInPandas(_assign(), "cls long, parent long, leaf long")
         cells = materialize(below.select("cls", F.xxhash64("parent", "leaf").alias("cell")).distinct(), "cells")
     return done.union(cells.select("cls", "cell"))
 
@@ -216,7 +221,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     for (size,) in distinct.select(F.size("v")).distinct().collect():  # one length, as a rule
         same = distinct.where(F.size("v") == size)
         found.append(compared(same, materialize(leaves(same, trees, leaf_rows, **fit), "leaves"), leaf_rows))
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"))
     if not found:
         alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
         return alone.withColumn("kept", F.col("vec_id") == F.col("component_id"))
