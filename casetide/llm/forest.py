@@ -29,7 +29,7 @@ from casetide.runtime import materialize
 COSINE = 0.95
 TREES = 6
 #: Splits of a cell per round, at most: it falls into 2 ** LEVELS cells.
-LEVELS = 6
+LEVELS = 8
 ROUNDS = 5
 #: Vectors that a cell's splits are fitted on.
 SAMPLE = 2_048
@@ -131,7 +131,8 @@ def leaves(distinct: DataFrame, trees: int = TREES, leaf_rows: int = LEAF_ROWS,
         model = materialize(chosen.groupBy("cell").applyInPandas(_fit(leaf_rows, levels), "cell long, splits array<double>"), "splits")
         below = split.join(model, "cell").mapInPandas(_assign(), "cls long, parent long, leaf long")
         cells = materialize(below.select("cls", F.xxhash64("parent", "leaf").alias("cell")).distinct(), "cells")
-    return done.union(cells.select("cls", "cell"))
+    last = cells.select("cls", "cell")
+    return last if done is None else done.union(last)
 
 
 def _compare(cosine: float):
