@@ -43,6 +43,8 @@ def _latest(t: Tables) -> DataFrame:
 
 def hot_reports(t: Tables, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Reports with very many drug, reaction or outcome rows, found once for all views."""
+    if HOT_REPORTS in t:
+        return t[HOT_REPORTS]
     return hot_keys({n: t[n] for n in ("drug", "reac", "outc")}, ["report_id"], rows_per_task)
 
 

@@ -166,11 +166,13 @@ def write_quarter(
     A report that is in several quarters stays in the newest one. Gives the stored tables.
     """
     spark = tables["demo"].sparkSession
-    quarters = sorted(r.quarter for r in loaded_quarters(reduce(DataFrame.union, [df.select("quarter") for df in tables.values()])).collect())
+    tables = {**tables, "demo": materialize(tables["demo"], "reports")}
+    quarters = sorted(r.quarter for r in loaded_quarters(tables["demo"]).collect())
     if not force:
         stored = _complete_quarters(spark, root)
+        if stored:
+            tables = {n: df.filter(~F.col("quarter").isin(*stored)) for n, df in tables.items()}
         quarters = [q for q in quarters if q not in stored]
-        tables = {n: df.filter(F.col("quarter").isin(quarters)) for n, df in tables.items()}
     if quarters:
         _store(spark, tables, root, quarters)
     return {n: read_table(spark, root, n) for n in S.TABLES if n in tables}
@@ -184,7 +186,7 @@ def _complete_quarters(spark: SparkSession, root: str) -> set[str]:
 
 def _store(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, quarters: list[str], source: str | None = None) -> None:
     began = time.time()
-    _store_reports(spark, tables.get("demo"), root, quarters)
+    gone = _store_reports(spark, tables.get("demo"), root, quarters)
     demo = read_table(spark, root, "demo")
 
     def write(name: str) -> None:
@@ -192,7 +194,7 @@ def _store(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, quar
         _replace(_flag_parents(rows, demo), root, name, quarters)
 
     together([partial(write, name) for name in CHILDREN])
-    _settle(spark, root, quarters)
+    _settle(spark, root, quarters, gone)
     stored = {n: read_table(spark, root, n).filter(F.col("quarter").isin(quarters)) for n in S.TABLES}
     lines = load_metadata(stored, F.lit(round(time.time() - began, 3)), F.lit(source).cast("string"))
     # A quarter without any stored row has a line as well.
@@ -204,35 +206,44 @@ def _store(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, quar
     _write(every.fillna(0, counts).fillna({"load_seconds": round(time.time() - began, 3)}), table_path(root, METADATA_TABLE))
 
 
-def _store_reports(spark: SparkSession, demo: DataFrame | None, root: str, quarters: list[str]) -> None:
+def _store_reports(spark: SparkSession, demo: DataFrame | None, root: str, quarters: list[str]) -> DataFrame:
+    """Replace the reports of the quarters; gives the ids that are no longer stored."""
     if demo is None:
         demo = spark.createDataFrame([], S.CLEAN["demo"])
     new = materialize(newest_quarter(demo), "reports")
-    others = read_table(spark, root, "demo").filter(~F.col("quarter").isin(quarters))
+    stored = read_table(spark, root, "demo")
     clash = materialize(
-        others.select("report_id", F.col("quarter").alias("other")).join(new.select("report_id", "quarter"), "report_id"), "clash"
-    )
+        stored.select("report_id", F.col("quarter").alias("other")).join(new.select("report_id", "quarter"), "report_id"), "clash"
+    ).filter(~F.col("other").isin(quarters))
+    old = stored.filter(F.col("quarter").isin(quarters)).select("report_id")
+    gone = materialize(old.join(new, "report_id", "left_anti"), "gone")
     later = clash.filter("other > quarter").select("report_id").distinct()
     _replace(new.join(later, "report_id", "left_anti"), root, "demo", quarters)
     earlier = clash.filter("other < quarter")
     moved = sorted(r.other for r in earlier.select("other").distinct().collect())
     if moved:
-        gone = earlier.select("report_id").distinct()
-        kept = read_table(spark, root, "demo").filter(F.col("quarter").isin(moved)).join(gone, "report_id", "left_anti")
+        kept = read_table(spark, root, "demo").filter(F.col("quarter").isin(moved))
+        kept = kept.join(earlier.select("report_id").distinct(), "report_id", "left_anti")
         _replace(materialize(kept, "reports"), root, "demo", moved)
+    return gone
+
 
+def _settle(spark: SparkSession, root: str, quarters: list[str], gone: DataFrame) -> None:
+    """Look again at the children of other quarters whose report came or went with this load.
 
-def _settle(spark: SparkSession, root: str, quarters: list[str]) -> None:
-    """Look again at the children of other quarters whose report was stored or removed just now."""
+    Only waiting rows are looked at, and stored ones if any report went.
+    """
     demo = read_table(spark, root, "demo")
+    came = demo.filter(F.col("quarter").isin(quarters)).select("report_id")
+    lost = not gone.isEmpty()
 
     def settle(name: str) -> None:
-        if not exists(spark, table_path(root, name)):
-            return
-        wait = waiting_rows(spark, root, name).join(demo.select("report_id"), "report_id", "left_semi")
-        have = read_table(spark, root, name).join(demo.select("report_id"), "report_id", "left_anti")
-        changed = wait.select("quarter").union(have.select("quarter")).filter(~F.col("quarter").isin(quarters))
-        again = sorted(r.quarter for r in changed.distinct().collect())
+        changed = waiting_rows(spark, root, name).join(came, "report_id", "left_semi").select("quarter")
+        if lost:
+            have = read_table(spark, root, name).join(gone, "report_id", "left_semi")
+            changed = changed.union(have.join(demo, "report_id", "left_anti").select("quarter"))
+        changed = changed.filter(~F.col("quarter").isin(quarters)).distinct()
+        again = sorted(r.quarter for r in changed.collect())
         if again:
             both = waiting_rows(spark, root, name).union(read_table(spark, root, name))
             rows = materialize(_flag_parents(both.filter(F.col("quarter").isin(again)), demo), "settled")
