@@ -137,8 +137,8 @@ def read(segments: DataFrame, root: str, with_ids: bool = True) -> DataFrame:
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     names = [part.split()[0] for part in schema.split(", ")]
-    dealt = tasks.repartition(F.xxhash64("file", "offset"))
-    return dealt.mapInArrow(run, schema)
+    # A number of its own: the rows are small, and the planner would put them into one task.
+    return tasks.repartition(max(1, segments.count())).mapInArrow(run, schema)
 
 
 def stored(docs: DataFrame, key: str = "doc_id", text: str = "text", with_ids: bool = True, **how) -> DataFrame:

@@ -229,8 +229,8 @@ def read(archives: DataFrame, root: str, split_bytes: int = SPLIT_BYTES) -> Data
                             rows, held = [], 0
                     yield _frame(rows)
 
-    tasks = ranges.repartition(F.xxhash64("archive", "start"))
-    return tasks.mapInPandas(run, RECORD)
+    # A number of its own: the rows are small, and the planner would put them into one task.
+    return ranges.repartition(max(1, ranges.count())).mapInPandas(run, RECORD)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
