@@ -70,5 +70,21 @@ def queries() -> dict[str, Query]:
     return {name: over(build) for name, build in globals().items() if name.startswith("op") and callable(build)}
 
 
+# SHA-1 in base 32: 40 hex digits are eight groups of five, each four letters.
+_WARC = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    q AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x,
+                 min(page_id) OVER (PARTITION BY h) AS least FROM p)
+    SELECT page_id, payload_bytes,
+           array_to_string(list_transform(range(32), lambda i: substr(
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+             1 + ((('0x' || substr(x, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31), 1)
+           ), '') AS payload_digest,
+           CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> least THEN least END AS refers_to
+    FROM q"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Statements for the queries that SQL can express: no tokenizer, XXH64 or model."""
+    return {"op5_warc": _WARC}

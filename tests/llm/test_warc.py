@@ -105,3 +105,17 @@ def test_query_equals_brute_force(spark):
         wanted.add((page_id, len(raw), digest, "response" if to == page_id else "revisit", None if to == page_id else to))
     out = op5_warc(spark, sf).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
     assert len(out) == len(pages) and set(map(tuple, out)) == wanted
+
+
+def test_statement_agrees(spark):
+    import duckdb
+
+    from casetide.llm.catalog import op5_warc, oracle_sql
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    theirs = con.sql(oracle_sql()["op5_warc"])
+    mine = op5_warc(spark, sf)
+    assert sorted(mine.columns) == sorted(theirs.columns)
+    assert set(map(tuple, mine.select(*theirs.columns).collect())) == set(theirs.fetchall())
