@@ -46,7 +46,7 @@ def test_versions_of_a_hot_case(spark, rows):
         F.lit("Male").alias("sex"),
     )
     wanted = [(i,) for i in range(600) if i >= 300 or i % 4 == 3]
-    assert rows(cases.dedup_versions(given, rows_per_task=20), "report_id") == sorted(wanted, key=repr)
+    assert rows(cases.dedup_versions(given), "report_id") == sorted(wanted, key=repr)
 
 
 def test_latest_and_children(spark, rows):

@@ -74,8 +74,11 @@ def test_ordered_pairs(spark, data, rows_per_task, limit, monkeypatch):
     wanted = sorted(((a, b, c) for (a, b), c in counts.items()), key=lambda r: (-r[2], r[0], r[1]))
     t = tables(spark, rows, outcomes)
     if limit == 5000:
-        found = heavy.place_pairs(t["drug"].filter("drugname_clean <> ''"), rows_per_task)
-        assert Counter({(r.drug_1, r.drug_2): r.co_occurrence_reports for r in found.collect()}) == counts
+        named = t["drug"].filter("drugname_clean <> ''")
+        for least in (1, 4):
+            found = heavy.place_pairs(named, least, rows_per_task=rows_per_task)
+            enough = {k: n for k, n in counts.items() if n >= least}
+            assert {(r.drug_1, r.drug_2): r.co_occurrence_reports for r in found.collect()} == enough
     else:
         found = heavy.drug_pairs(t, limit, rows_per_task)
         assert [tuple(r) for r in found.collect()] == wanted[:limit]
