@@ -61,10 +61,21 @@ def scratch_folder(path: str) -> Iterator[str]:
         _folder.reset(before)
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """True if there is a file or folder, on whatever file system; a failure to look is an error."""
+    system, place = _place(spark, path)
+    return system.exists(place)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a folder on whatever file system it lies."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    system, place = _place(spark, path)
+    system.delete(place, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

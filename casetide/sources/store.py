@@ -14,7 +14,7 @@ from collections.abc import Iterable, Mapping
 from functools import partial, reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +23,7 @@ from casetide import schemas as S
 from casetide.operators.cases import dedup_versions, newest_quarter
 from casetide.operators.cleaning import clean_table
 from casetide.plans.skew import HOT_REPORTS, hot_keys
-from casetide.runtime import materialize, together
+from casetide.runtime import materialize, path_exists, together
 from casetide.sources import raw
 
 MAX_ROWS_PER_FILE = 20_000_000
@@ -64,17 +64,6 @@ def table_path(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{table}"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """True if there is something at ``path``; any other failure to look is an error."""
-    try:
-        spark.read.format("binaryFile").load(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
-
-
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     """A stored table under its fixed layout; empty if nothing was stored yet."""
     return _stored(spark, root, table, 1)
@@ -87,7 +76,7 @@ def waiting_rows(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 def _stored(spark: SparkSession, root: str, table: str, has_parent: int) -> DataFrame:
     layout, path = S.CLEAN[table], table_path(root, table)
-    if not exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], layout)
     # The layout spares a look into the files.
     if table == "demo":
@@ -100,7 +89,7 @@ def _stored(spark: SparkSession, root: str, table: str, has_parent: int) -> Data
 def stored_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """All stored tables by name, with the list of large reports that joins go by."""
     tables = {n: read_table(spark, root, n) for n in S.TABLES}
-    if exists(spark, table_path(root, HOT_REPORTS)):
+    if path_exists(spark, table_path(root, HOT_REPORTS)):
         tables[HOT_REPORTS] = spark.read.parquet(table_path(root, HOT_REPORTS))
     return tables
 
@@ -123,7 +112,7 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 def _partition_files(spark: SparkSession, path: str, quarters: Iterable[str]) -> dict[str, set[str]]:
     """Data files of the given quarters by partition folder; names only."""
     found = defaultdict(set)
-    if exists(spark, path):
+    if path_exists(spark, path):
         wanted = F.regexp_extract("path", r"/quarter=([^/]+)/", 1).isin(*quarters)
         for row in _files(spark, path).filter(wanted).collect():
             folder, _, name = row.path.rpartition("/")
@@ -142,7 +131,8 @@ def _replace(df: DataFrame, root: str, table: str, quarters: list[str]) -> None:
     spark, path = df.sparkSession, table_path(root, table)
     before = _partition_files(spark, path, quarters)
     _write(df, path, *([HAS_PARENT] if table != "demo" else []))
-    for folder, names in _partition_files(spark, path, quarters).items():
+    # Nothing was there before: nothing can be left over.
+    for folder, names in (_partition_files(spark, path, quarters) if before else {}).items():
         if names & before.get(folder, set()):
             empty = df.drop("quarter", HAS_PARENT).limit(0)
             empty.write.mode("overwrite").parquet(folder)
@@ -181,7 +171,7 @@ def write_quarter(
 def _complete_quarters(spark: SparkSession, root: str) -> set[str]:
     """Quarters whose load was completed: their line of metadata is written last."""
     path = table_path(root, METADATA_TABLE)
-    return {r.quarter for r in spark.read.parquet(path).select("quarter").collect()} if exists(spark, path) else set()
+    return {r.quarter for r in spark.read.parquet(path).select("quarter").collect()} if path_exists(spark, path) else set()
 
 
 def _store(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, quarters: list[str], source: str | None = None) -> None:
@@ -194,7 +184,8 @@ def _store(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, quar
         _replace(_flag_parents(rows, demo), root, name, quarters)
 
     together([partial(write, name) for name in CHILDREN])
-    _settle(spark, root, quarters, gone)
+    if _complete_quarters(spark, root) - set(quarters):
+        _settle(spark, root, quarters, gone)
     stored = {n: read_table(spark, root, n).filter(F.col("quarter").isin(quarters)) for n in S.TABLES}
     lines = load_metadata(stored, F.lit(round(time.time() - began, 3)), F.lit(source).cast("string"))
     # A quarter without any stored row has a line as well.
@@ -323,7 +314,7 @@ def export_parquet(
         if name not in tables:
             continue
         path, df = table_path(root, name), tables[name].select(*columns)
-        if not overwrite and exists(df.sparkSession, path):
+        if not overwrite and path_exists(df.sparkSession, path):
             df = skip_loaded_quarters(df, materialize(loaded_quarters(df.sparkSession.read.parquet(path)), "exported"))
         _write(df, path)
         written.append(name)
@@ -362,7 +353,7 @@ def read_parquet_views(spark: SparkSession, root: str, prefix: str = "") -> list
     names = []
     for table in S.TABLES:
         path = table_path(root, table)
-        if exists(spark, path) and not _files(spark, path).isEmpty():
+        if path_exists(spark, path) and not _files(spark, path).isEmpty():
             rows = spark.read.parquet(path)
             if HAS_PARENT in rows.columns:
                 rows = rows.filter(F.col(HAS_PARENT) == 1).drop(HAS_PARENT)
