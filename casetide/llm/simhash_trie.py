@@ -291,15 +291,18 @@ def near_duplicates(
     )
 
 
+def first_of_groups(docs: DataFrame, groups: DataFrame, key: str, text: str) -> DataFrame:
+    """The documents that ``groups`` (``doc_id``, ``component_id``) names as their group's smallest."""
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    first = F.row_number().over(Window.partitionBy(key).orderBy(text))
+    named = docs.join(kept, key, "left_semi").withColumn("_nth", first).where("_nth = 1")
+    return named.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
     """The documents with one row of each near-duplicate group: that with the smallest id.
 
     Rows that repeat this id are reduced to the one with the smallest text. Rows without an
     id can't be named in a group and stay. Columns and their order are those of ``docs``.
     """
-    groups = near_duplicates(docs, key, text, **limits)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    first = F.row_number().over(Window.partitionBy(key).orderBy(text))
-    named = docs.join(kept, key, "left_semi").withColumn("_nth", first).where("_nth = 1")
-    return named.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
-
+    return first_of_groups(docs, near_duplicates(docs, key, text, **limits), key, text)

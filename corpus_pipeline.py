@@ -1,7 +1,7 @@
 """From raw documents to packed token sequences.
 
-Quality classifier, SimHash near-duplicates (one document of each group stays), benchmark
-decontamination, best-fit packing. Each stage is written as Parquet and read again.
+Quality classifier, near-duplicates by five-word shingles (one document of each group stays),
+benchmark decontamination, best-fit packing. Each stage is written as Parquet and read again.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casetide.llm import decontaminate, packing, quality_gam, simhash_trie
+from casetide.llm import decontaminate, near_copies, packing, quality_gam
 from casetide.llm.tables import given, shipped
 from casetide.runtime import materialize
 
@@ -23,9 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each group with a five-word Jaccard similarity of 0.8 or more."""
     shipped(spark)
-    return simhash_trie.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack),
 ]
 
-#: SimHash groups, a trained model and token ids have no SQL form; tests use brute force.
+#: Groups of near copies, a trained model and token ids have no SQL form; tests use brute force.
 ORACLE_SQL: str | None = None
 
 
