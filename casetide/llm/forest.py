@@ -1,13 +1,15 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
 A tree splits a cell of vectors at the median of their projections on a random direction,
-again and again. Vectors close to a split go to both sides. Vectors are compared with all
-others of their leaf, in double precision, and links from all trees are united.
+again and again. Vectors close to a split go to both sides; how close depends on how far
+linked vectors can be apart, however tight the cell is. Vectors are compared with all others
+of their leaf, in double precision, and links from all trees are united.
 
 Equal vectors are one class from the start. A cell's splits are fitted on a bounded sample
 of its own vectors and applied to all of them; cells that are still large are split again
-from new samples. A cell that is large after the last round, because its vectors are too
-much alike to be parted, is compared in blocks, so no link inside it is lost.
+from new samples. A cell is not split where a good part of its sampled pairs are links, as it
+would be parted through the middle of a group; like one that is large after the last round
+it is compared in blocks, so no link inside it is lost and the work goes by its links.
 
 Two vectors may meet in several leaves. Each carries the list of its leaves, and a pair
 counts in the smallest common one only; so links are counted without a table of pairs, and
@@ -37,6 +39,10 @@ SAMPLE = 2_048
 LEAF_ROWS = 1_024
 #: Share of a cell's spread within which a vector goes to both sides of a split.
 SPILL = 0.06
+#: Distance of unit vectors that are just linked.
+CHORD = math.sqrt(2 - 2 * COSINE)
+#: Share of linked pairs from which on a cell is compared as a whole.
+TIGHT = 0.25
 _SEED = 11
 
 
@@ -63,10 +69,22 @@ def _direction(cell: int, node: int, size: int) -> np.ndarray:
     return found / np.linalg.norm(found)
 
 
+_ALIKE = (math.inf, 1.0)
+
+
+def _alike(x: np.ndarray) -> bool:
+    """Whether a good part of the pairs of some vectors are links."""
+    if len(x) < 16:
+        return False
+    return np.mean([(x * np.roll(x, k, axis=0)).sum(axis=1) >= COSINE for k in (1, 2, 3, 5)]) >= TIGHT
+
+
 def _leaves(x: np.ndarray, cell: int, levels: int, splits: dict[int, tuple[float, float]] | None = None):
     """Send the rows of ``x`` down one tree. Without splits they are fitted on the way.
 
     Nodes are numbered as in a heap. Gives the splits, and row and leaf number of every end.
+    A node that is not split has an infinite split point and all rows on the left; its margin
+    is 1 if its vectors are too much alike, and 0 if only the direction is of no use.
     """
     fitted = splits is None
     splits = {} if fitted else splits
@@ -77,7 +95,13 @@ def _leaves(x: np.ndarray, cell: int, levels: int, splits: dict[int, tuple[float
             along = x[rows] @ _direction(cell, node, x.shape[1])
             if fitted:
                 low, mid, high = np.quantile(along, (0.1, 0.5, 0.9)) if len(rows) else (0.0, 0.0, 0.0)
-                splits[node] = (float(mid), float(SPILL * (high - low)))
+                margin = max(SPILL * (high - low), 0.5 * CHORD / math.sqrt(x.shape[1]))
+                if splits.get(node // 2) == _ALIKE and node % 2 == 0 or _alike(x[rows]):
+                    splits[node] = _ALIKE
+                elif high - low < 4 * margin:
+                    splits[node] = (math.inf, 0.0)
+                else:
+                    splits[node] = (float(mid), float(margin))
             mid, margin = splits[node]
             below.append((2 * node, rows[along <= mid + margin]))
             below.append((2 * node + 1, rows[along > mid - margin]))
@@ -129,7 +153,10 @@ def leaves(distinct: DataFrame, trees: int = TREES, leaf_rows: int = LEAF_ROWS,
         nth = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("cls", "cell"), "cls"))
         chosen = split.withColumn("nth", nth).where(F.col("nth") <= sample).select("cell", "size", "cls", "v")
         model = materialize(chosen.groupBy("cell").applyInPandas(_fit(leaf_rows, levels), "cell long, splits array<double>"), "splits")
-        below = split.join(model, "cell").mapInPandas(_assign(), "cls long, parent long, leaf long")
+        # Cells that are not to be split at all are leaves.
+        alike = (F.col("splits")[0] == F.lit(math.inf)) & (F.col("splits")[1] == 1)
+        done = done.union(cells.join(model.where(alike), "cell", "left_semi").select("cls", "cell"))
+        below = split.join(model.where(~alike), "cell").mapInPandas(_assign(), "cls long, parent long, leaf long")
         cells = materialize(below.select("cls", F.xxhash64("parent", "leaf").alias("cell")).distinct(), "cells")
     last = cells.select("cls", "cell")
     return last if done is None else done.union(last)

@@ -83,3 +83,16 @@ def test_recall_of_the_query(spark):
     wanted = brute(rows)
     assert len(out) == len(wanted)
     assert sum(r[1] for r in out) >= 0.98 * sum(r[1] for r in wanted)
+
+
+def test_a_large_tight_group_keeps_its_links(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(64)
+    tight = centre / np.linalg.norm(centre) + 0.022 * rng.standard_normal((800, 64))
+    x = np.concatenate((tight, rng.standard_normal((1600, 64))))
+    unit = tight / np.linalg.norm(tight, axis=1, keepdims=True)
+    wanted = int((unit @ unit.T >= 0.95).sum()) - len(tight)
+    assert wanted > 0.9 * 800 * 799
+    rows = [(i, v, 0, "", "") for i, v in enumerate(x.tolist())]
+    out = T.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n_links string, v string"), leaf_rows=32, sample=256).collect()
+    assert 0.999 * wanted <= sum(r["n_links"] for r in out) <= wanted
