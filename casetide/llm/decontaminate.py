@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash windows.
 
 For every benchmark item, windows of the item's own number of words slide over each
-document. A window's SimHash over word shingles is looked up in a multi-index: the 64 bits
+document; a document that is shorter is one window. A window's SimHash over word shingles is looked up in a multi-index: the 64 bits
 are cut into blocks, and the items are stored by the value of each block. Fingerprints
 within ``RADIUS`` differ in at most ``RADIUS // BLOCKS`` bits of some block, so looking up
 all values that near finds all of them. Candidates are verified by the exact weighted
@@ -163,7 +163,12 @@ class Index:
                 for size in self.sizes[int(hashes[p])]:
                     spots[size].append(p)
             for size, places in spots.items():
-                self._slide(size, places, hashes, best)
+                if size <= len(words):
+                    self._slide(size, places, hashes, best)
+                elif len(hashes) >= SIMILARITY * (size - SHINGLE + 1):
+                    # A document shorter than the item is one window.
+                    values = hashes.tolist()
+                    self._check(len(words), 0, Counter(values), self.near(size, fingerprint(values)), best)
         self._short(words, best)
         return [best[i] for i in sorted(best)]
 

@@ -102,3 +102,12 @@ def test_query_equals_brute_force(spark):
     found = mine(op1_decontaminate(spark, sf))
     long = {i for i, t in some if len(t) >= 6000}
     assert {f for f in found if f[0] not in long} == wanted and wanted
+
+
+def test_document_shorter_than_the_item(spark):
+    words = [f"w{i}" for i in range(50)]
+    docs = [(1, " ".join(words[:48])), (2, " ".join(words[2:])), (3, " ".join(words[:30])), (4, " ".join(words))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    out = {(r["doc_id"], r["start_word"], r["n_words"], round(r["similarity"], 9)) for r in D.leaks(d, b).collect()}
+    assert out == {(1, 0, 48, round(44 / 46, 9)), (2, 0, 48, round(44 / 46, 9)), (4, 0, 50, 1.0)}
+    assert [r["doc_id"] for r in D.clean(d, b).collect()] == [3]
