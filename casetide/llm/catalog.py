@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from casetide.llm import (
     decontaminate,
     forest,
+    line_runs,
     packing,
     quality_gam,
     sharding,
@@ -63,6 +65,11 @@ def op10_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.stored(given(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_runs.without_common_lines(given(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     def over(build: Query) -> Query:
         return lambda spark, sf_dir: build(shipped(spark), sf_dir)
@@ -85,6 +92,19 @@ _WARC = """
     FROM q"""
 
 
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+_LINES = f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    l AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+    k AS (SELECT *, translate(trim(line, {_BLANKS}), {_LOWER}) AS key FROM l),
+    c AS (SELECT key, TRUE AS common FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10)
+    SELECT doc_id, count(*)::BIGINT AS n_lines, count(common)::BIGINT AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE common IS NULL), '')) AS kept_sha256
+    FROM k LEFT JOIN c USING (key) GROUP BY r, doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Statements for the queries that SQL can express: no tokenizer, XXH64 or model."""
-    return {"op5_warc": _WARC}
+    return {"op5_warc": _WARC, "op12_line_runs": _LINES}
