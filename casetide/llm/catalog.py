@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casetide.llm import (
+    bit_codes,
     decontaminate,
     forest,
     line_runs,
@@ -15,6 +16,7 @@ from casetide.llm import (
     quality_gam,
     sharding,
     simhash_trie,
+    stripes,
     token_files,
     url_trees,
     warc,
@@ -65,11 +67,20 @@ def op10_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.stored(given(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op11_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stripes.phrases(given(spark, sf_dir, "documents"))
+
+
 def op12_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_runs.without_common_lines(given(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op13_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return bit_codes.mined(given(spark, sf_dir, "embeddings"), F.expr("vec_id % 50 = 0"), label=label)
+
+
 def queries() -> dict[str, Query]:
     def over(build: Query) -> Query:
         return lambda spark, sf_dir: build(shipped(spark), sf_dir)
@@ -105,6 +116,45 @@ _LINES = f"""
     FROM k LEFT JOIN c USING (key) GROUP BY r, doc_id"""
 
 
+_PHRASES = f"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                 translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+    f AS (SELECT lang, k, phrase, count(*) AS f FROM (
+            SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase
+            FROM w, (VALUES (1), (2), (3)) AS sizes(k)) GROUP BY ALL),
+    t AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+    c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
+    cut AS (SELECT lang, phrase, k, a, at, array_to_string(ws[: at], ' ') AS x, array_to_string(ws[at + 1 :], ' ') AS y
+            FROM c, (VALUES (1), (2)) AS cuts(at) WHERE at < k),
+    scored AS (SELECT cut.*, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score
+               FROM cut JOIN f AS l ON l.lang = cut.lang AND l.phrase = x JOIN f AS r ON r.lang = cut.lang AND r.phrase = y),
+    one AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) = 1),
+    inner_ AS (SELECT lang, phrase, max(f) AS longest FROM (
+            SELECT lang, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS phrase, a AS f FROM c WHERE k = 3) GROUP BY ALL),
+    kept AS (SELECT one.* FROM one LEFT JOIN inner_ USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 50 * a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase,
+           a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+    FROM kept JOIN t USING (lang) QUALIFY rank <= 2000"""
+
+
+_NEGATIVES = """
+    WITH q AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+               FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+          FROM q AS a JOIN q AS b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT anchor_id, positive_id,
+           row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank,
+           id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    QUALIFY rank <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Statements for the queries that SQL can express: no tokenizer, XXH64 or model."""
-    return {"op5_warc": _WARC, "op12_line_runs": _LINES}
+    return {"op5_warc": _WARC, "op11_stripes": _PHRASES, "op12_line_runs": _LINES, "op13_bit_codes": _NEGATIVES}
