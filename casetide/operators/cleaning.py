@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from casetide import schemas as S
 from casetide.functions import clean as C
 
+#: Bits of the columns of ``lossy_columns`` whose text a row's cleaning could not read.
+LOST = "_lost"
+
 _INTEGRAL = (T.LongType, T.IntegerType, T.ShortType)
 
 
@@ -120,28 +123,60 @@ CLEANERS: Mapping[str, Callable[..., DataFrame]] = {
 }
 
 
-def conform_schema(df: DataFrame, table: str) -> DataFrame:
-    """The table's fixed columns in order; absent ones are null."""
+def conform_schema(df: DataFrame, table: str, *further: str) -> DataFrame:
+    """The table's fixed columns in order; absent ones are null. ``further`` ones follow."""
     layout = S.CLEAN[table]
     return df.select(
         *[
             (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in layout
-        ]
+        ],
+        *further,
     )
 
 
 def capture_drift(df: DataFrame, table: str) -> DataFrame:
     """Columns the cleaned table has no place for, as one JSON text of the non-null ones."""
-    known = set(S.CLEAN[table].names) | {"quarter"}
+    known = set(S.CLEAN[table].names) | {"quarter", LOST}
     surplus = [c for c in df.columns if c not in known]
     packed = F.to_json(F.struct(*surplus)) if surplus else F.lit("{}")
     return df.withColumn(S.DRIFT_COLUMN, packed)
 
 
-def clean_table(raw: DataFrame, table: str, quarter: str | None = None) -> DataFrame:
-    """Clean, pack surplus columns and bring one table into its fixed layout."""
-    return conform_schema(capture_drift(CLEANERS[table](raw, quarter), table), table)
+def lossy_columns(table: str) -> list[str]:
+    """Raw columns that cleaning turns into dates, numbers or keys, in a fixed order."""
+    typed = {name: name for name in S.RAW_COLUMNS[table] if name in S.CLEAN[table].names and name not in ("report_id", "quarter")}
+    typed = {r: c for r, c in typed.items() if not isinstance(S.CLEAN[table][c].dataType, T.StringType)}
+    return [*typed, *(r for r in _READ_AS if r in S.RAW_COLUMNS[table] and _READ_AS[r] in S.CLEAN[table].names)]
+
+
+# Raw columns whose cleaned column has another name.
+_READ_AS = {"age": "age_years", "wt": "weight_kg", "dur": "dur_days"}
+
+
+_MARK = "_has_"
+
+
+def _with_marks(raw: DataFrame, table: str) -> DataFrame:
+    """``raw`` with a column for each of ``lossy_columns`` that says whether there is a text."""
+    has = lambda c: F.coalesce(F.trim(F.col(c).cast("string")) != "", F.lit(False)) if c in raw.columns else F.lit(False)
+    return raw.withColumns({_MARK + c: has(c) for c in lossy_columns(table)})
+
+
+def clean_table(raw: DataFrame, table: str, quarter: str | None = None, losses: bool = False) -> DataFrame:
+    """Clean, pack surplus columns and bring one table into its fixed layout.
+
+    With ``losses`` there is one more column, ``LOST``: a bit for each of ``lossy_columns``
+    whose text is not blank and became null.
+    """
+    if not losses:
+        return conform_schema(capture_drift(CLEANERS[table](raw, quarter), table), table)
+    cleaned = CLEANERS[table](_with_marks(raw, table), quarter)
+    mask = F.lit(0)
+    for i, c in enumerate(lossy_columns(table)):
+        mask = mask.bitwiseOR(F.when(F.col(_MARK + c) & F.col(_READ_AS.get(c, c)).isNull(), 1 << i).otherwise(0))
+    cleaned = cleaned.withColumn(LOST, mask).drop(*[c for c in cleaned.columns if c.startswith(_MARK)])
+    return conform_schema(capture_drift(cleaned, table), table, LOST)
 
 
 def resolve_generic(drug: DataFrame, mappings: DataFrame) -> DataFrame:

@@ -72,6 +72,37 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(place)
 
 
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, on whatever file system; none if there is no such folder."""
+    system, place = _place(spark, path)
+    return [f.getPath().getName() for f in system.listStatus(place)] if system.exists(place) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file, on whatever file system."""
+    system, place = _place(spark, path)
+    stream = system.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    system, place = _place(spark, path)
+    stream = system.create(place, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def rename_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a file unless there is one of the new name already; False if there is."""
+    system, place = _place(spark, target)
+    return not system.exists(place) and system.rename(_place(spark, source)[1], place)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a folder on whatever file system it lies."""
     system, place = _place(spark, path)

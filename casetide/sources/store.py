@@ -1,9 +1,13 @@
-"""The cleaned tables at rest: Parquet, one folder per table, partitioned by quarter.
+"""The cleaned tables at rest: Parquet by quarter, in versions that change as a whole.
 
-A quarter is loaded as a whole: all seven tables, reports first. Children are partitioned
-by whether their report is stored as well, so those without one wait beside the table
-instead of being lost, and reading a table prunes them. They are looked at again when
-reports of another quarter arrive.
+A load writes all its quarters of all seven tables to folders of its own and then publishes
+one version of the store (``snapshots``). Readers take a version, so none sees a quarter half
+replaced, and a load that breaks off changes nothing.
+
+Children are partitioned by where their report is: in the same quarter, in another, or
+nowhere. Those without one wait beside the table instead of being lost, and reading a table
+prunes them. When reports come, go or move to another quarter, only children that wait or
+are apart from their report are looked at again, and those of quarters that reports left.
 """
 
 from __future__ import annotations
@@ -11,28 +15,35 @@ from __future__ import annotations
 import time
 from collections import defaultdict
 from collections.abc import Iterable, Mapping
+from datetime import UTC, datetime
 from functools import partial, reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casetide import schemas as S
 from casetide.operators.cases import dedup_versions, newest_quarter
-from casetide.operators.cleaning import clean_table
-from casetide.plans.skew import HOT_REPORTS, hot_keys
+from casetide.operators.cleaning import LOST, clean_table, lossy_columns
+from casetide.plans.skew import HOT_REPORTS, ROWS, ROWS_PER_TASK, SIDE, hot_keys
 from casetide.runtime import materialize, path_exists, together
-from casetide.sources import raw
+from casetide.sources import raw, snapshots
+from casetide.sources.snapshots import Snapshot
 
 MAX_ROWS_PER_FILE = 20_000_000
-METADATA_TABLE = "quarter_metadata"
 # What a Spark job can fail with; anything else is a fault of the program.
 _FAILURES = (PySparkException, Py4JJavaError)
-# Partition of a child table: 1 if the report of its rows is stored, 0 if they wait for it.
+# Partition of a child table: where the report of its rows is stored.
 HAS_PARENT = "has_parent"
+WAITING, AT_HOME, APART = 0, 1, 2
 CHILDREN = tuple(name for name in S.TABLES if name != "demo")
+#: Notes of a version: a line per quarter, and what cleaning made null in it.
+LOADED, LOSSES = "quarters", "losses"
+_HOT_LAYOUT = f"report_id long, {SIDE} string, {ROWS} double, quarter string"
+#: Share of a task's rows from which on a report's rows of one quarter are noted.
+_NOTED = 8
 
 
 def clean_all(raw_tables: Mapping[str, DataFrame], quarter: str | None = None) -> dict[str, DataFrame]:
@@ -43,14 +54,18 @@ def clean_all(raw_tables: Mapping[str, DataFrame], quarter: str | None = None) -
     return tables
 
 
-def _write(df: DataFrame, path: str, *further: str) -> None:
+def _write(df: DataFrame, path: str, *further: str, seen: tuple[Observation, list[Column]] | None = None, hidden: tuple[str, ...] = ()) -> None:
     """Overwrite only the quarters (and ``further`` partitions) that ``df`` contains.
 
     The rebalance brings a quarter's rows together and lets the adaptive planner cut
-    a large quarter into several files and merge small ones, by their real size.
+    a large quarter into several files and merge small ones, by their real size. What is to
+    be observed is counted behind it, in the tasks that write: a repeated task counts once.
     """
+    df = df.hint("rebalance", F.col("quarter"))
+    if seen:
+        df = df.observe(seen[0], *seen[1])
     (
-        df.hint("rebalance", F.col("quarter"))
+        df.drop(*hidden)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
@@ -64,86 +79,218 @@ def table_path(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{table}"
 
 
-def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
+def _layout(table: str) -> T.StructType:
+    layout = S.CLEAN[table]
+    return layout if table == "demo" else T.StructType([*layout.fields, T.StructField(HAS_PARENT, T.IntegerType())])
+
+
+def read_version(spark: SparkSession, held: Snapshot, table: str, quarters: Iterable[str] | None = None) -> DataFrame:
+    """A table of one version under its fixed layout, whole or some of its quarters."""
+    rows = held.read(spark, table, _layout(table), quarters)
+    if table != "demo":
+        rows = rows.filter(F.col(HAS_PARENT) > WAITING)
+    return rows.select(*S.CLEAN[table].names)
+
+
+def read_table(spark: SparkSession, root: str, table: str, version: int | None = None) -> DataFrame:
     """A stored table under its fixed layout; empty if nothing was stored yet."""
-    return _stored(spark, root, table, 1)
+    return read_version(spark, snapshots.current(spark, root, version), table)
 
 
 def waiting_rows(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Rows of a child table whose report is not stored."""
-    return _stored(spark, root, table, 0)
-
-
-def _stored(spark: SparkSession, root: str, table: str, has_parent: int) -> DataFrame:
-    layout, path = S.CLEAN[table], table_path(root, table)
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], layout)
-    # The layout spares a look into the files.
-    if table == "demo":
-        return spark.read.schema(layout).parquet(path).select(*layout.names)
-    wider = T.StructType([*layout.fields, T.StructField(HAS_PARENT, T.IntegerType())])
-    rows = spark.read.schema(wider).parquet(path)
-    return rows.filter(F.col(HAS_PARENT) == has_parent).select(*layout.names)
-
-
-def stored_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """All stored tables by name, with the list of large reports that joins go by."""
-    tables = {n: read_table(spark, root, n) for n in S.TABLES}
-    if path_exists(spark, table_path(root, HOT_REPORTS)):
-        tables[HOT_REPORTS] = spark.read.parquet(table_path(root, HOT_REPORTS))
+    rows = snapshots.current(spark, root).read(spark, table, _layout(table))
+    return rows.filter(F.col(HAS_PARENT) == WAITING).select(*S.CLEAN[table].names)
+
+
+def stored_tables(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
+    """All tables of one version by name, with the list of large reports that joins go by."""
+    held = snapshots.current(spark, root, version)
+    tables = {n: read_version(spark, held, n) for n in S.TABLES}
+    hot = held.read(spark, HOT_REPORTS, T._parse_datatype_string(_HOT_LAYOUT))
+    if held.parts.get(HOT_REPORTS):
+        hot = hot.groupBy("report_id", SIDE).agg(F.sum(ROWS).alias(ROWS)).filter(F.col(ROWS) > ROWS_PER_TASK)
+    tables[HOT_REPORTS] = hot.select("report_id", SIDE, ROWS)
     return tables
 
 
-def skip_loaded_quarters(incoming: DataFrame, stored_demo: DataFrame) -> DataFrame:
-    """Rows of quarters that are not stored yet.
+def skip_loaded_quarters(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of quarters that are not among those of ``stored``.
 
     There are four quarters a year, so the list of stored ones is small whatever
     the number of rows; the planner broadcasts it by its size.
     """
-    return incoming.join(stored_demo.select("quarter").distinct(), "quarter", "left_anti")
+    return incoming.join(stored.select("quarter").distinct(), "quarter", "left_anti").select(*incoming.columns)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    """Paths of the data files of a table partitioned by quarter; no file is opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    return files.filter(F.contains("path", F.lit("/quarter=")))
+def stored_metadata(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """A line per quarter that was loaded: when, from where, how long it took, and its rows."""
+    held = snapshots.current(spark, root, version).notes.get(LOADED, {})
+    names = ("demo", "drug", "reac", "outc")
+    lines = [
+        (q, datetime.fromisoformat(n["loaded_at"]), *(n["rows"].get(t, 0) for t in names), sum(n["rows"].values()), n["load_seconds"], n["source"])
+        for q, n in sorted(held.items())
+    ]
+    counts = ", ".join(f"{t}_rows long" for t in names)
+    return spark.createDataFrame(lines, f"quarter string, loaded_at timestamp, {counts}, total_rows long, load_seconds double, data_source_url string")
+
 
+def losses(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """How many values of a text column cleaning could not read, by quarter, of those loaded from raw files."""
+    held = snapshots.current(spark, root, version).notes.get(LOSSES, {})
+    lines = [(q, t, c, n) for q, tables in sorted(held.items()) for t, counts in sorted(tables.items()) for c, n in sorted(counts.items())]
+    return spark.createDataFrame(lines, "quarter string, table string, column string, nulled long")
 
-def _partition_files(spark: SparkSession, path: str, quarters: Iterable[str]) -> dict[str, set[str]]:
-    """Data files of the given quarters by partition folder; names only."""
-    found = defaultdict(set)
-    if path_exists(spark, path):
-        wanted = F.regexp_extract("path", r"/quarter=([^/]+)/", 1).isin(*quarters)
-        for row in _files(spark, path).filter(wanted).collect():
-            folder, _, name = row.path.rpartition("/")
-            found[folder].add(name)
-    return found
 
+def _ids(df: DataFrame) -> DataFrame:
+    return df.select("report_id", F.col("quarter").alias("home"))
+
+
+def _loss_counts(name: str, quarters: Iterable[str]) -> list[Column]:
+    """Per quarter and column: values that cleaning made null, from the bits of ``LOST``."""
+    return [
+        F.count_if((F.col("quarter") == q) & (F.col(LOST).bitwiseAND(1 << i) > 0)).alias(f"{q}|{c}")
+        for q in quarters
+        for i, c in enumerate(lossy_columns(name))
+    ]
 
-def _replace(df: DataFrame, root: str, table: str, quarters: list[str]) -> None:
-    """Replace whole quarters of a stored table by ``df``.
 
-    Dynamic overwrite replaces the partitions that have rows. A partition that has none any
-    more is replaced by an empty one: it is told by the files that are still there after
-    the write. Each partition changes at once; a run that breaks off between two of them is
-    completed by running it again.
+class _Load:
+    """One load on its way from cleaned tables to a published version.
+
+    ``quarters`` are replaced in all tables, whatever the given tables have for them. If they
+    are not known beforehand they must not be stored yet.
     """
-    spark, path = df.sparkSession, table_path(root, table)
-    before = _partition_files(spark, path, quarters)
-    _write(df, path, *([HAS_PARENT] if table != "demo" else []))
-    # Nothing was there before: nothing can be left over.
-    for folder, names in (_partition_files(spark, path, quarters) if before else {}).items():
-        if names & before.get(folder, set()):
-            empty = df.drop("quarter", HAS_PARENT).limit(0)
-            empty.write.mode("overwrite").parquet(folder)
-
-
-def _flag_parents(child: DataFrame, demo: DataFrame) -> DataFrame:
-    """``child`` with ``has_parent``. One-sided, so the adaptive planner cuts a large report."""
-    known = demo.select("report_id").distinct().withColumn(HAS_PARENT, F.lit(1))
-    return child.join(known, "report_id", "left").select(
-        *child.columns, F.coalesce(HAS_PARENT, F.lit(0)).alias(HAS_PARENT)
-    )
+
+    def __init__(self, spark: SparkSession, root: str, quarters: Iterable[str] | None, source: str | None = None):
+        self.spark, self.source, self.began = spark, source, time.time()
+        self.base, self.load = snapshots.current(spark, root), snapshots.new_load()
+        self.root = self.base.root
+        self.quarters = set(quarters or ())
+        self.others = self.base.quarters("demo") - self.quarters
+        self.moved: set[str] = set()
+        self.rows: dict[str, dict[str, int]] = defaultdict(dict)
+        self.lost: dict[str, dict[str, dict[str, int]]] = {}
+
+    def path(self, table: str) -> str:
+        return snapshots.load_path(self.root, table, self.load)
+
+    def written(self, table: str, quarters: Iterable[str] | None = None) -> DataFrame:
+        """What this load has written of a table so far."""
+        found = snapshots.written_quarters(self.spark, self.root, table, self.load)
+        found &= found if quarters is None else set(quarters)
+        return Snapshot(self.root, 0, {table: dict.fromkeys(found, self.load)}).read(self.spark, table, _layout(table))
+
+    def run(self, tables: Mapping[str, DataFrame]) -> Snapshot:
+        self.write_reports(tables.get("demo"))
+        together([partial(self.write_children, n, tables.get(n)) for n in CHILDREN])
+        self.write_hot_reports()
+        return self.publish()
+
+    def write_reports(self, demo: DataFrame | None) -> None:
+        """Reports, each in its newest quarter; stored ones that a newer quarter has move there."""
+        new = newest_quarter(demo) if demo is not None else self.spark.createDataFrame([], S.CLEAN["demo"])
+        self.came = None
+        if self.others:
+            stored = read_version(self.spark, self.base, "demo", self.others)
+            new = materialize(new.join(_ids(stored), "report_id", "left"), "reports")
+            new = new.filter("home IS NULL OR home < quarter")
+            self.came = new.select("report_id")
+            earlier = new.filter("home IS NOT NULL")
+            self.moved = {r.home for r in earlier.select("home").distinct().collect()}
+            new = new.drop("home")
+            if self.moved:
+                rest = stored.filter(F.col("quarter").isin(*self.moved))
+                new = new.unionByName(rest.join(earlier.select("report_id"), "report_id", "left_anti"))
+        _write(new, self.path("demo"))
+        demo = self.written("demo")
+        # No column is read for it.
+        self.rows["demo"] = {r.quarter: r["count"] for r in demo.groupBy("quarter").count().collect()}
+        self.quarters |= set(self.rows["demo"]) - self.moved
+        self.known = _ids(demo)
+        if self.others - self.moved:
+            self.known = self.known.union(_ids(read_version(self.spark, self.base, "demo", self.others - self.moved)))
+        self.changed = self.came
+        if self.others:
+            before = read_version(self.spark, self.base, "demo", self.quarters).select("report_id")
+            self.changed = self.came.union(before.join(self.known, "report_id", "left_anti")).distinct()
+
+    def flagged(self, child: DataFrame) -> DataFrame:
+        """``child`` with ``has_parent``. One-sided, so the adaptive planner cuts a large report."""
+        where = F.when(F.col("home").isNull(), WAITING).when(F.col("home") == F.col("quarter"), AT_HOME).otherwise(APART)
+        return child.join(self.known, "report_id", "left").select(*child.columns, where.alias(HAS_PARENT))
+
+    def to_settle(self, name: str) -> set[str]:
+        """Other quarters with children whose report came, went or moved."""
+        others = self.base.quarters(name) - self.quarters
+        if not others or self.changed is None:
+            return set()
+        apart = self.base.read(self.spark, name, _layout(name), others).filter(F.col(HAS_PARENT) != AT_HOME)
+        found = apart.join(self.changed, "report_id", "left_semi").select("quarter").distinct()
+        return {r.quarter for r in found.collect()} | (others & self.moved)
+
+    def write_children(self, name: str, rows: DataFrame | None) -> None:
+        again = self.to_settle(name)
+        columns = list(S.CLEAN[name].names)
+        measured = rows is not None and LOST in rows.columns
+        if again:
+            settled = self.base.read(self.spark, name, _layout(name), again).select(*columns)
+            if measured:
+                settled = settled.withColumn(LOST, F.lit(0))
+            rows = settled if rows is None else rows.unionByName(settled)
+        if rows is None:
+            return
+        expected = sorted(self.quarters | again)
+        stored = F.col(HAS_PARENT) > WAITING
+        counts = [F.count_if(stored & (F.col("quarter") == q)).alias(f"{q}|") for q in expected]
+        counts.append(F.count_if(~F.col("quarter").isin(expected)).alias("rest|"))
+        if measured:
+            counts += _loss_counts(name, sorted(self.quarters))
+        seen = Observation()
+        chosen = self.flagged(rows.select(*columns, *([LOST] if measured else [])))
+        _write(chosen, self.path(name), HAS_PARENT, seen=(seen, counts), hidden=(LOST,))
+        found = seen.get
+        if found.pop("rest|"):
+            # Children of quarters without any report; they wait.
+            self.quarters |= snapshots.written_quarters(self.spark, self.root, name, self.load) - set(expected)
+        self.note_losses(name, found)
+        self.rows[name] = {k[:-1]: n for k, n in found.items() if k.endswith("|")}
+
+    def note_losses(self, name: str, found: Mapping[str, int]) -> None:
+        lost = defaultdict(dict)
+        for key, n in found.items():
+            quarter, column = key.split("|")
+            if column:
+                lost[quarter][column] = n
+        self.lost[name] = lost
+
+    def write_hot_reports(self) -> None:
+        """Note reports with many rows in one quarter, from the key columns of what was just stored."""
+        keyed = {n: self.written(n) for n in ("drug", "reac", "outc")}
+        keyed = {n: df.filter(F.col(HAS_PARENT) > WAITING) for n, df in keyed.items()}
+        hot = hot_keys(keyed, ["report_id", "quarter"], ROWS_PER_TASK // _NOTED)
+        hot.coalesce(1).write.partitionBy("quarter").parquet(self.path(HOT_REPORTS))
+
+    def publish(self) -> Snapshot:
+        seconds = round(time.time() - self.began, 3)
+        lines, ledger = (dict(self.base.notes.get(n, {})) for n in (LOADED, LOSSES))
+        for quarter in self.quarters:
+            lines[quarter] = {"loaded_at": datetime.now(UTC).isoformat(), "load_seconds": seconds, "source": self.source, "rows": {}}
+            lost = {n: dict(found[quarter]) for n, found in self.lost.items() if quarter in found}
+            ledger.pop(quarter, None)
+            if lost:
+                ledger[quarter] = lost
+        for name, counts in self.rows.items():
+            for quarter, n in counts.items():
+                if quarter in lines:
+                    lines[quarter] = {**lines[quarter], "rows": {**lines[quarter]["rows"], name: n}}
+        replaced = {n: self.quarters | snapshots.written_quarters(self.spark, self.root, n, self.load) | (self.moved if n == "demo" else set()) for n in (*S.TABLES, HOT_REPORTS)}
+        return snapshots.publish(self.spark, self.base, self.load, replaced, {LOADED: lines, LOSSES: ledger})
+
+
+def _quarters_of(tables: Mapping[str, DataFrame]) -> list[str]:
+    every = reduce(DataFrame.union, [df.select("quarter").distinct() for df in tables.values()])
+    return sorted(r.quarter for r in every.distinct().collect())
 
 
 def write_quarter(
@@ -151,96 +298,31 @@ def write_quarter(
 ) -> dict[str, DataFrame]:
     """Store cleaned tables by quarters, reports first, then the children side by side.
 
-    Quarters whose reports are stored already are skipped, or replaced with ``force``. A
-    replaced quarter loses, in all seven tables, what the given tables do not have for it.
-    A report that is in several quarters stays in the newest one. Gives the stored tables.
+    Quarters that are stored already are skipped, or replaced with ``force``. A replaced
+    quarter loses, in all seven tables, what the given tables do not have for it. A report
+    that is in several quarters stays in the newest one. All becomes visible at once. Gives
+    the stored tables.
     """
     spark = tables["demo"].sparkSession
-    tables = {**tables, "demo": materialize(tables["demo"], "reports")}
-    quarters = sorted(r.quarter for r in loaded_quarters(tables["demo"]).collect())
-    if not force:
-        stored = _complete_quarters(spark, root)
+    if force:
+        given = {**tables, "demo": materialize(tables["demo"], "reports")}
+        _Load(spark, root, _quarters_of(given)).run(given)
+    else:
+        stored = _loaded(spark, root)
+        given = dict(tables)
         if stored:
-            tables = {n: df.filter(~F.col("quarter").isin(*stored)) for n, df in tables.items()}
-        quarters = [q for q in quarters if q not in stored]
-    if quarters:
-        _store(spark, tables, root, quarters)
+            given = {n: skip_loaded_quarters(df, _named(spark, stored)) for n, df in tables.items()}
+        _Load(spark, root, None).run(given)
     return {n: read_table(spark, root, n) for n in S.TABLES if n in tables}
 
 
-def _complete_quarters(spark: SparkSession, root: str) -> set[str]:
-    """Quarters whose load was completed: their line of metadata is written last."""
-    path = table_path(root, METADATA_TABLE)
-    return {r.quarter for r in spark.read.parquet(path).select("quarter").collect()} if path_exists(spark, path) else set()
-
-
-def _store(spark: SparkSession, tables: Mapping[str, DataFrame], root: str, quarters: list[str], source: str | None = None) -> None:
-    began = time.time()
-    gone = _store_reports(spark, tables.get("demo"), root, quarters)
-    demo = read_table(spark, root, "demo")
-
-    def write(name: str) -> None:
-        rows = tables[name] if name in tables else spark.createDataFrame([], S.CLEAN[name])
-        _replace(_flag_parents(rows, demo), root, name, quarters)
-
-    together([partial(write, name) for name in CHILDREN])
-    if _complete_quarters(spark, root) - set(quarters):
-        _settle(spark, root, quarters, gone)
-    stored = {n: read_table(spark, root, n).filter(F.col("quarter").isin(quarters)) for n in S.TABLES}
-    lines = load_metadata(stored, F.lit(round(time.time() - began, 3)), F.lit(source).cast("string"))
-    # A quarter without any stored row has a line as well.
-    # Large reports are looked for once, in the key columns of what was just stored.
-    keyed = {n: read_table(spark, root, n) for n in ("drug", "reac", "outc")}
-    hot_keys(keyed, ["report_id"]).coalesce(1).write.mode("overwrite").parquet(table_path(root, HOT_REPORTS))
-    every = spark.createDataFrame([(q,) for q in quarters], "quarter string").join(lines, "quarter", "left")
-    counts = [c for c in lines.columns if c.endswith("_rows")]
-    _write(every.fillna(0, counts).fillna({"load_seconds": round(time.time() - began, 3)}), table_path(root, METADATA_TABLE))
-
-
-def _store_reports(spark: SparkSession, demo: DataFrame | None, root: str, quarters: list[str]) -> DataFrame:
-    """Replace the reports of the quarters; gives the ids that are no longer stored."""
-    if demo is None:
-        demo = spark.createDataFrame([], S.CLEAN["demo"])
-    new = materialize(newest_quarter(demo), "reports")
-    stored = read_table(spark, root, "demo")
-    clash = materialize(
-        stored.select("report_id", F.col("quarter").alias("other")).join(new.select("report_id", "quarter"), "report_id"), "clash"
-    ).filter(~F.col("other").isin(quarters))
-    old = stored.filter(F.col("quarter").isin(quarters)).select("report_id")
-    gone = materialize(old.join(new, "report_id", "left_anti"), "gone")
-    later = clash.filter("other > quarter").select("report_id").distinct()
-    _replace(new.join(later, "report_id", "left_anti"), root, "demo", quarters)
-    earlier = clash.filter("other < quarter")
-    moved = sorted(r.other for r in earlier.select("other").distinct().collect())
-    if moved:
-        kept = read_table(spark, root, "demo").filter(F.col("quarter").isin(moved))
-        kept = kept.join(earlier.select("report_id").distinct(), "report_id", "left_anti")
-        _replace(materialize(kept, "reports"), root, "demo", moved)
-    return gone
-
-
-def _settle(spark: SparkSession, root: str, quarters: list[str], gone: DataFrame) -> None:
-    """Look again at the children of other quarters whose report came or went with this load.
-
-    Only waiting rows are looked at, and stored ones if any report went.
-    """
-    demo = read_table(spark, root, "demo")
-    came = demo.filter(F.col("quarter").isin(quarters)).select("report_id")
-    lost = not gone.isEmpty()
-
-    def settle(name: str) -> None:
-        changed = waiting_rows(spark, root, name).join(came, "report_id", "left_semi").select("quarter")
-        if lost:
-            have = read_table(spark, root, name).join(gone, "report_id", "left_semi")
-            changed = changed.union(have.join(demo, "report_id", "left_anti").select("quarter"))
-        changed = changed.filter(~F.col("quarter").isin(quarters)).distinct()
-        again = sorted(r.quarter for r in changed.collect())
-        if again:
-            both = waiting_rows(spark, root, name).union(read_table(spark, root, name))
-            rows = materialize(_flag_parents(both.filter(F.col("quarter").isin(again)), demo), "settled")
-            _replace(rows, root, name, again)
+def _loaded(spark: SparkSession, root: str) -> list[str]:
+    """Quarters whose load is part of the current version."""
+    return sorted(snapshots.current(spark, root).notes.get(LOADED, {}))
+
 
-    together([partial(settle, name) for name in CHILDREN])
+def _named(spark: SparkSession, quarters: Iterable[str]) -> DataFrame:
+    return spark.createDataFrame([(q,) for q in quarters], "quarter string")
 
 
 def load_quarters(
@@ -253,8 +335,9 @@ def load_quarters(
     """Load quarters from the raw files below a folder: all seven tables, reports first.
 
     Quarters that were loaded already are skipped, or replaced with ``force``. All are read
-    together, each file once; if that fails, they are loaded one by one, so that a damaged
-    quarter does not stop the rest. A report in several quarters stays in the newest.
+    together, each file once, and become visible at once; if that fails, they are loaded one
+    by one, so that a damaged quarter does not stop the rest. Nothing of a quarter that fails
+    is visible. A report in several quarters stays in the newest.
 
     Returns a row per quarter: ``quarter``, ``status`` (loaded, skipped or failed) and
     ``error``.
@@ -264,19 +347,23 @@ def load_quarters(
     for row in files.select("table", "quarter", "path").collect():
         paths[row.quarter][row.table].append(row.path)
     wanted = sorted(set(paths) if quarters is None else {q.lower() for q in quarters})
-    done = set() if force else _complete_quarters(spark, store_root)
+    done = set() if force else set(_loaded(spark, store_root))
     todo = [q for q in wanted if q not in done]
 
     def load(some: list[str]) -> None:
+        into = _Load(spark, store_root, some, raw_root)
         tables = {}
         for name in S.TABLES:
             found = [p for q in some for p in paths[q][name]]
             if found:
-                tables[name] = clean_table(raw.read_table(spark, *found), name)
+                tables[name] = clean_table(raw.read_table(spark, *found), name, losses=True)
         if "demo" in tables:
             # Stored first: picking the newest versions reads it more than once.
-            tables["demo"] = dedup_versions(materialize(tables["demo"], "cleaned"))
-        _store(spark, tables, store_root, some, raw_root)
+            seen = Observation()
+            observed = tables["demo"].observe(seen, *_loss_counts("demo", some)).drop(LOST)
+            tables["demo"] = dedup_versions(materialize(observed, "cleaned"))
+            into.note_losses("demo", seen.get)
+        into.run(tables)
 
     failed: dict[str, str] = {}
     try:
@@ -301,7 +388,7 @@ def reload_quarter(
     """Replace one quarter in all seven tables; a table that is not given has no rows for it."""
     spark = tables["demo"].sparkSession
     only = {n: df.filter(F.col("quarter") == quarter) for n, df in tables.items()}
-    _store(spark, only, root, [quarter])
+    _Load(spark, root, [quarter]).run(only)
     return {n: read_table(spark, root, n) for n in S.TABLES if n in tables}
 
 
@@ -345,18 +432,26 @@ def bucket_tables(
     return {name: df.sparkSession.table(f"{prefix}{name}") for name, df in tables.items()}
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """Paths of the data files of a table partitioned by quarter; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    return files.filter(F.contains("path", F.lit("/quarter=")))
+
+
 def read_parquet_views(spark: SparkSession, root: str, prefix: str = "") -> list[str]:
     """Register every stored table below ``root`` as a temporary view.
 
     Tables that are absent, or were never given a row, are left out.
     """
     names = []
+    held = snapshots.current(spark, root) if snapshots.is_store(spark, root) else None
     for table in S.TABLES:
         path = table_path(root, table)
-        if path_exists(spark, path) and not _files(spark, path).isEmpty():
-            rows = spark.read.parquet(path)
-            if HAS_PARENT in rows.columns:
-                rows = rows.filter(F.col(HAS_PARENT) == 1).drop(HAS_PARENT)
+        if held:
+            rows = read_version(spark, held, table) if held.parts.get(table) else None
+        else:
+            rows = spark.read.parquet(path) if path_exists(spark, path) and not _files(spark, path).isEmpty() else None
+        if rows is not None:
             rows.createOrReplaceTempView(f"{prefix}{table}")
             names.append(f"{prefix}{table}")
     return names

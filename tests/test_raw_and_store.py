@@ -152,7 +152,8 @@ def test_store_skip_and_reload(spark, quarters, tmp_path, rows):
 def test_an_interrupted_load_is_completed(spark, quarters, tmp_path, rows):
     root = str(tmp_path / "store")
     tables = load(spark, quarters)
-    store._store_reports(spark, tables["demo"], root, ["2024q1", "2024q2"])  # and then it broke off
+    store._Load(spark, root, ["2024q1", "2024q2"]).write_reports(tables["demo"])  # and then it broke off
+    assert store.read_table(spark, root, "demo").count() == 0
     stored = store.write_quarter(tables, root)
     assert rows(stored["outc"], "report_id", "outc_cod") == [(11, "HO"), (20, "DE"), (20, "LT")]
 
@@ -178,7 +179,7 @@ def test_load_of_all_quarters(spark, quarters, tmp_path, rows):
     report = store.load_quarters(spark, str(quarters), root)
     assert rows(report, "quarter", "status") == [("2024q1", "skipped"), ("2024q2", "loaded"), ("2024q3", "loaded")]
     assert rows(store.read_table(spark, root, "outc"), "report_id", "outc_cod") == [(11, "HO"), (20, "DE"), (20, "LT"), (30, "CA")]
-    lines = spark.read.parquet(f"{root}/{store.METADATA_TABLE}")
+    lines = store.stored_metadata(spark, root)
     assert rows(lines, "quarter", "demo_rows", "outc_rows", "total_rows", "data_source_url") == [
         ("2024q1", 1, 1, 2, str(quarters)), ("2024q2", 1, 2, 3, str(quarters)), ("2024q3", 1, 1, 2, str(quarters)),
     ]
