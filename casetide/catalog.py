@@ -14,8 +14,8 @@ from casetide.operators import aggregates as A
 from casetide.operators import cases, cleaning, joins
 from casetide.operators import predicates as P
 from casetide.operators import question_log as L
-from casetide.plans import answers, heavy, reports, shares, views
-from casetide.runtime import scratch_path
+from casetide.plans import answers, heavy, reports, shares, upkeep, views
+from casetide.runtime import materialize, scratch_path
 from casetide.sources import raw, store
 from casetide.sources.mapped import Bed, bed as planned_bed
 from casetide.streaming import landing
@@ -25,6 +25,7 @@ DRUG = "ring"
 REACTION = "pt 3"
 QUARTER = "1998q2"
 CUT_QUARTER = "1998q1"
+MEDIAN_QUARTERS = ("1996q4", "1998q2", "1999q1", "2000q3")
 CLASS_NAMES = ("%GEAR%", "%bolt%")
 CLASS_INGREDIENTS = ("%SMALL%", "%PROMO%")
 
@@ -233,14 +234,54 @@ def load_metadata(bed: Bed) -> DataFrame:
     return store.load_metadata(bed.tables(), F.lit(1.5), F.lit("mapped")).drop("loaded_at")
 
 
+def _rows_as_text(found: dict[str, DataFrame]) -> DataFrame:
+    """All rows of all views, each as one text."""
+
+    def text(df: DataFrame, name: str) -> F.Column:
+        value = F.col(name).cast("decimal(28, 9)") if dict(df.dtypes)[name] == "double" else F.col(name)
+        return F.coalesce(value.cast("string"), F.lit("~"))
+
+    told = [
+        df.select(F.lit(name).alias("view"), F.concat_ws("|", *[text(df, c) for c in sorted(df.columns)]).alias("line"))
+        for name, df in found.items()
+    ]
+    return reduce(DataFrame.unionByName, told)
+
+
 @query
 def refresh_views(bed: Bed) -> DataFrame:
-    stored = views.refresh_views(bed.spark, bed.tables(), scratch_path(bed.spark, "views"))
-    counted = [
-        df.agg(F.count("*").alias("n")).withColumn("view", F.lit(name))
-        for name, df in stored.items()
-    ]
-    return reduce(lambda a, b: a.unionByName(b), counted).select("view", "n")
+    return _rows_as_text(views.refresh_views(bed.spark, bed.tables(), scratch_path(bed.spark, "views")))
+
+
+@query
+def refresh_views_after_quarter(bed: Bed) -> DataFrame:
+    """The views of all other quarters, brought up to date when one more quarter is stored."""
+    root, shown = (scratch_path(bed.spark, n) for n in ("store", "views"))
+    tables = {n: materialize(df, n) for n, df in _all_tables(bed).items()}
+    store.write_quarter({n: df.filter(F.col("quarter") != QUARTER) for n, df in tables.items()}, root)
+    upkeep.refresh(bed.spark, root, shown)
+    store.write_quarter(tables, root)
+    return _rows_as_text(upkeep.refresh(bed.spark, root, shown))
+
+
+@query
+def refresh_views_after_correction(bed: Bed) -> DataFrame:
+    """The views brought up to date when a quarter is replaced by one with fewer reports."""
+    root, shown = (scratch_path(bed.spark, n) for n in ("store", "views"))
+    tables = {n: materialize(df, n) for n, df in _all_tables(bed).items()}
+    store.write_quarter(tables, root)
+    upkeep.refresh(bed.spark, root, shown)
+    store.reload_quarter({n: df.filter(F.col("report_id") % 3 != 0) for n, df in tables.items()}, root, QUARTER)
+    return _rows_as_text(upkeep.refresh(bed.spark, root, shown))
+
+
+@query
+def merged_medians(bed: Bed) -> DataFrame:
+    """Exact median and mean age by drug and sex over several quarters, from stored counts."""
+    root, shown = (scratch_path(bed.spark, n) for n in ("store", "views"))
+    store.write_quarter(_all_tables(bed), root)
+    upkeep.refresh(bed.spark, root, shown)
+    return _rounded(upkeep.medians(bed.spark, shown, MEDIAN_QUARTERS, "drugname_clean", "sex"), "avg_age", "median_age")
 
 
 # -- cleaning ---------------------------------------------------------------

@@ -9,6 +9,7 @@ from casetide.catalog import (
     CLASS_NAMES,
     CUT_QUARTER,
     DRUG,
+    MEDIAN_QUARTERS,
     QUARTER,
     REACTION,
 )
@@ -132,6 +133,43 @@ _RAGGED_PT = """CASE WHEN report_id % 10 = 5 THEN pt || ' "q" $'
 _SERIOUS = "report_id IN (SELECT report_id FROM outc WHERE outc_cod IN ('DE', 'LT', 'HO'))"
 _RAGGED = "report_id::VARCHAR AS report_id, caseid::VARCHAR AS caseid"
 
+# Columns of each view in alphabetical order; d: a fraction, as nine decimals.
+_VIEW_COLUMNS = {
+    "mv_latest_cases": "caseid report_id",
+    "mv_drug_reaction_pairs": "drug_role drugname_clean prod_ai_clean quarter reaction_term report_count role_cod",
+    "mv_drug_outcomes": "drugname_clean outc_cod outcome_label prod_ai_clean quarter report_count role_cod",
+    "mv_death_by_drug": "death_reports drugname_clean d:pct_of_all_ps_reports prod_ai_clean quarter",
+    "mv_reports_by_country": "death_count hospitalization_count life_threatening_count quarter report_count reporter_country",
+    "mv_signal_prr": "drug_reaction_count drug_total drugname_clean grand_total is_signal d:prr quarter reaction_term reaction_total d:ror",
+    "mv_age_sex_distribution": "age_group d:avg_age d:avg_weight_kg drugname_clean d:median_age quarter report_count sex",
+    "mv_quarterly_trends": "d:avg_age deaths female_cases hospitalizations life_threatening male_cases quarter reporting_countries total_cases",
+    "mv_top_drugs": "concomitant_count drugname_clean prod_ai_clean ps_count quarter report_count ss_count",
+    "mv_top_reactions": "quarter reaction_term report_count",
+}
+
+
+def _line(columns: str) -> str:
+    cells = [f"{c[2:]}::DECIMAL(28, 9)" if c.startswith("d:") else c for c in columns.split()]
+    return "concat_ws('|', " + ", ".join(f"coalesce(({c})::VARCHAR, '~')" for c in cells) + ")"
+
+
+def _lines(prefix: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS \"view\", {_line(c)} AS line FROM {prefix}{n}" for n, c in _VIEW_COLUMNS.items())
+
+
+def _stored_as(where: str) -> str:
+    """What the store holds: reports by their case's newest version, children with a report."""
+    tables = [f"s_demo AS (SELECT * FROM kept WHERE {where})"]
+    tables += [f"s_{t} AS (SELECT * FROM {t} WHERE report_id IN (SELECT report_id FROM s_demo))" for t in ("drug", "reac", "outc")]
+    tables.append("s_latest AS (SELECT caseid, max(report_id) AS report_id FROM s_demo GROUP BY caseid)")
+    return "WITH " + ", ".join(tables)
+
+
+def _stored_views(where: str) -> str:
+    named = ", ".join(f"s_{n} AS ({re.sub(r'(?<=FROM |JOIN )(demo|drug|reac|outc|latest)', r's_\1', text)})" for n, text in views.PARTS.items())
+    return f"{_stored_as(where)}, {named} {_lines('s_')}"
+
+
 STATEMENTS: dict[str, str] = {
     # sources and sinks
     "discover_tables": " UNION ALL ".join(
@@ -179,9 +217,15 @@ STATEMENTS: dict[str, str] = {
               UNION ALL SELECT quarter, 0, 0, 0, 0 FROM raw_ther
               UNION ALL SELECT quarter, 0, 0, 0, 0 FROM raw_indi
               UNION ALL SELECT quarter, 0, 0, 0, 0 FROM raw_rpsr) GROUP BY 1""",
-    "refresh_views": " UNION ALL ".join(
-        f"SELECT '{name}' AS \"view\", count(*) AS n FROM {name}" for name in views.PARTS
-    ),
+    "refresh_views": _lines(),
+    "refresh_views_after_quarter": _stored_views("true"),
+    "refresh_views_after_correction": _stored_views(f"quarter <> '{QUARTER}' OR report_id % 3 <> 0"),
+    "merged_medians": f"""{_stored_as("true")}
+        SELECT drugname_clean, sex, count(*) AS rows, round({base.mean('age_years')}, 9) AS avg_age,
+               round(quantile_cont(age_years, 0.5), 6) AS median_age
+        FROM s_drug g JOIN s_demo m USING (report_id)
+        WHERE role_cod = 'PS' AND drugname_clean <> '' AND g.report_id IN (SELECT report_id FROM s_latest)
+          AND age_years IS NOT NULL AND g.quarter IN {MEDIAN_QUARTERS} GROUP BY 1, 2""",
     # cleaning
     "parse_event_date": f"SELECT report_id, event_dt, {base.day('event_dt')} AS event_date FROM raw_demo",
     "age_to_years": f"SELECT report_id, age, age_cod, {base.years('age', 'age_cod')} AS age_years FROM raw_demo",
