@@ -125,11 +125,11 @@ _PHRASES = f"""
             FROM w, (VALUES (1), (2), (3)) AS sizes(k)) GROUP BY ALL),
     t AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
     c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
-    cut AS (SELECT lang, phrase, k, a, at, array_to_string(ws[: at], ' ') AS x, array_to_string(ws[at + 1 :], ' ') AS y
-            FROM c, (VALUES (1), (2)) AS cuts(at) WHERE at < k),
+    cut AS (SELECT lang, phrase, k, a, p, array_to_string(ws[1 : p], ' ') AS x, array_to_string(ws[p + 1 : k], ' ') AS y
+            FROM c, (VALUES (1), (2)) AS cuts(p) WHERE p < k),
     scored AS (SELECT cut.*, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score
                FROM cut JOIN f AS l ON l.lang = cut.lang AND l.phrase = x JOIN f AS r ON r.lang = cut.lang AND r.phrase = y),
-    one AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) = 1),
+    one AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, p) = 1),
     inner_ AS (SELECT lang, phrase, max(f) AS longest FROM (
             SELECT lang, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS phrase, a AS f FROM c WHERE k = 3) GROUP BY ALL),
     kept AS (SELECT one.* FROM one LEFT JOIN inner_ USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 50 * a)

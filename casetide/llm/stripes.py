@@ -11,13 +11,15 @@ Pairs of which too few occur cannot be in a phrase of three that counts, so the
 makes stripes only where both pairs are frequent, looked up in a bitmap of fixed size. It has
 no false negatives, and the exact counts decide.
 
-Stripes go to tiles by a hash of their prefix. Stripes of very frequent words, known from a
-sample, are cut by their next words, so that no tile holds one of them as a whole; the sample
-decides where elements are merged, never what is counted.
+Stripes go to tiles by a hash of their prefix, many of a task and tile in one packed row. Stripes
+of very frequent words, whose share is known from a sample, are cut by their next words into as
+many slices as they would fill tiles; the sample decides where elements are merged, never what is
+counted.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,25 +39,24 @@ PER_LANG = 2_000
 UNKNOWN = "und"
 
 #: Bytes of text whose stripes are merged in one group, about.
-TILE_BYTES = 16_000_000
+TILE_BYTES = 4_000_000
 #: Words after which a task sends its stripes on.
 FLUSH_WORDS = 2_000_000
-#: Documents in which very frequent words are counted, and the share that makes a word one.
+#: Documents in which very frequent words are counted, and the least share that is noted.
 SAMPLE = 4_000
 HOT_SHARE = 1e-5
 #: Bits of a place in the bitmap of frequent pairs: 16 MB, whatever the corpus.
 SPOT_BITS = 27
 #: Bytes of a text that are cut into words at once.
 _SPAN = 1 << 22
-#: Rows of a batch that a task puts out.
-_ROWS = 50_000
 
 # No word holds it: it is one of the marks at which texts are cut.
 _END = b"."
 _CUTS = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", b"......... ")
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
-STRIPE = "tile int, lang string, prefix string, next array<string>, n array<long>"
+STRIPES = "tile int, lang string, stripes binary"
+_PACKED = pa.schema([("prefix", pa.string()), ("next", pa.list_(pa.string())), ("n", pa.list_(pa.int32()))])
 MERGED = "lang string, prefix string, next string, n long, spot long"
 
 
@@ -110,18 +111,18 @@ class _Read:
         parts.append(np.zeros(1, np.int64))
 
 
-def _word_stripes(codes: np.ndarray, hashes: np.ndarray, hot: np.ndarray):
-    """Elements of the stripes of single words: prefix, next word, count, and the tile's hash."""
+def _word_stripes(codes: np.ndarray, hashes: np.ndarray, slices: np.ndarray):
+    """Elements of the stripes of single words: prefix, next word, count, and where they go."""
     first, second = codes[:-1], codes[1:]
     keys, counts = np.unique((first << 32 | second)[first > 0], return_counts=True)
     first, second = keys >> 32, keys & 0xFFFFFFFF
-    return first, second, counts, np.where(hot[first], _mixed(hashes[first], hashes[second]), hashes[first])
+    return first, second, counts, hashes[first] + hashes[second] % slices[first]
 
 
 def _pair_stripes(frequent: np.ndarray):
     """The same for word pairs; a prefix is two numbers in one. Both pairs must be frequent."""
 
-    def build(codes: np.ndarray, hashes: np.ndarray, hot: np.ndarray):
+    def build(codes: np.ndarray, hashes: np.ndarray, slices: np.ndarray):
         pairs, at = np.unique(codes[:-1] << 32 | codes[1:], return_inverse=True)
         first, second = pairs >> 32, pairs & 0xFFFFFFFF
         spot = _spots(hashes[first], hashes[second])
@@ -133,51 +134,65 @@ def _pair_stripes(frequent: np.ndarray):
         keys, counts = np.unique(at[both] << 32 | third, return_counts=True)
         prefix, third = pairs[keys >> 32], keys & 0xFFFFFFFF
         first, second = prefix >> 32, prefix & 0xFFFFFFFF
-        own = _mixed(hashes[first], hashes[second])
-        return prefix, third, counts, np.where(hot[first] & hot[second], _mixed(own, hashes[third]), own)
+        # A pair has no more of all words than either of its words.
+        place = _mixed(hashes[first], hashes[second]) + hashes[third] % np.minimum(slices[first], slices[second])
+        return prefix, third, counts, place
 
     return build
 
 
-def _emitted(read: _Read, build: Callable, hot: frozenset[bytes], tiles: int) -> Iterator[pa.RecordBatch]:
-    """The stripes of what was read, a row per tile, language and prefix."""
+def _packed_rows(stripes: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, stripes.schema) as out:
+        out.write_batch(stripes)
+    return sink.getvalue().to_pybytes()
+
+
+def _emitted(read: _Read, build: Callable, slices: dict[bytes, int], tiles: int) -> Iterator[pa.RecordBatch]:
+    """The stripes of what was read, a row per tile and language."""
     known = list(read.number)
     words, hashes = _strings(known), _hashes(known)
-    often = np.fromiter((w in hot for w in known), bool, len(known))
+    cut = np.fromiter((slices.get(w, 1) for w in known), np.uint64, len(known))
     for lang, parts in read.parts.items():
-        prefix, following, counts, place = build(np.concatenate(parts), hashes, often)
+        prefix, following, counts, place = build(np.concatenate(parts), hashes, cut)
+        if not len(prefix):
+            continue
         tile = (place % np.uint64(tiles)).astype(np.int32)
         order = np.lexsort((prefix, tile))
         prefix, following, counts, tile = prefix[order], following[order], counts[order], tile[order]
-        if not len(prefix):
-            continue
         starts = np.nonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (tile[1:] != tile[:-1]))))[0]
-        for at in range(0, len(starts), _ROWS):
-            own = starts[at : at + _ROWS]
-            stop = starts[at + _ROWS] if at + _ROWS < len(starts) else len(prefix)
-            offsets = pa.array(np.append(own, stop) - own[0], pa.int32())
-            low, high = words.take(pa.array(prefix[own] & 0xFFFFFFFF)), prefix[own] >> 32
+        ends, own = np.append(starts[1:], len(prefix)), tile[starts]
+        firsts = np.nonzero(np.concatenate(([True], own[1:] != own[:-1])))[0]
+        rows = []
+        for a, b in zip(firsts, np.append(firsts[1:], len(own)), strict=True):
+            lo, hi = starts[a], ends[b - 1]
+            offsets = pa.array(np.append(starts[a:b], hi) - lo, pa.int32())
+            names, high = words.take(pa.array(prefix[starts[a:b]] & 0xFFFFFFFF)), prefix[starts[a:b]] >> 32
             if high.any():
-                low = pc.binary_join_element_wise(words.take(pa.array(high)), low, " ")
-            yield pa.RecordBatch.from_arrays([
-                pa.array(tile[own]), pa.array([lang] * len(own), pa.string()), low,
-                pa.ListArray.from_arrays(offsets, words.take(pa.array(following[own[0] : stop]))),
-                pa.ListArray.from_arrays(offsets, pa.array(counts[own[0] : stop], pa.int64())),
-            ], ["tile", "lang", "prefix", "next", "n"])
+                names = pc.binary_join_element_wise(words.take(pa.array(high)), names, " ")
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (words.take(pa.array(following[lo:hi])), pa.array(counts[lo:hi], pa.int32()))]
+            rows.append(_packed_rows(pa.RecordBatch.from_arrays([names, *lists], schema=_PACKED)))
+        yield pa.RecordBatch.from_arrays([pa.array(own[firsts]), pa.array([lang] * len(rows), pa.string()), pa.array(rows, pa.binary())], ["tile", "lang", "stripes"])
 
 
-def _stripes(docs: DataFrame, build: Callable, hot: frozenset[bytes], tiles: int, flush_words: int) -> DataFrame:
+def _read_all(flush_words: int, emit: Callable[[_Read], Iterator[pa.RecordBatch]]):
+    """Read texts, and emit what was read whenever it is enough."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = _Read()
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
                 read.add(lang.as_py(), text.as_py())
                 if read.size >= flush_words:
-                    yield from _emitted(read, build, hot, tiles)
+                    yield from emit(read)
                     read = _Read()
-        yield from _emitted(read, build, hot, tiles)
+        yield from emit(read)
+
+    return run
 
-    return docs.mapInArrow(run, STRIPE)
+
+def _stripes(docs: DataFrame, build: Callable, slices: dict[bytes, int], tiles: int, flush_words: int) -> DataFrame:
+    return docs.mapInArrow(_read_all(flush_words, lambda read: _emitted(read, build, slices, tiles)), STRIPES)
 
 
 def _merge(least: int):
@@ -185,11 +200,14 @@ def _merge(least: int):
     element that is a word and counts ``least`` or more."""
 
     def run(table: pa.Table) -> pa.Table:
-        lang, prefix = (table[c].combine_chunks().dictionary_encode() for c in ("lang", "prefix"))
-        lists = table["next"].combine_chunks()
+        packed = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in table["stripes"].combine_chunks()]
+        rows = [len(x) for x in packed]
+        langs = table["lang"].combine_chunks().dictionary_encode()
+        stripes = pa.concat_tables(packed).combine_chunks()
+        prefix, lists = stripes["prefix"].combine_chunks().dictionary_encode(), stripes["next"].combine_chunks()
         sizes = np.diff(lists.offsets.to_numpy())
-        following, counts = lists.flatten().dictionary_encode(), table["n"].combine_chunks().flatten().to_numpy()
-        own = lang.indices.to_numpy().astype(np.int64) << 32 | prefix.indices.to_numpy()
+        following, counts = lists.flatten().dictionary_encode(), stripes["n"].combine_chunks().flatten().to_numpy().astype(np.int64)
+        own = np.repeat(langs.indices.to_numpy().astype(np.int64), rows) << 32 | prefix.indices.to_numpy()
         keys, at = np.unique(own, return_inverse=True)
         totals = np.zeros(len(keys), np.int64)
         elements = np.repeat(at, sizes) << 32 | following.indices.to_numpy()
@@ -202,12 +220,12 @@ def _merge(least: int):
         good = (counts >= least) & ((elements & 0xFFFFFFFF) != end)
         elements, counts = elements[good], counts[good]
         of, word = elements >> 32, elements & 0xFFFFFFFF
-        rows = np.concatenate((np.arange(len(keys)), of))
-        names = prefix.dictionary.take(pa.array(keys[rows] & 0xFFFFFFFF))
+        every = np.concatenate((np.arange(len(keys)), of))
+        names = prefix.dictionary.take(pa.array(keys[every] & 0xFFFFFFFF))
         nexts = following.dictionary.take(pa.array(word))
         hashes = [_hashes([w.encode() for w in x.to_pylist()]) for x in (names[len(keys) :], nexts)]
         return pa.Table.from_arrays([
-            lang.dictionary.take(pa.array(keys[rows] >> 32)), names,
+            langs.dictionary.take(pa.array(keys[every] >> 32)), names,
             pa.concat_arrays([pa.nulls(len(keys), pa.string()), nexts]),
             pa.array(np.concatenate((totals, counts))),
             pa.concat_arrays([pa.nulls(len(keys), pa.int64()), pa.array(_spots(*hashes))]),
@@ -220,13 +238,19 @@ def _merged(stripes: DataFrame, least: int, label: str) -> DataFrame:
     return materialize(stripes.groupBy("tile").applyInArrow(_merge(least), MERGED), label)
 
 
-def _hot_words(docs: DataFrame, rows: int, sample: int, flush_words: int) -> frozenset[bytes]:
-    """Words with at least ``HOT_SHARE`` of a sample's words, so at most 1 / ``HOT_SHARE``."""
+def _hot_words(docs: DataFrame, rows: int, sample: int, flush_words: int) -> dict[bytes, float]:
+    """Words with at least ``HOT_SHARE`` of a sample's words, so at most 1 / ``HOT_SHARE``, and their shares."""
+
+    def emit(read: _Read) -> Iterator[pa.RecordBatch]:
+        codes = np.concatenate([np.zeros(0, np.int64), *(x for parts in read.parts.values() for x in parts)])
+        counts = np.bincount(codes, minlength=len(read.number))[1:]
+        yield pa.RecordBatch.from_arrays([_strings(list(read.number)[1:]), pa.array(counts)], ["word", "n"])
+
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(min(1.0, sample / max(1, rows)) * 1_000_000))
-    stripes = _stripes(some, _word_stripes, frozenset(), 1, flush_words)
-    counts = materialize(stripes.groupBy("prefix").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")), "sampled-words")
+    counts = some.mapInArrow(_read_all(flush_words, emit), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = materialize(counts, "sampled-words")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return frozenset(r["prefix"].encode() for r in counts.where(F.col("n") >= F.lit(HOT_SHARE * total)).collect())
+    return {r["word"].encode(): r["n"] / total for r in counts.where(F.col("n") >= F.lit(HOT_SHARE * total)).collect()}
 
 
 def _bitmap(spots: DataFrame) -> np.ndarray:
@@ -257,7 +281,8 @@ def counted(docs: DataFrame, text: str = "text", lang: str = "lang", min_count:
         F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"),
     )
     rows, size = chosen.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    tiles, hot = parts_for(size, tile_bytes), _hot_words(chosen, rows, sample, flush_words)
+    tiles = parts_for(size, tile_bytes)
+    hot = {w: math.ceil(share * tiles) for w, share in _hot_words(chosen, rows, sample, flush_words).items()}
     one = _merged(_stripes(chosen, _word_stripes, hot, tiles, flush_words), min_count, "word-stripes")
     words = one.where("next IS NULL").groupBy("lang", F.col("prefix").alias("w")).agg(F.sum("n").alias("f"))
     two = one.where("next IS NOT NULL")
