@@ -166,7 +166,7 @@ def _stored_as(where: str) -> str:
 
 
 def _stored_views(where: str) -> str:
-    named = ", ".join(f"s_{n} AS ({re.sub(r'(?<=FROM |JOIN )(demo|drug|reac|outc|latest)', r's_\1', text)})" for n, text in views.PARTS.items())
+    named = ", ".join(f"s_{n} AS ({re.sub(r'(?<=FROM |JOIN )(demo|drug|reac|outc|latest)', r's_\1', text).replace('= drug.', '= s_drug.')})" for n, text in views.PARTS.items())
     return f"{_stored_as(where)}, {named} {_lines('s_')}"
 
 
