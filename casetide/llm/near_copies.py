@@ -39,6 +39,10 @@ COMMON = 50_000
 PAIRS = 16
 #: Rounds of comparing with one class of a group, at most; what is left is compared in full.
 ROUNDS = 4
+#: Texts that a task takes at once.
+_TEXTS = 500
+#: Two hashes of a text, which name it in joins.
+_TEXT_KEY = ("t1", "t2")
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -69,18 +73,26 @@ def _signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few texts at a time, so that a task holds little beside the batch it was given."""
     for batch in batches:
-        texts = [t.as_py() for t in batch.column(1)]
+        for at in range(0, len(batch), _TEXTS):
+            yield batch.slice(at, _TEXTS)
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        texts = [t.as_py() for t in batch.column("text")]
         found = [_class(words_of(t)) for t in texts], [simhash_trie.simhash(t, SHINGLE) for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *map(_signed, found)], ["doc_id", "cls", "fp"])
+        kept = [batch.column(c) for c in ("doc_id", *_TEXT_KEY)]
+        yield pa.RecordBatch.from_arrays([*kept, *map(_signed, found)], ["doc_id", *_TEXT_KEY, "cls", "fp"])
 
 
 def _prefixes(common: np.ndarray):
     """Rows of a class, its number of shingles, a shingle of its prefix, and the place of that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             own, sizes, out = [], [], [np.zeros(0, np.uint64)]
             for text in batch.column(0):
                 words = words_of(text.as_py())
@@ -90,7 +102,7 @@ def _prefixes(common: np.ndarray):
                 n = len(found)
                 last = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found if len(common) else np.zeros(n, bool)
                 found = np.concatenate((found[~last], found[last]))
-                out.append(found[: n - (4 * n + 4) // 5 + 1])
+                out.append(found[: n - (4 * n + 4) // 5 + 1].copy())
                 own.append(_class(words))
                 sizes.append(n)
             each = [len(x) for x in out[1:]]
@@ -103,7 +115,7 @@ def _prefixes(common: np.ndarray):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         found = [shingles_of(words_of(t.as_py())).view(np.int64) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["cls", "set"])
 
@@ -112,7 +124,7 @@ def _common(texts: DataFrame, sample: int, most: int) -> np.ndarray:
     """Shingles that several documents of a sample have, at most so many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = [shingles_of(words_of(t.as_py())) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([_signed(np.concatenate([np.zeros(0, np.uint64), *found]))], ["h"])
 
@@ -150,6 +162,8 @@ def links(docs: DataFrame, tagged: DataFrame, sample: int = SAMPLE, most: int =
     """Links ``a``, ``b`` between classes; all near copies are in one component of them."""
     texts = docs.select("text").where("text IS NOT NULL")
     rows = texts.mapInArrow(_prefixes(_common(texts, sample, most)), "cls long, n int, h long, at int")
+    # Read twice. Classes and places repeat, so the table takes little more than its shingles.
+    rows = materialize(rows, "all-prefixes")
     first = materialize(_sharing(rows, "cls"), "shared-shingles")
     # Only classes that share a shingle go on.
     rows = materialize(rows.join(first, "h", "left_semi").distinct(), "prefixes")
@@ -159,12 +173,13 @@ def links(docs: DataFrame, tagged: DataFrame, sample: int = SAMPLE, most: int =
     near = simhash_trie.links(prints.select("fp"))
     name = lambda c: prints.select(F.col("fp").alias(c), F.col("one").alias(f"{c}1"))
     near = near.join(name("a"), "a").join(name("b"), "b").select("a1", "b1")
-    same = tagged.join(prints, "fp").select("cls", "one")
+    same = tagged.select("cls", "fp").distinct().join(prints, "fp").select("cls", "one")
     tested = materialize(_ordered(near, "a1", "b1").union(_ordered(same, "cls", "one")).distinct(), "candidates")
 
     wanted = rows.select("cls").union(tested.select("a")).union(tested.select("b")).distinct()
-    own = texts.select(F.col("text").alias("t"), F.col("text")).mapInArrow(_named, "cls long, text string")
-    one = own.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("text").alias("text"))
+    # The text of one of its documents stands for a class; texts do not go through Python for that.
+    chosen = tagged.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct(*_TEXT_KEY)).alias("t")).select("cls", "t.*")
+    one = docs.join(chosen, list(_TEXT_KEY)).groupBy("cls").agg(F.min("text").alias("text"))
     sets = materialize(one.mapInArrow(_sets, "cls long, set array<long>"), "shingle-sets")
     found = materialize(_verified(tested, sets), "verified")
 
@@ -194,12 +209,6 @@ def links(docs: DataFrame, tagged: DataFrame, sample: int = SAMPLE, most: int =
     return found
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        own = [_class(words_of(t.as_py())) for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([_signed(own), batch.column(1)], ["cls", "text"])
-
-
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
     """``doc_id`` and ``component_id`` of every document.
 
@@ -208,8 +217,9 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **limi
     ``doc_id`` that can be reached, null if no row of the group has an id.
     """
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    tagged = materialize(chosen.mapInArrow(_classes, "doc_id long, cls long, fp long"), "classes")
-    roots = connected(links(chosen, tagged.select("cls", "fp").distinct(), **limits))
+    chosen = chosen.withColumns({_TEXT_KEY[0]: F.xxhash64("text"), _TEXT_KEY[1]: F.xxhash64(F.lit(1), "text")})
+    tagged = materialize(chosen.mapInArrow(_classes, "doc_id long, t1 long, t2 long, cls long, fp long"), "classes")
+    roots = connected(links(chosen, tagged, **limits))
     grouped = tagged.join(roots, F.col("cls") == F.col("node"), "left").select("doc_id", F.coalesce("root", "cls").alias("root"))
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return grouped.join(least, "root").select("doc_id", "component_id")

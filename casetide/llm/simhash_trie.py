@@ -15,6 +15,7 @@ pairs, so the number of links grows with the fingerprints only.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -294,8 +295,8 @@ def near_duplicates(
 def first_of_groups(docs: DataFrame, groups: DataFrame, key: str, text: str) -> DataFrame:
     """The documents that ``groups`` (``doc_id``, ``component_id``) names as their group's smallest."""
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    first = F.row_number().over(Window.partitionBy(key).orderBy(text))
-    named = docs.join(kept, key, "left_semi").withColumn("_nth", first).where("_nth = 1")
+    first, nth = F.row_number().over(Window.partitionBy(key).orderBy(text)), f"_nth_{uuid.uuid4().hex}"
+    named = docs.join(kept, key, "left_semi").withColumn(nth, first).where(F.col(nth) == 1)
     return named.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
 
 

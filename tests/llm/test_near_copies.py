@@ -60,3 +60,14 @@ def test_stage_finds_near_copies_of_the_test_data(spark):
     group = brute(sorted((r["doc_id"], r["text"]) for r in docs.collect()))
     out = C.near_duplicates(spark, docs, "").collect()
     assert {r["doc_id"] for r in out} == {i for i, g in group.items() if i == g}
+
+
+def test_odd_rows_of_the_stage(spark):
+    rows = [(None, "a b c d e f", "p"), (None, "a b c d e f", "p"), (1, "a b c d e f", "q"), (2, "A b  c d e f", "r"), (2, "a b c d e f", "s"), (3, None, ""), (4, "", "t"), (5, "x " * 30_000, "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _nth string")
+    out = N.one_of_each(df)
+    assert out.columns == df.columns
+    assert sorted(((r["doc_id"] or 0, r["_nth"]) for r in out.collect())) == [(0, "p"), (0, "p"), (1, "q"), (3, ""), (5, "u")]
+    groups = N.near_copies(df).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in groups} == {(None, 1), (1, 1), (2, 1), (3, 3), (4, 3), (5, 5)}
+    assert N.one_of_each(df.limit(0)).count() == 0

@@ -4,7 +4,7 @@ import corpus_pipeline as C
 import pytest
 
 from casetide.llm import decontaminate, quality_gam, simhash_trie
-from test_simhash_trie import components, plain
+from test_near_copies import brute
 
 SF = "/root/testdata/sf0.01"
 
@@ -21,8 +21,8 @@ def test_run_equals_the_stages_by_hand(spark):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     scores = model.score(quality_gam.features([t for _, t in rows]))
     rows = [r for r, s in zip(rows, scores, strict=True) if s >= 0.3]
-    group = components([plain(t) for _, t in rows])
-    rows = [r for i, r in enumerate(rows) if group[i] == i]
+    group = brute(rows)
+    rows = [r for r in rows if group[r[0]] == r[0]]
     index = decontaminate.Index(items)
     rows = [r for r in rows if not index.hits(r[1])]
     out = C.run(spark, SF).collect()
