@@ -14,7 +14,7 @@ from casetide.operators import aggregates as A
 from casetide.operators import cases, cleaning, joins
 from casetide.operators import predicates as P
 from casetide.operators import question_log as L
-from casetide.plans import answers, heavy, reports, shares, upkeep, views
+from casetide.plans import answers, bitmaps, heavy, reports, shares, upkeep, views
 from casetide.runtime import materialize, scratch_path
 from casetide.sources import raw, store
 from casetide.sources.mapped import Bed, bed as planned_bed
@@ -599,6 +599,42 @@ def count_distinct_reports(bed: Bed) -> DataFrame:
     return A.count_distinct_reports(bed.table("reac"), "pt_clean", "quarter")
 
 
+# Two ranges of quarters that overlap.
+BITMAP_RANGES = {"early": ("1995q1", "1998q2"), "late": ("1997q3", "2001q3")}
+
+
+def _bitmaps(bed: Bed) -> dict[str, bitmaps.Bitmaps]:
+    """Bitmaps of two thirds of the reports, then of the rest, for each range."""
+    root, tables = scratch_path(bed.spark, "bitmaps"), bed.tables()
+    for part in ("report_id % 3 <> 0", "true"):
+        bitmaps.update(bed.spark, {n: tables[n].filter(part) for n in ("demo", "drug", "reac", "outc")}, root)
+    known = [r.quarter for r in tables["demo"].select("quarter").distinct().collect()]
+    return {n: bitmaps.Bitmaps(bed.spark, root, [q for q in known if lo <= q <= hi]) for n, (lo, hi) in BITMAP_RANGES.items()}
+
+
+@query
+def bitmap_distinct(bed: Bed) -> DataFrame:
+    """Distinct reports of each drug, drug in a role, reaction and outcome over ranges of quarters."""
+    found = [
+        held.by_value(d).select(F.lit(name).alias("range"), F.lit(d).alias("dimension"), "value", "reports")
+        for name, held in _bitmaps(bed).items() for d in ("drug", "drug_role", "reaction", "outcome")
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def bitmap_conditions(bed: Bed) -> DataFrame:
+    """Reports with both of two drugs, or one of them, and a serious outcome, over ranges of quarters."""
+    out = []
+    for name, held in _bitmaps(bed).items():
+        names = [r.value for r in held.by_value("drug").orderBy(F.desc("reports"), "value").limit(2).collect()]
+        one, two = (held.having("drug", n) for n in names)
+        serious = held.having("outcome", *S.SERIOUS_OUTCOMES)
+        sets = {"both": bitmaps.all_of(one, two), "either": bitmaps.any_of(one, two), "both and serious": bitmaps.all_of(one, two, serious), "either and serious": bitmaps.all_of(bitmaps.any_of(one, two), serious)}
+        out += [bitmaps.reports_in(x).select(F.lit(name).alias("range"), F.lit(c).alias("condition"), "reports") for c, x in sets.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
 @query
 def conditional_distinct(bed: Bed) -> DataFrame:
     roles = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from casetide.catalog import (
+    BITMAP_RANGES,
     CLASS_INGREDIENTS,
     CLASS_NAMES,
     CUT_QUARTER,
@@ -133,6 +134,13 @@ _RAGGED_PT = """CASE WHEN report_id % 10 = 5 THEN pt || ' "q" $'
 _SERIOUS = "report_id IN (SELECT report_id FROM outc WHERE outc_cod IN ('DE', 'LT', 'HO'))"
 _RAGGED = "report_id::VARCHAR AS report_id, caseid::VARCHAR AS caseid"
 
+_BITMAP_VALUES = (
+    ("drug", "drug", "drugname_clean", "drugname_clean <> ''"),
+    ("drug_role", "drug", "drugname_clean || chr(31) || coalesce(role_cod, '')", "drugname_clean <> ''"),
+    ("reaction", "reac", "pt_clean", "true"),
+    ("outcome", "outc", "outc_cod", "true"),
+)
+
 # Columns of each view in alphabetical order; d: a fraction, as nine decimals.
 _VIEW_COLUMNS = {
     "mv_latest_cases": "caseid report_id",
@@ -322,6 +330,21 @@ STATEMENTS: dict[str, str] = {
     "count_rows": "SELECT role_cod, quarter, count(*) AS n FROM drug GROUP BY 1, 2",
     "count_distinct_reports": """SELECT pt_clean, quarter, count(DISTINCT report_id) AS report_count
         FROM reac GROUP BY 1, 2""",
+    "bitmap_distinct": " UNION ALL ".join(
+        f"SELECT '{r}' AS range, '{d}' AS dimension, {v} AS value, count(DISTINCT report_id) AS reports FROM {t} "
+        f"WHERE quarter BETWEEN '{lo}' AND '{hi}' AND {v} IS NOT NULL AND {w} GROUP BY 3"
+        for r, (lo, hi) in BITMAP_RANGES.items() for d, t, v, w in _BITMAP_VALUES
+    ),
+    "bitmap_conditions": " UNION ALL ".join(
+        f"""SELECT '{r}' AS range, '{c}' AS condition, count(*) AS reports FROM (
+            SELECT report_id FROM (SELECT DISTINCT report_id, drugname_clean FROM drug WHERE quarter BETWEEN '{lo}' AND '{hi}'
+              AND drugname_clean IN (SELECT drugname_clean FROM drug WHERE quarter BETWEEN '{lo}' AND '{hi}' AND drugname_clean <> ''
+                                     GROUP BY 1 ORDER BY count(DISTINCT report_id) DESC, 1 LIMIT 2))
+            GROUP BY 1 HAVING count(*) >= {2 if c.startswith('both') else 1}) x"""
+        + (f""" WHERE report_id IN (SELECT report_id FROM outc WHERE outc_cod IN ('DE', 'LT', 'HO')
+              AND quarter BETWEEN '{lo}' AND '{hi}')""" if c.endswith("serious") else "")
+        for r, (lo, hi) in BITMAP_RANGES.items() for c in ("both", "either", "both and serious", "either and serious")
+    ),
     "conditional_distinct": """
         SELECT drugname_clean, quarter, count(DISTINCT report_id) AS report_count,
                count(DISTINCT CASE WHEN role_cod = 'PS' THEN report_id END) AS ps_count,

@@ -107,7 +107,7 @@ def stored_tables(spark: SparkSession, root: str, version: int | None = None) ->
     """All tables of one version by name, with the list of large reports that joins go by."""
     held = snapshots.current(spark, root, version)
     tables = {n: read_version(spark, held, n) for n in S.TABLES}
-    hot = held.read(spark, HOT_REPORTS, T._parse_datatype_string(_HOT_LAYOUT))
+    hot = held.read(spark, HOT_REPORTS, T.StructType.fromDDL(_HOT_LAYOUT))
     if held.parts.get(HOT_REPORTS):
         hot = hot.groupBy("report_id", SIDE).agg(F.sum(ROWS).alias(ROWS)).filter(F.col(ROWS) > ROWS_PER_TASK)
     tables[HOT_REPORTS] = hot.select("report_id", SIDE, ROWS)
