@@ -47,6 +47,20 @@ def test_ids_equal_the_library_on_any_text(texts):
         assert split(texts, file, spaced) == [encode(t) for t in texts]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.characters(max_codepoint=0x17F), max_size=30), max_size=3))
+def test_ids_equal_the_library_on_latin_text(texts):
+    test_ids_equal_the_library_on_any_text.hypothesis.inner_test(texts)
+
+
+def test_every_plain_character_beside_every_kind(spark):
+    """Each character that goes the fast way, before and after a letter, a digit, a mark and a blank."""
+    plain = [chr(c) for c in range(256) if T._PLAIN.match(chr(c))]
+    texts = [f"{a}{c}{b}{c}{c}" for c in plain for a in ("a", "É", "1", "²", "'", "!", " ", "\n") for b in ("s", "7", "- ", "")]
+    encode = whole_cached("byte_bpe_50k.json")
+    assert len(plain) > 180 and split(texts, "byte_bpe_50k.json", True) == [encode(t) for t in texts]
+
+
 CACHED = {}
 
 
@@ -58,7 +72,7 @@ def whole_cached(file):
 
 def test_kept_pieces_are_bounded(monkeypatch):
     monkeypatch.setattr(T, "KEPT_PIECES", 3)
-    file, spaced = FILES[0]
+    file, spaced = FILES[1]
     encode = whole_cached(file)
     for turn in range(4):
         texts = [f"one two{turn} three four five", "one two"]
