@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from casetide import schemas as S
 from casetide.functions import clean as C
 from casetide.operators import aggregates as A
-from casetide.operators import cases, cleaning, joins
+from casetide.operators import cases, cleaning, history, joins
 from casetide.operators import predicates as P
 from casetide.operators import question_log as L
 from casetide.plans import answers, bitmaps, heavy, reports, shares, upkeep, views
@@ -25,6 +25,7 @@ DRUG = "ring"
 REACTION = "pt 3"
 QUARTER = "1998q2"
 CUT_QUARTER = "1998q1"
+AS_OF_QUARTERS = ("1995q4", "1996q3", "1998q1", "2000q2", "2001q3")
 MEDIAN_QUARTERS = ("1996q4", "1998q2", "1999q1", "2000q3")
 CLASS_NAMES = ("%GEAR%", "%bolt%")
 CLASS_INGREDIENTS = ("%SMALL%", "%PROMO%")
@@ -429,6 +430,28 @@ def resolve_generic(bed: Bed) -> DataFrame:
     return cleaning.resolve_generic(drug, bed.mappings())
 
 
+@query
+def case_history(bed: Bed) -> DataFrame:
+    return history.case_history(bed.table("demo"))
+
+
+@query
+def cases_as_of(bed: Bed) -> DataFrame:
+    """Newest reports, and how many of them are serious, as known at the end of several quarters."""
+    known = history.known_as_of(history.case_history(bed.table("demo")), AS_OF_QUARTERS)
+    serious = P.serious_filter(bed.table("outc")).select("report_id").distinct().withColumn("serious", F.lit(1))
+    told = known.join(serious, "report_id", "left").groupBy("as_of")
+    return told.agg(F.count("*").alias("cases"), F.count("serious").alias("serious"), F.sum("report_id").alias("report_sum"))
+
+
+@query
+def views_as_of(bed: Bed) -> DataFrame:
+    """All views as known in an earlier quarter."""
+    tables = bed.tables()
+    then = history.tables_as_of(tables, history.case_history(tables["demo"]), QUARTER)
+    return _rows_as_text({n: then[n] if n == history.LATEST else build(then) for n, build in views.VIEWS.items()})
+
+
 # -- filters ----------------------------------------------------------------
 
 
@@ -527,12 +550,12 @@ def serious_semi(bed: Bed) -> DataFrame:
 
 @query
 def pair_self_join_name(bed: Bed) -> DataFrame:
-    return heavy.name_pairs(bed.table("drug").select("report_id", "drugname_clean"), 2, 20_000)
+    return heavy.name_pairs(bed.table("drug").select("report_id", "drugname_clean"), 2)
 
 
 @query
 def pair_self_join_seq(bed: Bed) -> DataFrame:
-    return heavy.place_pairs(bed.table("drug").select("report_id", "drugname_clean", "drug_seq"), 2, 20_000)
+    return heavy.place_pairs(bed.table("drug").select("report_id", "drugname_clean", "drug_seq"), 2)
 
 
 @query

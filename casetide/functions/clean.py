@@ -73,13 +73,15 @@ def _day(bare: Column, digits: Column) -> Column:
     return F.when(~bare.isin(*S.DATE_SENTINELS), day)
 
 
-def _in_range(day: Column) -> Column:
-    first, last = (F.lit(d).cast("date") for d in (S.FIRST_DATE, S.LAST_DATE))
-    return F.when(day.between(first, last), day)
+def _in_range(day: Column, first: str = S.FIRST_DATE, last: str = S.LAST_DATE) -> Column:
+    return F.when(day.between(F.lit(first).cast("date"), F.lit(last).cast("date")), day)
 
 
-def parse_event_date(text: Column) -> Column:
-    """Date from the mixed spellings of the raw files.
+def parse_event_date(text: Column, first: str = S.FIRST_DATE, last: str = S.LAST_DATE) -> Column:
+    """Date from the mixed spellings of the raw files, null outside ``first`` to ``last``.
+
+    The default is the range that the stored format of other readers can hold. Loads note how
+    many dates became null, these among them (``store.losses``).
 
     Slashed text is month/day/year, else day/month/year. Otherwise the digits
     decide by their number: 8 are a day, 6 a month, 4 a year, and the missing
@@ -87,7 +89,7 @@ def parse_event_date(text: Column) -> Column:
     the first of January; going by length gives November, as the format says.
     """
     bare = strip(text)
-    return _in_range(_day(bare, _digits(bare)))
+    return _in_range(_day(bare, _digits(bare)), first, last)
 
 
 def with_event_dates(df: DataFrame, texts: Mapping[str, Column]) -> DataFrame:

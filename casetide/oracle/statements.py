@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from casetide.catalog import (
+    AS_OF_QUARTERS,
     BITMAP_RANGES,
     CLASS_INGREDIENTS,
     CLASS_NAMES,
@@ -173,9 +174,18 @@ def _stored_as(where: str) -> str:
     return "WITH " + ", ".join(tables)
 
 
-def _stored_views(where: str) -> str:
+def _views_over(tables: str) -> str:
     named = ", ".join(f"s_{n} AS ({re.sub(r'(?<=FROM |JOIN )(demo|drug|reac|outc|latest)', r's_\1', text).replace('= drug.', '= s_drug.')})" for n, text in views.PARTS.items())
-    return f"{_stored_as(where)}, {named} {_lines('s_')}"
+    return f"{tables}, {named} {_lines('s_')}"
+
+
+def _stored_views(where: str) -> str:
+    return _views_over(_stored_as(where))
+
+
+def _as_of(quarter: str) -> str:
+    tables = [f"s_{t} AS (SELECT * FROM {t} WHERE quarter <= '{quarter}')" for t in ("demo", "drug", "reac", "outc")]
+    return "WITH " + ", ".join([*tables, "s_latest AS (SELECT caseid, max(report_id) AS report_id FROM s_demo GROUP BY caseid)"])
 
 
 STATEMENTS: dict[str, str] = {
@@ -234,6 +244,18 @@ STATEMENTS: dict[str, str] = {
         FROM s_drug g JOIN s_demo m USING (report_id)
         WHERE role_cod = 'PS' AND drugname_clean <> '' AND g.report_id IN (SELECT report_id FROM s_latest)
           AND age_years IS NOT NULL AND g.quarter IN {MEDIAN_QUARTERS} GROUP BY 1, 2""",
+    "case_history": """
+        SELECT r.caseid, r.report_id, r.quarter AS known_from,
+               (SELECT min(x.quarter) FROM demo x WHERE x.caseid = r.caseid AND x.report_id > r.report_id) AS known_until
+        FROM demo r WHERE NOT EXISTS (SELECT 1 FROM demo y WHERE y.caseid = r.caseid
+              AND y.report_id > r.report_id AND y.quarter <= r.quarter)""",
+    "cases_as_of": " UNION ALL ".join(
+        f"""SELECT '{q}' AS as_of, count(*) AS cases, sum(report_id)::BIGINT AS report_sum,
+            count(*) FILTER ({_SERIOUS}) AS serious
+        FROM (SELECT max(report_id) AS report_id FROM demo WHERE quarter <= '{q}' GROUP BY caseid)"""
+        for q in AS_OF_QUARTERS
+    ),
+    "views_as_of": _views_over(_as_of(QUARTER)),
     # cleaning
     "parse_event_date": f"SELECT report_id, event_dt, {base.day('event_dt')} AS event_date FROM raw_demo",
     "age_to_years": f"SELECT report_id, age, age_cod, {base.years('age', 'age_cod')} AS age_years FROM raw_demo",
@@ -296,12 +318,11 @@ STATEMENTS: dict[str, str] = {
     "serious_semi": f"SELECT report_id, drug_seq, drugname_clean, role_cod FROM drug WHERE {_SERIOUS}",
     "pair_self_join_name": """SELECT a.drugname_clean AS drug_a, b.drugname_clean AS drug_b,
         count(*) AS co_report_count FROM drug a JOIN drug b ON a.report_id = b.report_id
-        AND a.drugname_clean < b.drugname_clean GROUP BY 1, 2 HAVING count(*) >= 2
-        ORDER BY 3 DESC, 1, 2 LIMIT 20000""",
+        AND a.drugname_clean < b.drugname_clean GROUP BY 1, 2 HAVING count(*) >= 2""",
     "pair_self_join_seq": """SELECT a.drugname_clean AS drug_1, b.drugname_clean AS drug_2,
         count(DISTINCT a.report_id) AS co_occurrence_reports FROM drug a JOIN drug b
         ON a.report_id = b.report_id AND a.drug_seq < b.drug_seq GROUP BY 1, 2
-        HAVING count(DISTINCT a.report_id) >= 2 ORDER BY 3 DESC, 1, 2 LIMIT 20000""",
+        HAVING count(DISTINCT a.report_id) >= 2""",
     "totals_cross_join": """SELECT drugname_clean, count(DISTINCT report_id) AS report_count,
         (SELECT count(DISTINCT report_id) FROM demo) AS grand_total FROM drug GROUP BY 1""",
     "stat_joins": """
