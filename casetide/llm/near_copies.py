@@ -14,7 +14,8 @@ components are made:
   with one class of the shingle's group, which leaves little of a large group, then all that
   are not yet in one component.
 
-Common shingles, counted in a sample, come last in the order. That only saves comparisons.
+Frequent shingles, counted in one of eight texts, come last in the order, so few classes share a
+prefix's shingles. That only saves comparisons.
 """
 
 from __future__ import annotations
@@ -32,13 +33,18 @@ from casetide.llm.components import connected
 from casetide.runtime import materialize
 
 SHINGLE = 5
-#: Documents in which common shingles are counted, and the most that are noted.
-SAMPLE = 4_000
-COMMON = 50_000
+#: One in so many texts, by their hash, in which frequent shingles are counted.
+ONE_IN = 8
+#: Of those, the texts that make a shingle frequent.
+OFTEN = 3
+#: Bits of a place in the bitmap of frequent shingles: 16 MB, whatever the corpus.
+SPOT_BITS = 27
 #: Classes of a shingle's group, on average, from which on they are first compared with one.
 PAIRS = 16
 #: Rounds of comparing with one class of a group, at most; what is left is compared in full.
 ROUNDS = 4
+#: Classes to compare, at most, whose list is sent to all tasks (24 MB).
+BROADCAST = 1_000_000
 #: Texts that a task takes at once.
 _TEXTS = 500
 #: Two hashes of a text, which name it in joins.
@@ -88,27 +94,36 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*kept, *map(_signed, found)], ["doc_id", *_TEXT_KEY, "cls", "fp"])
 
 
-def _prefixes(common: np.ndarray):
-    """Rows of a class, its number of shingles, a shingle of its prefix, and the place of that."""
+def _prefix_size(n):
+    """Shingles of a prefix, of ``n``; also for columns."""
+    return n - (4 * n + 4) // 5 + 1
+
+
+def _prefixes(often: np.ndarray):
+    """Rows of a class, its number of shingles, a shingle of its prefix, the place of that, and
+    the upper bits of the last shingle's place in the order of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            own, sizes, out = [], [], [np.zeros(0, np.uint64)]
+            own, sizes, last, out = [], [], [], [np.zeros(0, np.uint64)]
             for text in batch.column(0):
                 words = words_of(text.as_py())
                 if not words:
                     continue
                 found = shingles_of(words)
                 n = len(found)
-                last = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found if len(common) else np.zeros(n, bool)
-                found = np.concatenate((found[~last], found[last]))
-                out.append(found[: n - (4 * n + 4) // 5 + 1].copy())
+                spot = (found >> np.uint64(64 - SPOT_BITS)).astype(np.int64)
+                late = ((often[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).astype(bool)
+                size, early = _prefix_size(n), n - int(late.sum())
+                found = np.concatenate((found[~late], found[late]))[:size]
+                out.append(found)
+                last.append((int(found[-1]) >> 34) + (1 << 30) * (size > early))
                 own.append(_class(words))
                 sizes.append(n)
             each = [len(x) for x in out[1:]]
             yield pa.RecordBatch.from_arrays(
-                [_signed(np.repeat(np.array(own, np.uint64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each)), _signed(np.concatenate(out)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in [0, *each]]))],
-                ["cls", "n", "h", "at"],
+                [_signed(np.repeat(np.array(own, np.uint64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each)), _signed(np.concatenate(out)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in [0, *each]])), pa.array(np.repeat(np.array(last, np.int32), each))],
+                ["cls", "n", "h", "at", "last"],
             )
 
     return run
@@ -120,26 +135,49 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["cls", "set"])
 
 
-def _common(texts: DataFrame, sample: int, most: int) -> np.ndarray:
-    """Shingles that several documents of a sample have, at most so many."""
+def _often(texts: DataFrame, one_in: int) -> np.ndarray:
+    """Bitmap of the shingles that several of one in so many texts have; none for 0.
+
+    Its size is fixed. Other shingles that share a bit count as frequent too, everywhere alike.
+    """
+    out = np.zeros(1 << (SPOT_BITS - 3), np.uint8)
+    if not one_in:
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             found = [shingles_of(words_of(t.as_py())) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([_signed(np.concatenate([np.zeros(0, np.uint64), *found]))], ["h"])
 
-    share = min(1.0, sample / max(1, texts.count()))
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).distinct()
-    often = some.mapInArrow(run, "h long").groupBy("h").count().where("count >= 4")
-    return np.sort(np.array([r["h"] for r in often.orderBy(F.desc("count"), "h").limit(most).collect()], np.int64).view(np.uint64))
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)
+    often = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
+    place = F.shiftrightunsigned("h", 64 - SPOT_BITS) + 1
+    parts = often.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    for row in parts.collect():
+        bits = np.frombuffer(row["bits"], np.uint8)
+        out[(row["part"] - 1) * len(bits) :][: len(bits)] = bits
+    return out
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _sets_of(pairs: DataFrame, docs: DataFrame, tagged: DataFrame) -> DataFrame:
+    """Shingle sets of the classes that are to be compared, from one text of each."""
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    chosen = tagged.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct(*_TEXT_KEY)).alias("t")).select("cls", "t.*")
+    chosen = materialize(chosen, "classes-to-compare")
+    # 24 bytes a row: where they are few, texts need not be moved to meet them.
+    small = F.broadcast(chosen) if chosen.count() <= BROADCAST else chosen
+    one = docs.join(small, list(_TEXT_KEY)).groupBy("cls").agg(F.min("text").alias("text"))
+    return materialize(one.mapInArrow(_sets, "cls long, set array<long>"), "shingle-sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, tagged: DataFrame) -> DataFrame:
     """The pairs ``a``, ``b`` of classes whose shingle sets have a similarity of 0.8 or more."""
+    sets = _sets_of(pairs, docs, tagged)
     a = sets.select(F.col("cls").alias("a"), F.col("set").alias("x"))
     b = sets.select(F.col("cls").alias("b"), F.col("set").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(b, "b").join(a, "a").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    met = pairs.join(b, "b").join(a, "a").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    return materialize(met, "verified")
 
 
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
@@ -153,15 +191,14 @@ def _sharing(rows: DataFrame, by: str, *more: F.Column) -> DataFrame:
 
 
 def _first(nth: int) -> F.Column:
-    """The first class ``p`` of a group in some order, with its number of shingles ``np``."""
-    turned = F.struct(F.xxhash64("cls", F.lit(nth)).alias("at"), F.col("cls").alias("p"), F.col("n").alias("np"))
-    return F.min(turned).alias("end")
+    """The first class of a group in some order, with all that its row says."""
+    return F.min(F.struct(F.xxhash64("cls", F.lit(nth)).alias("turn"), *_ROW)).alias("end")
 
 
-def links(docs: DataFrame, tagged: DataFrame, sample: int = SAMPLE, most: int = COMMON, rounds: int = ROUNDS) -> DataFrame:
+def links(docs: DataFrame, tagged: DataFrame, one_in: int = ONE_IN, rounds: int = ROUNDS) -> DataFrame:
     """Links ``a``, ``b`` between classes; all near copies are in one component of them."""
     texts = docs.select("text").where("text IS NOT NULL")
-    rows = texts.mapInArrow(_prefixes(_common(texts, sample, most)), "cls long, n int, h long, at int")
+    rows = texts.mapInArrow(_prefixes(_often(texts, one_in)), "cls long, n int, h long, at int, last int")
     # Read twice. Classes and places repeat, so the table takes little more than its shingles.
     rows = materialize(rows, "all-prefixes")
     first = materialize(_sharing(rows, "cls"), "shared-shingles")
@@ -175,40 +212,57 @@ def links(docs: DataFrame, tagged: DataFrame, sample: int = SAMPLE, most: int =
     near = near.join(name("a"), "a").join(name("b"), "b").select("a1", "b1")
     same = tagged.select("cls", "fp").distinct().join(prints, "fp").select("cls", "one")
     tested = materialize(_ordered(near, "a1", "b1").union(_ordered(same, "cls", "one")).distinct(), "candidates")
-
-    wanted = rows.select("cls").union(tested.select("a")).union(tested.select("b")).distinct()
-    # The text of one of its documents stands for a class; texts do not go through Python for that.
-    chosen = tagged.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct(*_TEXT_KEY)).alias("t")).select("cls", "t.*")
-    one = docs.join(chosen, list(_TEXT_KEY)).groupBy("cls").agg(F.min("text").alias("text"))
-    sets = materialize(one.mapInArrow(_sets, "cls long, set array<long>"), "shingle-sets")
-    found = materialize(_verified(tested, sets), "verified")
+    found = _verified(tested, docs, tagged)
 
     for nth in range(rounds + 1):
         known = connected(found)
-        rest = rows.join(known, F.col("cls") == F.col("node"), "left").select("cls", "n", "h", "at", F.coalesce("root", "cls").alias("comp"))
-        ends = _sharing(rest, "comp", _first(nth)).select("h", "end.p", "end.np")
+        rest = rows.join(known, F.col("cls") == F.col("node"), "left").select(*_ROW, "h", F.coalesce("root", "cls").alias("comp"))
+        ends = _sharing(rest, "comp", _first(nth)).select("h", *(F.col(f"end.{c}").alias(f"y{c}") for c in _ROW))
         rest = materialize(rest.join(ends, "h"), "open-prefixes")
         if rest.isEmpty():
             break
         many, square = rest.groupBy("h").count().agg(F.sum("count"), F.sum(F.col("count") * F.col("count"))).first()
         large = square > PAIRS * many
+        x = rest.select("h", "comp", *(F.col(c).alias(f"x{c}") for c in _ROW))
         if nth < rounds and large:
-            pairs = _ordered(rest.where("5 * n >= 4 * np AND 5 * np >= 4 * n"), "cls", "p")
+            both = x.join(ends, "h").where("xcls != ycls")
         else:
-            x, y = (rest.select("h", *(F.col(c).alias(s + c) for c in ("cls", "n", "at", "comp"))) for s in "xy")
-            both = x.join(y, "h").where("xcls < ycls AND xcomp != ycomp AND 5 * xn >= 4 * yn AND 5 * yn >= 4 * xn")
-            # Beyond the last shingle that the prefixes share, no more can be equal than are left.
-            most_equal = F.count("*") + F.least(F.max(F.col("xn") - 1) - F.max("xat"), F.max(F.col("yn") - 1) - F.max("yat"))
-            both = both.groupBy("xcls", "ycls").agg(most_equal.alias("most"), F.max(F.col("xn") + F.col("yn")).alias("n"))
-            pairs = both.where("9 * most >= 4 * n").select(F.col("xcls").alias("a"), F.col("ycls").alias("b"))
-        pairs = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
-        found = found.union(materialize(_verified(pairs, sets), "verified"))
+            y = rest.select("h", F.col("comp").alias("ycomp"), *(F.col(c).alias(f"y{c}") for c in _ROW))
+            both = x.join(y, "h").where("xcls < ycls AND comp != ycomp")
+        pairs = materialize(_possible(both).join(tested, ["a", "b"], "left_anti"), "candidates")
+        found = found.union(_verified(pairs, docs, tagged))
         if not (nth < rounds and large):
             break
         tested = tested.union(pairs)
     return found
 
 
+_ROW = ("cls", "n", "at", "last")
+
+
+def _possible(both: DataFrame) -> DataFrame:
+    """Pairs that can have a similarity of 0.8, from the shingles that their prefixes share.
+
+    Behind the last shared shingle no more can be equal than are left. And the prefix that
+    ends first in the order holds all that could be equal so far: of its class only what
+    follows the prefix can be equal besides. Where the upper bits do not tell which one ends
+    first, the larger number holds.
+    """
+    both = both.where("5 * xn >= 4 * yn AND 5 * yn >= 4 * xn")
+    met = both.groupBy("xcls", "ycls").agg(
+        F.count("*").alias("met"), F.max("xat").alias("xat"), F.max("yat").alias("yat"),
+        *(F.first(c).alias(c) for c in ("xn", "yn", "xlast", "ylast")),
+    )
+    x, y = (F.col(f"{s}n") - _prefix_size_of(f"{s}n") for s in "xy")
+    behind = F.when(F.col("xlast") < F.col("ylast"), x).when(F.col("ylast") < F.col("xlast"), y).otherwise(F.greatest(x, y))
+    most = F.col("met") + F.least(behind, F.col("xn") - 1 - F.col("xat"), F.col("yn") - 1 - F.col("yat"))
+    return _ordered(met.where(9 * most >= 4 * (F.col("xn") + F.col("yn"))), "xcls", "ycls")
+
+
+def _prefix_size_of(n: str) -> F.Column:
+    return F.expr(f"{n} - (4 * {n} + 4) div 5 + 1")
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
     """``doc_id`` and ``component_id`` of every document.
 

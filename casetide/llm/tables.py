@@ -11,11 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1_000
+
+
 def shipped(spark: SparkSession) -> SparkSession:
     """Send this library to the executors, once per session, so that tasks can import it.
 
-    Needed where it is not installed there and was not named in ``--py-files``.
+    Needed where it is not installed there and was not named in ``--py-files``. Texts are long,
+    and a task holds a batch of rows as a whole on both sides; where the session leaves the
+    batch size as it is, it becomes ``BATCH_ROWS``.
     """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     context, root = spark.sparkContext, Path(__file__).resolve().parents[2]
     name = f"casetide-{context.applicationId}.zip"
     if not any(path.endswith(name) for path in context.listFiles):
