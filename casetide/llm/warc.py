@@ -54,7 +54,7 @@ def _one_line(value: str) -> str:
     return re.sub(r"[\x00-\x1f\x7f\x85  ]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value)
 
 
-def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None = None) -> bytes:
     """One record as a gzip member: a response with its payload, or a revisit without."""
     revisit = refers_to is not None
     digest = digest_of(payload)
@@ -66,6 +66,8 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_t
         "WARC-Date": "1970-01-01T00:00:00Z",  # the table has no time of retrieval
         "WARC-Target-URI": None if url is None else _one_line(url),
         "WARC-Payload-Digest": f"sha1:{digest}",
+        "WARC-Refers-To-Target-URI": _one_line(refers_url) if revisit and refers_url is not None else None,
+        "WARC-Refers-To-Date": "1970-01-01T00:00:00Z" if revisit else None,
         "WARC-Profile": _PROFILE if revisit else None,
         "Content-Type": "application/http; msgtype=response",
         "Content-Length": str(len(block)),
@@ -79,6 +81,10 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_t
     return packer.compress(_VERSION + lines.encode() + b"\r\n" + block + _BLANK) + packer.flush()
 
 
+#: Tasks that read archives, at most; more ranges share them.
+TASKS = 20_000
+
+
 @dataclass
 class Record:
     page_id: int | None
@@ -125,7 +131,7 @@ class _Members:
         return bool(chunk)
 
     def _member(self, at: int) -> tuple[bytes, int] | None:
-        """Decompressed member at a place in ``data`` and where it ends; None if there is none."""
+        """Decompressed member at a place in ``data`` and where it ends; None if there is none, or a damaged one."""
         packed, fed, out = zlib.decompressobj(31), at, []
         seen = 0
         try:
@@ -142,12 +148,20 @@ class _Members:
             return None
         return b"".join(out), fed - len(packed.unused_data)
 
+    def _ended(self, at: int) -> bool:
+        return len(self.data) <= at and not self._more()
+
     def __iter__(self) -> Iterator[Record]:
-        at = 0
+        at, known = 0, self.base == 0  # where a record must begin, once one has been read
         while self.base + at < self.stop:
             if len(self.data) < at + len(_MAGIC) and self._more():
                 continue
-            place = self.data.find(_MAGIC, at)
+            if known:
+                if self._ended(at):
+                    return
+                place = at
+            else:
+                place = self.data.find(_MAGIC, at)
             if place < 0:
                 # The magic may begin in the last bytes.
                 at = max(at, len(self.data) - len(_MAGIC) + 1)
@@ -156,16 +170,26 @@ class _Members:
             elif self.base + place >= self.stop:
                 return
             elif (found := self._member(place)) is None:
+                if known:
+                    raise BadRecord(f"no whole record at {self.base + place}")
                 at = place + 1
             else:
                 raw, at = found
+                known = True
                 yield decode_record(raw)
             if at > _CHUNK:
                 self.data, self.base, at = self.data[at:], self.base + at, 0
+        # The next range finds its first record by itself; that there is one is seen from here.
+        if known and not self._ended(at) and self._member(at) is None:
+            raise BadRecord(f"no whole record at {self.base + at}")
 
 
 def read_range(file, start: int, stop: int) -> Iterator[Record]:
-    """Records whose members start in ``[start, stop)`` of an open binary file."""
+    """Records whose members start in ``[start, stop)`` of an open binary file.
+
+    A damaged archive is an error: from its start on, and behind each record, there is a
+    record or the end. So each member is vouched for by the one before it, in whatever range.
+    """
     return iter(_Members(file, start, stop))
 
 
@@ -181,10 +205,11 @@ def with_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", html
         F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("_digest", F.sha1("payload"))
     size = F.octet_length("payload")
-    groups = rows.where(size >= least_bytes).groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
-    groups = groups.where("_n > 1 AND _first IS NOT NULL")
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", F.col("url").alias("refers_url")))
+    groups = rows.where(size >= least_bytes).groupBy("_digest").agg(F.min(named).alias("_least"), F.count("*").alias("_n"))
+    groups = groups.where("_n > 1 AND _least IS NOT NULL").select("_digest", F.col("_least.page_id").alias("_first"), "_least.refers_url")
     first = F.when((size >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))
-    return rows.join(groups, "_digest", "left").select("page_id", "url", "payload", first.alias("refers_to"))
+    return rows.join(groups, "_digest", "left").select("page_id", "url", "payload", first.alias("refers_to"), "refers_url")
 
 
 def write(records: DataFrame, root: str) -> DataFrame:
@@ -230,7 +255,7 @@ def read(archives: DataFrame, root: str, split_bytes: int = SPLIT_BYTES) -> Data
                     yield _frame(rows)
 
     # A number of its own: the rows are small, and the planner would put them into one task.
-    return ranges.repartition(max(1, ranges.count())).mapInPandas(run, RECORD)
+    return ranges.repartition(max(1, min(TASKS, ranges.count()))).mapInPandas(run, RECORD)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:

@@ -119,3 +119,36 @@ def test_statement_agrees(spark):
     mine = op5_warc(spark, sf)
     assert sorted(mine.columns) == sorted(theirs.columns)
     assert set(map(tuple, mine.select(*theirs.columns).collect())) == set(theirs.fetchall())
+
+
+@pytest.mark.parametrize("split", [50, 333, 1 << 20])
+def test_damage_is_an_error_wherever_it_is(split):
+    """Two bytes of any member changed, or the end cut off: some range fails, whatever the ranges are."""
+    members = made(6)
+    whole = b"".join(members)
+    starts = [sum(map(len, members[:i])) for i in range(7)]
+
+    def read(data):
+        return [r for at in range(0, len(data), split) for r in W.read_range(io.BytesIO(data), at, at + split)]
+
+    assert len(read(whole)) == 6
+    for i in range(6):
+        for at in (starts[i], starts[i] + 1, (starts[i] + starts[i + 1]) // 2, starts[i + 1] - 6):
+            broken = bytearray(whole)
+            broken[at] ^= 0x55
+            broken[at + 1] ^= 0xAA
+            with pytest.raises((W.BadRecord, ValueError)):
+                read(bytes(broken))
+    for cut in (1, 8, 30, len(members[-1]) - 2):
+        with pytest.raises(W.BadRecord):
+            read(whole[:-cut])
+    # A whole number of members is a shorter archive, not a damaged one.
+    assert len(read(whole[: starts[5]])) == 5
+
+
+def test_revisits_name_the_page_they_refer_to(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "x"), (2, "http://b/", "x"), (1, "http://c/", "y"), (None, "http://d/", "x")], "page_id long, url string, html string")
+    found = {r["url"]: (r["refers_to"], r["refers_url"]) for r in W.with_revisits(pages).collect()}
+    assert found["http://b/"] == found["http://d/"] == (1, "http://a/") and found["http://a/"][0] is None
+    raw = gzip.decompress(W.encode_record(2, "http://b/", b"x", 1, "http://a/")).decode()
+    assert "WARC-Refers-To-Target-URI: http://a/\r\n" in raw and "WARC-Refers-To-Date: " in raw
