@@ -33,7 +33,8 @@ PRIOR = 20.0
 
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "host_digits", "hyphens",
-    "entropy", "parameters", "fragment", "secure", "suffix_rate", "suffix_urls", "ending_rate",
+    "entropy", "parameters", "fragment", "secure", "suffix_rate", "suffix_urls", "domain_rate",
+    "domain_urls", "ending_rate", "head_rate",
 )
 
 
@@ -95,17 +96,26 @@ def lexical(urls: DataFrame) -> DataFrame:
             "fragment": F.contains(url, F.lit("#")).cast("double"),
             "secure": F.startswith(F.lower(url), F.lit("https:")).cast("double"),
             "suffix": F.substring_index("host", ".", -1),
+            "domain": F.substring_index("host", ".", -2),
+            "head": F.regexp_extract("path", "^/([^/]*)", 1),
             "ending": F.regexp_extract("path", r"\.([A-Za-z0-9]{1,8})/?$", 1),
         }
     )
 
 
-def rates(labelled: DataFrame, by: str) -> DataFrame:
-    """Smoothed block rate and number of labelled URLs for each value of ``by``."""
-    overall = labelled.agg(F.avg("label").alias("all"))
-    each = labelled.groupBy(by).agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
-    rate = (F.col("bad") + PRIOR * F.col("all")) / (F.col("n") + PRIOR)
-    return each.crossJoin(F.broadcast(overall)).select(by, rate.alias(f"{by}_rate"), F.log1p("n").alias(f"{by}_urls"))
+def rates(rows: DataFrame, labelled: DataFrame, by: str, n: int, bad: float) -> DataFrame:
+    """``rows`` with the smoothed block rate and the number of labelled URLs of their ``by``.
+
+    A labelled row does not count itself, in either number, so its own label is not among its
+    features. ``n`` and ``bad`` are those of all labelled rows.
+    """
+    each = labelled.groupBy(F.col(by).alias("_value")).agg(F.sum("label").alias("_bad"), F.count("*").alias("_n"))
+    known = rows.join(each, F.col(by) == F.col("_value"), "left")
+    own, one = F.coalesce("label", F.lit(0.0)), F.when(F.col("label").isNotNull(), 1).otherwise(0)
+    overall = (F.lit(bad) - own) / F.greatest(F.lit(n) - one, F.lit(1))
+    others = F.coalesce("_n", F.lit(0)) - one
+    rate = (F.coalesce("_bad", F.lit(0.0)) - own + PRIOR * overall) / (others + PRIOR)
+    return known.select(*rows.columns, rate.alias(f"{by}_rate"), F.log1p(others).alias(f"{by}_urls"))
 
 
 def train(examples: DataFrame, trees: int = TREES, depth: int = DEPTH) -> GBTClassificationModel:
@@ -114,6 +124,24 @@ def train(examples: DataFrame, trees: int = TREES, depth: int = DEPTH) -> GBTCla
     return grower.fit(examples)
 
 
+def labelled_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
+    """Lexical features of every page's url, with the ``label`` of the rule that fits it (1: block), if any."""
+    base = pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"))
+    base = base.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    base = base.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
+    return lexical(base).withColumn("label", F.when(F.col("_rule.verdict") == BLOCK, 1.0).when(F.col("_rule").isNotNull(), 0.0))
+
+
+def scored(parsed: DataFrame, n: int, bad: float) -> DataFrame:
+    """The rows without a label, with the ``block_score`` of trees that learn from all others."""
+    labelled = parsed.where("label IS NOT NULL")
+    known = reduce(lambda df, by: rates(df, labelled, by, n, bad), ("suffix", "domain", "ending", "head"), parsed)
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(known)
+    model = train(materialize(vectors.where("label IS NOT NULL").select("features", "label"), "labelled-urls"))
+    judged = model.transform(vectors.where("label IS NULL"))
+    return judged.withColumn("block_score", vector_to_array("probability")[1])
+
+
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """Per page ``page_id``, ``host``, ``path``, ``rule``, ``verdict`` and ``block_score``.
 
@@ -121,23 +149,13 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Seque
     rules label no URL, or all alike, the others get the same verdict, or allow. Rows are
     judged one by one, repeated ones too; the score is null where a rule decides.
     """
-    base = pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"))
-    base = base.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    base = base.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
-    parsed = materialize(lexical(base).withColumn("label", F.when(F.col("_rule.verdict") == BLOCK, 1.0).when(F.col("_rule").isNotNull(), 0.0)), "urls")
+    parsed = materialize(labelled_urls(pages, key, url, rules), "urls")
     labelled = parsed.where("label IS NOT NULL")
     n, bad = labelled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     shown = ["page_id", "host", "path", F.col("_rule.rule").alias("rule")]
     if not 0 < bad < n:
         other = BLOCK if n and bad else ALLOW
         return parsed.select(*shown, F.coalesce("_rule.verdict", F.lit(other)).alias("verdict"), F.lit(None).cast("double").alias("block_score"))
-    tables = [rates(labelled, by) for by in ("suffix", "ending")]
-    known = reduce(lambda df, t: df.join(t, t.columns[0], "left"), tables, parsed)
-    known = known.fillna({"suffix_urls": 0.0, "suffix_rate": bad / n, "ending_rate": bad / n})
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(known)
-    model = train(materialize(vectors.where("label IS NOT NULL").select("features", "label"), "labelled-urls"))
-    open_urls = model.transform(vectors.where("label IS NULL"))
-    score = vector_to_array("probability")[1]
-    ruled = parsed.where("label IS NOT NULL").select(*shown, F.col("_rule.verdict").alias("verdict"), F.lit(None).cast("double").alias("block_score"))
-    judged = open_urls.select(*shown, F.when(score >= 0.5, BLOCK).otherwise(ALLOW).alias("verdict"), score.alias("block_score"))
-    return ruled.union(judged)
+    ruled = labelled.select(*shown, F.col("_rule.verdict").alias("verdict"), F.lit(None).cast("double").alias("block_score"))
+    told = F.when(F.col("block_score") >= 0.5, BLOCK).otherwise(ALLOW)
+    return ruled.union(scored(parsed, n, bad).select(*shown, told.alias("verdict"), "block_score"))

@@ -81,3 +81,27 @@ def test_query_over_all_pages(spark):
         r = rows[page_id]
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
         assert r["verdict"] == (verdict or ("block" if r["block_score"] >= 0.5 else "allow"))
+
+
+def test_rates_leave_out_the_row_itself(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 0.0), ("b", 1.0), ("c", None), ("a", None)], "suffix string, label double")
+    found = {(r["suffix"], r["label"]): (r["suffix_rate"], r["suffix_urls"]) for r in U.rates(rows, rows.where("label IS NOT NULL"), "suffix", 3, 2.0).collect()}
+    p = U.PRIOR
+    assert found["a", 1.0] == (pytest.approx((0 + p * 0.5) / (1 + p)), pytest.approx(math.log1p(1)))
+    assert found["b", 1.0] == (pytest.approx(0.5), 0.0)
+    assert found["c", None] == (pytest.approx(2 / 3), 0.0)
+    assert found["a", None] == (pytest.approx((1 + p * 2 / 3) / (2 + p)), pytest.approx(math.log1p(2)))
+
+
+def test_trees_are_right_on_labelled_urls_held_out(spark):
+    """A third of the given table's labelled URLs loses its label; the trees give it back better than a guess."""
+    from pyspark.sql import functions as F
+
+    parsed = U.labelled_urls(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).where("label IS NOT NULL")
+    unseen = F.pmod(F.xxhash64("page_id"), F.lit(3)) == 0
+    wanted = parsed.where(unseen).select("page_id", F.col("label").alias("wanted"))
+    hidden = parsed.withColumn("label", F.when(~unseen, F.col("label")))
+    n, bad = hidden.agg(F.count("label"), F.sum("label")).first()
+    found = U.scored(hidden, n, bad).join(wanted, "page_id")
+    right, share, rows = found.agg(F.avg(((F.col("block_score") >= 0.5) == (F.col("wanted") == 1)).cast("double")), F.avg("wanted"), F.count("*")).first()
+    assert rows > 100 and right > max(share, 1 - share) + 0.5 * min(share, 1 - share), (right, share, rows)
