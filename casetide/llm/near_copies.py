@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from casetide.llm import simhash_trie
 from casetide.llm.components import connected
-from casetide.runtime import materialize
+from casetide.llm.tables import written
+from casetide.runtime import materialize, remove
 
 SHINGLE = 5
 #: One in so many texts, by their hash, in which frequent shingles are counted.
@@ -159,25 +160,27 @@ def _often(texts: DataFrame, one_in: int) -> np.ndarray:
     return out
 
 
-def _sets_of(pairs: DataFrame, docs: DataFrame, tagged: DataFrame) -> DataFrame:
-    """Shingle sets of the classes that are to be compared, from one text of each."""
+def _sets_of(pairs: DataFrame, docs: DataFrame, tagged: DataFrame) -> tuple[DataFrame, str]:
+    """Shingle sets of the classes that are to be compared, from one text of each, and where they lie."""
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     chosen = tagged.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct(*_TEXT_KEY)).alias("t")).select("cls", "t.*")
     chosen = materialize(chosen, "classes-to-compare")
     # 24 bytes a row: where they are few, texts need not be moved to meet them.
     small = F.broadcast(chosen) if chosen.count() <= BROADCAST else chosen
     one = docs.join(small, list(_TEXT_KEY)).groupBy("cls").agg(F.min("text").alias("text"))
-    return materialize(one.mapInArrow(_sets, "cls long, set array<long>"), "shingle-sets")
+    return written(one.mapInArrow(_sets, "cls long, set array<long>"), "shingle-sets")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, tagged: DataFrame) -> DataFrame:
     """The pairs ``a``, ``b`` of classes whose shingle sets have a similarity of 0.8 or more."""
-    sets = _sets_of(pairs, docs, tagged)
+    sets, path = _sets_of(pairs, docs, tagged)
     a = sets.select(F.col("cls").alias("a"), F.col("set").alias("x"))
     b = sets.select(F.col("cls").alias("b"), F.col("set").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     met = pairs.join(b, "b").join(a, "a").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
-    return materialize(met, "verified")
+    met = materialize(met, "verified")
+    remove(docs.sparkSession, path)
+    return met
 
 
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
@@ -200,10 +203,12 @@ def links(docs: DataFrame, tagged: DataFrame, one_in: int = ONE_IN, rounds: int
     texts = docs.select("text").where("text IS NOT NULL")
     rows = texts.mapInArrow(_prefixes(_often(texts, one_in)), "cls long, n int, h long, at int, last int")
     # Read twice. Classes and places repeat, so the table takes little more than its shingles.
-    rows = materialize(rows, "all-prefixes")
-    first = materialize(_sharing(rows, "cls"), "shared-shingles")
+    rows, all_rows = written(rows, "all-prefixes")
+    first, shared = written(_sharing(rows, "cls"), "shared-shingles")
     # Only classes that share a shingle go on.
     rows = materialize(rows.join(first, "h", "left_semi").distinct(), "prefixes")
+    for path in (all_rows, shared):
+        remove(docs.sparkSession, path)
 
     prints = tagged.groupBy("fp").agg(F.min("cls").alias("one"))
     prints = materialize(prints, "five-word-fingerprints")
@@ -218,9 +223,10 @@ def links(docs: DataFrame, tagged: DataFrame, one_in: int = ONE_IN, rounds: int
         known = connected(found)
         rest = rows.join(known, F.col("cls") == F.col("node"), "left").select(*_ROW, "h", F.coalesce("root", "cls").alias("comp"))
         ends = _sharing(rest, "comp", _first(nth)).select("h", *(F.col(f"end.{c}").alias(f"y{c}") for c in _ROW))
-        rest = materialize(rest.join(ends, "h"), "open-prefixes")
-        if rest.isEmpty():
+        ends, heads = written(ends, "first-of-open")
+        if ends.isEmpty():
             break
+        rest, opened = written(rest.join(ends.select("h"), "h", "left_semi"), "open-prefixes")
         many, square = rest.groupBy("h").count().agg(F.sum("count"), F.sum(F.col("count") * F.col("count"))).first()
         large = square > PAIRS * many
         x = rest.select("h", "comp", *(F.col(c).alias(f"x{c}") for c in _ROW))
@@ -230,6 +236,8 @@ def links(docs: DataFrame, tagged: DataFrame, one_in: int = ONE_IN, rounds: int
             y = rest.select("h", F.col("comp").alias("ycomp"), *(F.col(c).alias(f"y{c}") for c in _ROW))
             both = x.join(y, "h").where("xcls < ycls AND comp != ycomp")
         pairs = materialize(_possible(both).join(tested, ["a", "b"], "left_anti"), "candidates")
+        for path in (heads, opened):
+            remove(docs.sparkSession, path)
         found = found.union(_verified(pairs, docs, tagged))
         if not (nth < rounds and large):
             break
