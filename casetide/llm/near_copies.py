@@ -14,6 +14,12 @@ components are made:
   with one class of the shingle's group, which leaves little of a large group, then all that
   are not yet in one component.
 
+Two bounds keep a large group of texts that are alike, yet not by 0.8, from being compared in full.
+From a shared shingle on no more can be equal than either class has left, so classes whose own
+shingles fill most of their prefix meet nobody of the group. And the sketch of a set, the parity
+of its shingles over 512 bits, differs in one bit at most for every shingle that only one of two
+sets has, so classes whose sketches differ in more bits than similar sets can make no pair.
+
 Frequent shingles, counted in one of eight texts, come last in the order, so few classes share a
 prefix's shingles. That only saves comparisons.
 """
@@ -46,6 +52,8 @@ PAIRS = 16
 ROUNDS = 4
 #: Classes to compare, at most, whose list is sent to all tasks (24 MB).
 BROADCAST = 1_000_000
+#: Bits of the sketch of a shingle set.
+SKETCH_BITS = 512
 #: Texts that a task takes at once.
 _TEXTS = 500
 #: Two hashes of a text, which name it in joins.
@@ -95,18 +103,29 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*kept, *map(_signed, found)], ["doc_id", *_TEXT_KEY, "cls", "fp"])
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles is odd, for each value of their last bits."""
+    odd = np.bincount((found & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
+def _apart(x: str, y: str) -> F.Column:
+    """Bits in which two sketches differ: no more than there are shingles that only one of the sets has."""
+    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+
+
 def _prefix_size(n):
     """Shingles of a prefix, of ``n``; also for columns."""
     return n - (4 * n + 4) // 5 + 1
 
 
 def _prefixes(often: np.ndarray):
-    """Rows of a class, its number of shingles, a shingle of its prefix, the place of that, and
-    the upper bits of the last shingle's place in the order of all."""
+    """Rows of a class, its number of shingles, a shingle of its prefix, the place of that and, in
+    the first row of a class, the sketch of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            own, sizes, last, out = [], [], [], [np.zeros(0, np.uint64)]
+            own, sizes, drawn, out = [], [], [], [np.zeros(0, np.uint64)]
             for text in batch.column(0):
                 words = words_of(text.as_py())
                 if not words:
@@ -115,16 +134,14 @@ def _prefixes(often: np.ndarray):
                 n = len(found)
                 spot = (found >> np.uint64(64 - SPOT_BITS)).astype(np.int64)
                 late = ((often[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).astype(bool)
-                size, early = _prefix_size(n), n - int(late.sum())
-                found = np.concatenate((found[~late], found[late]))[:size]
-                out.append(found)
-                last.append((int(found[-1]) >> 34) + (1 << 30) * (size > early))
+                out.append(np.concatenate((found[~late], found[late]))[: _prefix_size(n)])
                 own.append(_class(words))
                 sizes.append(n)
+                drawn += [sketch(found), *[None] * (len(out[-1]) - 1)]
             each = [len(x) for x in out[1:]]
             yield pa.RecordBatch.from_arrays(
-                [_signed(np.repeat(np.array(own, np.uint64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each)), _signed(np.concatenate(out)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in [0, *each]])), pa.array(np.repeat(np.array(last, np.int32), each))],
-                ["cls", "n", "h", "at", "last"],
+                [_signed(np.repeat(np.array(own, np.uint64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each)), _signed(np.concatenate(out)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in [0, *each]])), pa.array(drawn, pa.list_(pa.int64()))],
+                ["cls", "n", "h", "at", "sketch"],
             )
 
     return run
@@ -201,12 +218,14 @@ def _first(nth: int) -> F.Column:
 def links(docs: DataFrame, tagged: DataFrame, one_in: int = ONE_IN, rounds: int = ROUNDS) -> DataFrame:
     """Links ``a``, ``b`` between classes; all near copies are in one component of them."""
     texts = docs.select("text").where("text IS NOT NULL")
-    rows = texts.mapInArrow(_prefixes(_often(texts, one_in)), "cls long, n int, h long, at int, last int")
+    rows = texts.mapInArrow(_prefixes(_often(texts, one_in)), "cls long, n int, h long, at int, sketch array<long>")
     # Read twice. Classes and places repeat, so the table takes little more than its shingles.
     rows, all_rows = written(rows, "all-prefixes")
     first, shared = written(_sharing(rows, "cls"), "shared-shingles")
     # Only classes that share a shingle go on.
-    rows = materialize(rows.join(first, "h", "left_semi").distinct(), "prefixes")
+    every, rows = rows, materialize(rows.drop("sketch").join(first, "h", "left_semi").distinct(), "prefixes")
+    sketches = every.where("sketch IS NOT NULL").select("cls", "sketch").join(rows.select("cls").distinct(), "cls", "left_semi")
+    sketches = materialize(sketches.dropDuplicates(["cls"]), "sketches")
     for path in (all_rows, shared):
         remove(docs.sparkSession, path)
 
@@ -229,12 +248,14 @@ def links(docs: DataFrame, tagged: DataFrame, one_in: int = ONE_IN, rounds: int
         rest, opened = written(rest.join(ends.select("h"), "h", "left_semi"), "open-prefixes")
         many, square = rest.groupBy("h").count().agg(F.sum("count"), F.sum(F.col("count") * F.col("count"))).first()
         large = square > PAIRS * many
-        x = rest.select("h", "comp", *(F.col(c).alias(f"x{c}") for c in _ROW))
         if nth < rounds and large:
+            x = rest.select("h", *(F.col(c).alias(f"x{c}") for c in _ROW))
             both = x.join(ends, "h").where("xcls != ycls")
         else:
-            y = rest.select("h", F.col("comp").alias("ycomp"), *(F.col(c).alias(f"y{c}") for c in _ROW))
-            both = x.join(y, "h").where("xcls < ycls AND comp != ycomp")
+            drawn = rest.join(sketches, "cls")
+            x, y = (drawn.select("h", *(F.col(c).alias(f"{s}{c}") for c in ("comp", "sketch", *_ROW))) for s in "xy")
+            both = x.join(y, "h").where("xcls < ycls AND xcomp != ycomp")
+            both = both.where(9 * _apart("xsketch", "ysketch") <= F.col("xn") + F.col("yn"))
         pairs = materialize(_possible(both).join(tested, ["a", "b"], "left_anti"), "candidates")
         for path in (heads, opened):
             remove(docs.sparkSession, path)
@@ -245,30 +266,17 @@ def links(docs: DataFrame, tagged: DataFrame, one_in: int = ONE_IN, rounds: int
     return found
 
 
-_ROW = ("cls", "n", "at", "last")
+_ROW = ("cls", "n", "at")
 
 
 def _possible(both: DataFrame) -> DataFrame:
     """Pairs that can have a similarity of 0.8, from the shingles that their prefixes share.
 
-    Behind the last shared shingle no more can be equal than are left. And the prefix that
-    ends first in the order holds all that could be equal so far: of its class only what
-    follows the prefix can be equal besides. Where the upper bits do not tell which one ends
-    first, the larger number holds.
+    From a shared shingle on no more can be equal than either class has left in the order. The
+    first shingle that similar classes share lies in both prefixes, and all that they share follow.
     """
-    both = both.where("5 * xn >= 4 * yn AND 5 * yn >= 4 * xn")
-    met = both.groupBy("xcls", "ycls").agg(
-        F.count("*").alias("met"), F.max("xat").alias("xat"), F.max("yat").alias("yat"),
-        *(F.first(c).alias(c) for c in ("xn", "yn", "xlast", "ylast")),
-    )
-    x, y = (F.col(f"{s}n") - _prefix_size_of(f"{s}n") for s in "xy")
-    behind = F.when(F.col("xlast") < F.col("ylast"), x).when(F.col("ylast") < F.col("xlast"), y).otherwise(F.greatest(x, y))
-    most = F.col("met") + F.least(behind, F.col("xn") - 1 - F.col("xat"), F.col("yn") - 1 - F.col("yat"))
-    return _ordered(met.where(9 * most >= 4 * (F.col("xn") + F.col("yn"))), "xcls", "ycls")
-
-
-def _prefix_size_of(n: str) -> F.Column:
-    return F.expr(f"{n} - (4 * {n} + 4) div 5 + 1")
+    left = F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat"))
+    return _ordered(both.where(9 * left >= 4 * (F.col("xn") + F.col("yn"))), "xcls", "ycls")
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:

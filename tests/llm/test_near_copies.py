@@ -71,3 +71,35 @@ def test_odd_rows_of_the_stage(spark):
     groups = N.near_copies(df).collect()
     assert {(r["doc_id"], r["component_id"]) for r in groups} == {(None, 1), (1, 1), (2, 1), (3, 3), (4, 3), (5, 5)}
     assert N.one_of_each(df.limit(0)).count() == 0
+
+
+def far_group(n=400, seed=7):
+    """Variants of one text, each with so many words changed that few are similar to any other."""
+    rng = np.random.default_rng(seed)
+    base, rows = [f"b{i}" for i in range(150)], []
+    for _ in range(n):
+        copy = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 12)), replace=False):
+            copy[at] = f"w{rng.integers(10**9)}"
+        rows.append(" ".join(copy))
+    return list(enumerate(rows))
+
+
+def test_large_group_of_texts_below_the_limit_is_not_compared_in_full(spark, monkeypatch):
+    rows, seen = far_group(), []
+    possible = N._possible
+    monkeypatch.setattr(N, "_possible", lambda both: (seen.append(both.count()), possible(both))[1])
+    out = {r["doc_id"]: r["component_id"] for r in N.near_copies(spark.createDataFrame(rows, DOCS), rounds=1).collect()}
+    assert out == brute(rows)
+    assert len(set(out.values())) > 100
+    # Fewer rows are joined than there are pairs of texts, though the prefixes of many share several shingles.
+    assert seen[-1] < 400 * 399 // 2
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    sets = [N.shingles_of(N.words_of(t)) for _, t in near(60) + far_group(40)]
+    drawn = [np.unpackbits(N.sketch(s).view(np.uint8)) for s in sets]
+    assert all((drawn[x] != drawn[y]).sum() <= len(np.setxor1d(sets[x], sets[y])) for x in range(len(sets)) for y in range(x))
+    # Sets of 3,000 shingles each, none in common, differ in about half of the 512 bits.
+    x, y = (N.sketch(N.shingles_of([b"%s%d" % (c, i) for i in range(3004)])) for c in (b"x", b"y"))
+    assert 180 < (np.unpackbits(x.view(np.uint8)) != np.unpackbits(y.view(np.uint8))).sum() < 330
