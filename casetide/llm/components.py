@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casetide.llm.tables import parts_for
 from casetide.runtime import materialize
 
 
-def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected(links: DataFrame, a: str = "a", b: str = "b", rows_per_task: int | None = None) -> DataFrame:
     """The smallest node that each linked node can reach: columns ``node``, ``root``.
 
     Nodes are integers. Large-star and small-star steps alternate until the links no
@@ -18,13 +19,17 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Null ends and links of a node to itself are ignored; repeated links count once. No
     links give no rows: nodes without links are not listed.
+
+    With ``rows_per_task`` a step over few links takes no more tasks than so many links each
+    need, however many partitions a shuffle has; with many links it changes nothing.
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     edges = links.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
     edges = materialize(edges.distinct(), "links")
     seen = _mark(edges)
     while True:
-        edges = materialize(_small_star(_large_star(edges)), "links")
+        parts = parts_for(seen[0], rows_per_task) if rows_per_task else None
+        edges = materialize(_small_star(_large_star(edges, parts), parts), "links")
         if (mark := _mark(edges)) == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
@@ -36,16 +41,20 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _within(df: DataFrame, parts: int | None) -> DataFrame:
+    return df.coalesce(parts) if parts else df
+
+
+def _large_star(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """Every node's larger neighbours go to its smallest neighbour, or to itself."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    up = edges.join(least.withColumnRenamed("u", "v"), "v")
-    return up.select("u", F.col("m").alias("v")).where("u != v").distinct()
+    up = _within(edges.join(_within(least, parts).withColumnRenamed("u", "v"), "v"), parts)
+    return _within(up.select("u", F.col("m").alias("v")).where("u != v").distinct(), parts)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """Every node's smaller neighbours, and the node, go to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    rest = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rest.union(least.select("u", F.col("m").alias("v"))).distinct()
+    least = _within(edges.groupBy("u").agg(F.min("v").alias("m")), parts)
+    rest = _within(edges.join(least, "u"), parts).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _within(rest.union(least.select("u", F.col("m").alias("v"))).distinct(), parts)

@@ -52,6 +52,8 @@ PAIRS = 16
 ROUNDS = 4
 #: Classes to compare, at most, whose list is sent to all tasks (24 MB).
 BROADCAST = 1_000_000
+#: Links of classes that a task takes in a step towards components.
+LINKS = 20_000
 #: Bits of the sketch of a shingle set.
 SKETCH_BITS = 512
 #: Texts that a task takes at once.
@@ -239,7 +241,7 @@ def links(docs: DataFrame, tagged: DataFrame, one_in: int = ONE_IN, rounds: int
     found = _verified(tested, docs, tagged)
 
     for nth in range(rounds + 1):
-        known = connected(found)
+        known = connected(found, rows_per_task=LINKS)
         rest = rows.join(known, F.col("cls") == F.col("node"), "left").select(*_ROW, "h", F.coalesce("root", "cls").alias("comp"))
         ends = _sharing(rest, "comp", _first(nth)).select("h", *(F.col(f"end.{c}").alias(f"y{c}") for c in _ROW))
         ends, heads = written(ends, "first-of-open")
@@ -289,7 +291,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **limi
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     chosen = chosen.withColumns({_TEXT_KEY[0]: F.xxhash64("text"), _TEXT_KEY[1]: F.xxhash64(F.lit(1), "text")})
     tagged = materialize(chosen.mapInArrow(_classes, "doc_id long, t1 long, t2 long, cls long, fp long"), "classes")
-    roots = connected(links(chosen, tagged, **limits))
+    roots = connected(links(chosen, tagged, **limits), rows_per_task=LINKS)
     grouped = tagged.join(roots, F.col("cls") == F.col("node"), "left").select("doc_id", F.coalesce("root", "cls").alias("root"))
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return grouped.join(least, "root").select("doc_id", "component_id")

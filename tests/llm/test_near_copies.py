@@ -2,6 +2,7 @@ import corpus_pipeline as C
 import numpy as np
 import pytest
 
+from casetide.llm import components
 from casetide.llm import near_copies as N
 
 DOCS = "doc_id long, text string"
@@ -103,3 +104,14 @@ def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
     # Sets of 3,000 shingles each, none in common, differ in about half of the 512 bits.
     x, y = (N.sketch(N.shingles_of([b"%s%d" % (c, i) for i in range(3004)])) for c in (b"x", b"y"))
     assert 180 < (np.unpackbits(x.view(np.uint8)) != np.unpackbits(y.view(np.uint8))).sum() < 330
+
+
+@pytest.mark.parametrize("rows_per_task", [1, 300, 20_000])
+def test_components_in_few_tasks_are_the_same(spark, rows_per_task):
+    rng = np.random.default_rng(5)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 1500, (800, 2))] + [(i, i + 1) for i in range(5000, 5200)]
+    df = spark.createDataFrame(links, "a long, b long")
+    plain = sorted(map(tuple, components.connected(df).collect()))
+    assert sorted(map(tuple, components.connected(df, rows_per_task=rows_per_task).collect())) == plain
+    edges = df.where("a != b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v")
+    assert components._small_star(edges, 1).rdd.getNumPartitions() == 1
