@@ -27,9 +27,9 @@ from casetide.runtime import materialize, scratch_path
 
 FILE = "word_bpe_49k.json"
 #: Characters of documents that go into a segment, about; a longer document has its own.
-SEGMENT_CHARS = 10_000_000
+SEGMENT_CHARS = 18_000_000
 
-_MAGIC = b"CMIX1\n"
+_MAGIC = b"CMIX2\n"
 _HEAD = struct.Struct("<6sIIIIII")  # magic, documents, ids, block size, blocks, bytes of tables, their CRC-32
 _DOC = np.dtype([("doc_id", "<i8"), ("named", "u1"), ("length", "<u4")])
 _BLOCK = np.dtype([("bytes", "<u4"), ("crc32", "<u4")])

@@ -8,7 +8,9 @@ differ, so such texts are encoded by the file's own library.
 The word file: a tokenizer cuts a text into pieces and encodes each for itself. Words repeat,
 so the ids of a piece are kept and a text becomes a list of looked-up pieces. Where a piece
 begins depends on white space alone, except for unusual white space; such texts are encoded
-whole.
+whole. Texts of ASCII and Latin-1 letters are cut, lower-cased and reduced to different pieces
+as columns; there marks behind a letter are a piece of their own, as they are for the
+tokenizer.
 
 Tests hold the ids of both to those of the tokenizers library's own ``encode``.
 """
@@ -22,6 +24,8 @@ from functools import cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -30,11 +34,18 @@ END = 2
 #: Pieces and ids that a Python worker keeps; beyond it starts anew.
 KEPT_PIECES = 1_000_000
 KEPT_IDS = 8_000_000
+#: Pieces that are encoded in one call.
+TOGETHER = 20_000
 
 # What both libraries surely cut alike: ASCII and Latin-1 letters, blanks and line feeds.
 _PLAIN = re.compile(r"[ -~\n\xa1-\xac\xae-\xff]*\Z")
 # Separators that Python's split() takes for white space and the tokenizers don't.
 _UNUSUAL_WORDS = re.compile(r"[\x1c-\x1f]")
+# What is in no text that is cut as a column.
+_NOT_COLUMNS = r"[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]"
+# For the tokenizer a mark behind a letter always begins a piece, too, but for the apostrophe.
+_MARKS = r"([a-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])"
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 
 
 def _library(path: str) -> Tokenizer:
@@ -76,6 +87,11 @@ class _Pieces(dict):
         super().__init__()
         self.tokenizer = _library(path)
         self.model = self.tokenizer.model
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.words = Tokenizer(self.model)  # takes words as they are
+        vocabulary = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.closing[[i for token, i in vocabulary.items() if token.endswith(self.model.end_of_word_suffix)]] = True
         self.start_anew()
 
     def start_anew(self) -> None:
@@ -83,13 +99,32 @@ class _Pieces(dict):
         self.ids, self.ends = array("I", [END]), array("q", [1])  # piece 0 is the end of a text
 
     def __missing__(self, piece: str) -> int:
-        if piece.isascii() and piece.isalpha():
-            number = self.add([t.id for t in self.model.tokenize(piece.lower())])  # plain letters are their own bytes
+        if _LETTERS.match(piece):  # the tokenizer leaves it whole
+            number = self.add([t.id for t in self.model.tokenize(self.spelled(piece))])
         else:
             number = self.add(self.encode(piece))
         self[piece] = number
         return number
 
+    def spelled(self, letters: str) -> str:
+        """A word as the vocabulary writes its bytes."""
+        letters = letters.lower()
+        return letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters)
+
+    def take_in(self, pieces: Sequence[str]) -> None:
+        """Encode new pieces of letters together."""
+        new = [piece for piece in pieces if _LETTERS.match(piece)]
+        for at in range(0, len(new), TOGETHER):
+            some = new[at : at + TOGETHER]
+            words = [self.spelled(piece) for piece in some]
+            ids = np.array(self.words.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.nonzero(self.closing[ids])[0] + 1
+            if len(ends) != len(some):  # some word has no end of its own: left for one by one
+                continue
+            self.update(zip(some, range(len(self.ends), len(self.ends) + len(some)), strict=True))
+            self.ends.frombytes((ends + len(self.ids)).tobytes())
+            self.ids.frombytes(ids.tobytes())
+
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -129,14 +164,37 @@ def ids_of(texts: Sequence[str | None], file: str, spaced: bool) -> tuple[np.nda
     kept = _pieces(path)
     if len(kept) > KEPT_PIECES or len(kept.ids) > KEPT_IDS:
         kept.start_anew()
-    at, counts = array("q"), []
-    for text in texts:
-        at.extend(kept.numbers(text or ""))
-        at.append(0)
-        counts.append(len(at))
-    number = np.frombuffer(at, np.int64)
-    ids, ends = np.frombuffer(kept.ids, np.uint32), np.frombuffer(kept.ends, np.int64)
-    length = np.diff(ends, prepend=0)[number]
-    stops = np.cumsum(length)
-    take = np.arange(stops[-1] if len(stops) else 0) + np.repeat(ends[number] - stops, length)
-    return ids[take], np.concatenate(([0], stops))[counts] if counts else np.zeros(0, np.int64)
+    number, counts = _numbers(kept, texts)
+    ends = np.concatenate((np.zeros(1, np.int64), np.frombuffer(kept.ends, np.int64)))
+    found = pa.LargeListArray.from_arrays(ends, np.frombuffer(kept.ids, np.uint32)).take(pa.array(number))
+    return found.flatten().to_numpy(), found.offsets.to_numpy()[counts]
+
+
+def _numbers(kept: _Pieces, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the pieces of all texts, each text with an end, and where each text ends."""
+    column = pc.fill_null(pa.array(texts, pa.large_string()), "")
+    plain = pc.invert(pc.match_substring_regex(column, _NOT_COLUMNS))
+    cut = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(column.filter(plain)), _MARKS, r"\1 \2"))
+    words = cut.flatten().dictionary_encode()  # may have empty words, which have no ids
+    pieces = words.dictionary.to_numpy(zero_copy_only=False)
+    number = list(map(kept.get, pieces))
+    new = [i for i, n in enumerate(number) if n is None]
+    unknown = pieces[new].tolist()
+    kept.take_in(unknown)
+    for i, piece in zip(new, unknown, strict=True):
+        number[i] = kept[piece]
+    number = np.array(number, np.int64).take(words.indices)
+    plain = plain.to_numpy(zero_copy_only=False)
+    others = [kept.numbers(texts[i]) for i in np.nonzero(~plain)[0].tolist()]
+    count = np.zeros(len(plain), np.int64)
+    count[plain], count[~plain] = pc.list_value_length(cut), [len(x) for x in others]
+    stops = np.cumsum(count + 1)
+    at = np.zeros(stops[-1] if len(stops) else 0, np.int64)
+    inside = np.ones(len(at), bool)
+    inside[stops - 1] = False
+    if others:
+        of_plain = np.repeat(plain, count + 1)
+        at[inside & ~of_plain] = [x for numbers in others for x in numbers]
+        inside &= of_plain
+    at[inside] = number
+    return at, stops

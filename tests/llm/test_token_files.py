@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -38,6 +39,31 @@ def test_blocks_are_independent():
         assert M.encode(ids[100 * i : 100 * i + 100], 100) == [code]
 
 
+def test_blocks_take_little_memory():
+    """No table by lane and id: what coding needs goes with the ids that there are."""
+    ids = (np.random.default_rng(2).zipf(1.3, 64 * M.BLOCK) % 3000).astype(np.uint32)
+    for work, given in ((M.encode, (ids,)), (M.decode, (M.encode(ids), len(ids)))):
+        tracemalloc.start()
+        work(*given)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 64 * len(ids)
+
+
+def test_damage_of_a_block_never_gives_other_ids():
+    rng = np.random.default_rng(3)
+    ids = (rng.zipf(1.3, 1000) % 3000).astype(np.uint32)
+    (code, check), *_ = M.encode(ids)
+    damaged = [code[:at] + bytes([code[at] ^ 1 << at % 8]) + code[at + 1 :] for at in rng.integers(0, len(code), 40).tolist()]
+    found = 0
+    for raw in [*damaged, code[:50], b""]:
+        try:
+            assert (M.decode([(raw, check)], len(ids)) == ids).all()  # the last bits don't all count
+        except ValueError:
+            found += 1
+    assert found > 35
+
+
 def test_mixing_beats_plain_deflate(spark):
     ids, _ = T.ids_of([r[0] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()], T.FILE, False)
     assert sum(len(c) for c, _ in M.encode(ids)) < len(zlib.compress(ids.astype("<u2").tobytes(), 6))

@@ -79,6 +79,27 @@ def test_kept_pieces_are_bounded(monkeypatch):
         assert split(texts, file, spaced) == [encode(t) for t in texts]
 
 
+def test_new_words_are_encoded_together(monkeypatch):
+    file, spaced = FILES[1]
+    kept = T._pieces(T.public_tokenizers.path(file))
+    kept.start_anew()
+    texts = ["Fünf neue, Wörter; hier", "and (five) new#words: HERE."]
+    wanted = [whole_cached(file)(t) for t in texts]
+    one_by_one = []
+    missing = type(kept).__missing__
+    monkeypatch.setattr(type(kept), "__missing__", lambda self, piece: one_by_one.append(piece) or missing(self, piece))
+    assert split(texts, file, spaced) == wanted
+    assert not [piece for piece in one_by_one if piece.isalpha()]
+
+
+def test_every_mark_between_every_kind():
+    """Cutting behind letters leaves the library's ids as they are."""
+    file, spaced = FILES[1]
+    marks = [chr(c) for c in range(128) if not chr(c).isalnum()]
+    texts = [f"{a}{m}{b} {a}{m}{m}{b}{m} '{a}{m}'{b}" for m in marks for a in ("a", "É", "1", "'", "!") for b in ("s", "ß", "7", "", "'ll")]
+    assert split(texts, file, spaced) == [whole_cached(file)(t) for t in texts]
+
+
 def test_no_texts():
     ids, ends = T.ids_of([], *FILES[0])
     assert len(ids) == len(ends) == 0
