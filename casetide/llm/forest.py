@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casetide.llm.components import connected
-from casetide.runtime import materialize
+from casetide.runtime import materialize, release
 
 COSINE = 0.95
 TREES = 6
@@ -35,6 +35,8 @@ LEVELS = 8
 ROUNDS = 5
 #: Vectors that a cell's splits are fitted on.
 SAMPLE = 2_048
+#: Rows of a cell that are sent down its splits at once.
+PART_ROWS = 16_384
 #: Vectors that are compared with each other at once.
 LEAF_ROWS = 1_024
 #: Share of a cell's spread within which a vector goes to both sides of a split.
@@ -121,23 +123,22 @@ def _fit(leaf_rows: int, most: int):
     return run
 
 
-def _assign():
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for cell, rows in pdf.groupby("cell", sort=False):
-                flat = rows["splits"].iloc[0]
-                levels = (len(flat) // 2).bit_length()
-                splits = {n: (flat[2 * n - 2], flat[2 * n - 1]) for n in range(1, 1 << levels)}
-                ids = rows["cls"].to_numpy()
-                for leaf, at in _leaves(_unit(rows["v"]), int(cell), levels, splits)[1]:
-                    out.append(pd.DataFrame({"cls": ids[at], "parent": cell, "leaf": leaf}))
-            yield pd.concat(out) if out else pd.DataFrame({"cls": [], "parent": [], "leaf": []})
-
-    return run
+def _assign(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    """Send some rows of one cell, of which there are many, down the splits of the cell."""
+    if not len(rows) or not len(model):
+        return pd.DataFrame({"cls": [], "parent": [], "leaf": []})
+    cell, flat = int(model["cell"].iloc[0]), model["splits"].iloc[0]
+    levels = (len(flat) // 2).bit_length()
+    splits = {n: (flat[2 * n - 2], flat[2 * n - 1]) for n in range(1, 1 << levels)}
+    ids = rows["cls"].to_numpy()
+    ends = _leaves(_unit(rows["v"]), cell, levels, splits)[1]
+    return pd.DataFrame({
+        "cls": np.concatenate([ids[at] for _, at in ends]), "parent": cell,
+        "leaf": np.repeat([leaf for leaf, _ in ends], [len(at) for _, at in ends]),
+    })
 
 
-def leaves(distinct: DataFrame, trees: int = TREES, leaf_rows: int = LEAF_ROWS, levels: int = LEVELS, rounds: int = ROUNDS, sample: int = SAMPLE) -> DataFrame:
+def leaves(distinct: DataFrame, trees: int = TREES, leaf_rows: int = LEAF_ROWS, levels: int = LEVELS, rounds: int = ROUNDS, sample: int = SAMPLE, part_rows: int = PART_ROWS) -> DataFrame:
     """``cls`` and ``cell`` of every vector in every leaf that it belongs to."""
     roots = F.explode(F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.xxhash64(t)))
     cells = distinct.select("cls", roots.alias("cell"))
@@ -149,15 +150,28 @@ def leaves(distinct: DataFrame, trees: int = TREES, leaf_rows: int = LEAF_ROWS,
         done = small if done is None else done.union(small)
         if large.isEmpty():
             return done
-        split = cells.join(large, "cell").join(distinct.select("cls", "v"), "cls")
-        nth = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("cls", "cell"), "cls"))
-        chosen = split.withColumn("nth", nth).where(F.col("nth") <= sample).select("cell", "size", "cls", "v")
+        split = cells.join(large, "cell")
+        # The smallest hashes of a cell are sorted, of those that are small enough; by chance these
+        # are eight times as many as wanted, so there are enough.
+        order = F.xxhash64("cls", "cell")
+        low = order <= F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), F.lit(8.0 * max(sample, 64)) / F.col("size"))
+        nth = F.row_number().over(Window.partitionBy("cell").orderBy(order, "cls"))
+        chosen = split.where(low).withColumn("nth", nth).where(F.col("nth") <= sample).select("cell", "size", "cls")
+        chosen = chosen.join(distinct.select("cls", "v"), "cls")
         model = materialize(chosen.groupBy("cell").applyInPandas(_fit(leaf_rows, levels), "cell long, splits array<double>"), "splits")
         # Cells that are not to be split at all are leaves.
         alike = (F.col("splits")[0] == F.lit(math.inf)) & (F.col("splits")[1] == 1)
         done = done.union(cells.join(model.where(alike), "cell", "left_semi").select("cls", "cell"))
-        below = split.join(model.where(~alike), "cell").mapInPandas(_assign(), "cls long, parent long, leaf long")
+        # Rows of a cell go together, in parts, so that its directions are made once for many of
+        # them and its splits are not carried by each.
+        parts = F.ceil(F.col("size") / part_rows).cast("int")
+        model = model.where(~alike).join(large, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        part = F.pmod(F.xxhash64("cell", "cls"), parts).cast("int").alias("part")
+        parted = split.join(model.select("cell"), "cell", "left_semi").select("cell", part, "cls").join(distinct.select("cls", "v"), "cls")
+        both = parted.groupBy("cell", "part").cogroup(model.select("cell", "part", "splits").groupBy("cell", "part"))
+        below = both.applyInPandas(_assign, "cls long, parent long, leaf long")
         cells = materialize(below.select("cls", F.xxhash64("parent", "leaf").alias("cell")).distinct(), "cells")
+        release(distinct.sparkSession, 2.0)
     last = cells.select("cls", "cell")
     return last if done is None else done.union(last)
 

@@ -96,3 +96,10 @@ def test_a_large_tight_group_keeps_its_links(spark):
     rows = [(i, v, 0, "", "") for i, v in enumerate(x.tolist())]
     out = T.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, n_links string, v string"), leaf_rows=32, sample=256).collect()
     assert 0.999 * wanted <= sum(r["n_links"] for r in out) <= wanted
+
+
+def test_rows_of_a_cell_go_down_its_splits_together(spark):
+    """In parts of some rows, however they lay in the table, and with the same leaves as all at once."""
+    distinct = T.classes(spark.createDataFrame(cloud(1500, groups=400), VECTORS)).repartition(8)
+    whole, parts = ({tuple(r) for r in T.leaves(distinct, trees=1, leaf_rows=200, rounds=1, part_rows=n).collect()} for n in (1500, 300))
+    assert whole == parts and len({cls for cls, _ in whole}) == 1500 and len({cell for _, cell in whole}) > 4
