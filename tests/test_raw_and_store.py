@@ -1,6 +1,7 @@
 """Raw files with real-life flaws, and the stored tables."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -316,3 +317,31 @@ def test_landing_of_children_before_their_reports(spark, tmp_path, rows):
     write(folder / "2024q2", "DEMO24Q2.txt", DEMO + [demo_line(99, 9, 1)])
     assert run() == [(10, "DE"), (99, "HO")]
     assert store.waiting_rows(spark, root, "outc").count() == 0
+
+
+def test_a_raw_copy_has_few_files_and_reads_the_same_compressed(spark, tmp_path, rows):
+    """Not a file for each task and quarter."""
+    made = spark.range(4000).selectExpr("id AS primaryid", "id % 7 AS caseid", "concat('term ', id % 9) AS pt", "concat('2024q', id % 4 + 1) AS quarter").repartition(8)
+    raw.write_raw(made, str(tmp_path / "REAC_A.txt"))
+    raw.write_raw(made, str(tmp_path / "REAC_B.txt"), "gzip")
+    assert len(list(tmp_path.glob("REAC_A.txt/*/part-*"))) == 4
+    assert len(list(tmp_path.glob("REAC_B.txt/*/part-*.gz"))) == 4
+    a, b = (rows(raw.read_table(spark, str(tmp_path / f"REAC_{x}.txt"))) for x in "AB")
+    assert a == b and len(a) == 4000
+
+
+def test_losses_by_quarter_need_no_count_per_written_row(spark, tmp_path, monkeypatch):
+    """Counts for every quarter and column, updated for every row, took longer than the writing itself."""
+    for q in ("2024q1", "2024q2", "2024q3"):
+        n = int(q[-1])
+        write(tmp_path / "raw" / q, "DEMO.txt", ["primaryid$caseid$caseversion$event_dt", f"{n}$1$1$no date"])
+        write(tmp_path / "raw" / q, "THER.txt", ["primaryid$caseid$drug_seq$dur", *[f"{n}$1$x$1"] * n, "99$9$1$y"])
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "observe", lambda *_: pytest.fail("observed"))
+    root = str(tmp_path / "store")
+    assert {r.status for r in store.load_quarters(spark, str(tmp_path / "raw"), root).collect()} == {"loaded"}
+    found = {(r.quarter, r.table, r.column): r.nulled for r in store.losses(spark, root).collect() if r.nulled}
+    assert found == {(f"2024q{n}", t, c): k for n in (1, 2, 3) for t, c, k in (("demo", "event_dt", 1), ("ther", "drug_seq", n), ("ther", "dur", 1))}
+    noted = {r.quarter: r.total_rows for r in store.stored_metadata(spark, root).collect()}
+    assert noted == {"2024q1": 2, "2024q2": 3, "2024q3": 4}
