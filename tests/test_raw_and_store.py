@@ -345,3 +345,20 @@ def test_losses_by_quarter_need_no_count_per_written_row(spark, tmp_path, monkey
     assert found == {(f"2024q{n}", t, c): k for n in (1, 2, 3) for t, c, k in (("demo", "event_dt", 1), ("ther", "drug_seq", n), ("ther", "dur", 1))}
     noted = {r.quarter: r.total_rows for r in store.stored_metadata(spark, root).collect()}
     assert noted == {"2024q1": 2, "2024q2": 3, "2024q3": 4}
+
+
+def test_shuffle_files_of_a_load_go_while_it_runs(spark, tmp_path):
+    from casetide import runtime
+
+    def held():
+        return spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size()
+
+    for k in range(3):
+        spark.range(1000).repartition(8, "id").write.parquet(str(tmp_path / str(k)))
+    made = held()
+    for _ in range(20):
+        runtime.release(spark, 0.0)
+        if held() < made:
+            break
+        time.sleep(0.2)
+    assert held() < made
